@@ -35,8 +35,9 @@ def address_parts(t: Given) -> DataFrame:
 @query(
     "X8",
     sql="""SELECT doc_id, array_to_string(list_transform(
-    regexp_extract_all(text, '\\p{{L}}+|[^\\p{{L}}]+'), lambda s: upper(s[1]) || lower(s[2:])), '') AS title
-FROM {documents}""".replace("{{L}}", "L"),
+    regexp_extract_all(text, '\\pL+|\\PL+'),
+    lambda s: CASE s[1] WHEN 'ß' THEN 'Ss' ELSE upper(s[1]) END || lower(s[2:])), '') AS title
+FROM {documents}""",
 )
 def title_case(t: Given) -> DataFrame:
     return t.documents.select("doc_id", text.py_title_case(F.col("text")).alias("title"))

@@ -1 +1,123 @@
-"""Queries."""
+"""Saved-listing queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stoopwise.catalog.registry import Given, query
+from stoopwise.catalog.walk import GROCERY_ROLLUPS, ROLLUPS, stored_properties
+from stoopwise.functions import features as ft
+from stoopwise.operators import merge
+from stoopwise.plans import saved
+
+STATE = """known AS (SELECT DISTINCT upper(address) AS address FROM {v_properties}),
+log AS (SELECT event_id, ts, user_id, upper(address) AS address, action, custom_name, remarks,
+    nullif(rent, '') AS rent FROM {v_saved_events}
+  WHERE upper(address) IN (SELECT address FROM known)),
+flips AS (SELECT *, lag(action, 1, 'delete') OVER (PARTITION BY user_id, address
+    ORDER BY ts, event_id) AS earlier FROM log WHERE action IN ('save', 'delete')),
+moves AS (SELECT *, row_number() OVER (PARTITION BY user_id, address ORDER BY ts DESC, event_id DESC)
+    AS back FROM flips WHERE action <> earlier),
+ends AS (SELECT user_id, address, min(ts) AS first_save,
+    max(ts) FILTER (WHERE action = 'save') AS date_saved,
+    bool_or(back = 1 AND action = 'delete') AS is_deleted,
+    max(ts) FILTER (WHERE back = 1 AND action = 'delete') AS deleted_at
+  FROM moves GROUP BY user_id, address),
+updates AS (SELECT l.user_id, l.address, custom_name, remarks, rent, row_number() OVER (
+    PARTITION BY l.user_id, l.address ORDER BY ts DESC, event_id DESC) AS back
+  FROM log l JOIN ends e ON l.user_id = e.user_id AND l.address = e.address
+  WHERE action = 'update' AND ts > first_save),
+state AS (SELECT e.user_id, e.address, date_saved, is_deleted, deleted_at, custom_name, remarks,
+    CAST(rent AS INT) AS rent_price
+  FROM ends e LEFT JOIN (SELECT * FROM updates WHERE back = 1) u
+    ON e.user_id = u.user_id AND e.address = u.address)"""
+
+
+def state(t: Given) -> DataFrame:
+    return saved.saved_state(t.v_saved_events, t.v_properties)
+
+
+@query("T3 X20", sql=f"WITH {STATE} SELECT * FROM state")
+def saved_state(t: Given) -> DataFrame:
+    return state(t)
+
+
+CHECKS = """SELECT event_id AS request_id, user_id,
+  CASE WHEN event_type = 'error' AND value < 20 THEN ''
+    WHEN event_type = 'error' THEN NULL ELSE address END AS address
+FROM (SELECT e.event_id, e.user_id, e.event_type, e.value, s.address
+  FROM {events} e JOIN {v_saved_events} s ON e.event_id = s.event_id) j"""
+
+
+@query(
+    "P15",
+    sql=f"""WITH {STATE}, checks AS ({CHECKS})
+SELECT request_id, c.user_id, c.address,
+  CASE WHEN coalesce(c.address, '') = '' THEN NULL ELSE s.address IS NOT NULL END AS is_saved,
+  CASE WHEN coalesce(c.address, '') = '' THEN 'Address required' END AS error
+FROM checks c LEFT JOIN (SELECT * FROM state WHERE NOT is_deleted) s
+  ON c.user_id = s.user_id AND upper(c.address) = s.address""",
+)
+def saved_status_checks(t: Given) -> DataFrame:
+    return saved.status_checks(t.sql(CHECKS), state(t))
+
+
+@query(
+    "J6 P15",
+    sql=f"""WITH {STATE} SELECT user_id, s.address, date_saved, property_id, lon
+FROM state s JOIN (SELECT upper(address) AS address, min(property_id) AS property_id,
+  arg_min(lon, property_id) AS lon FROM {{v_properties}} GROUP BY upper(address)) p
+  ON s.address = p.address WHERE NOT is_deleted""",
+)
+def saved_with_property(t: Given) -> DataFrame:
+    listed = saved.active(state(t))
+    return saved.with_property(listed, t.v_properties).select(
+        "user_id", "address", "date_saved", "property_id", "lon"
+    )
+
+
+@query(
+    "J8",
+    sql="""SELECT event_id, user_id FROM {v_saved_events} WHERE action = 'save'
+AND upper(address) IN (SELECT address FROM {v_properties})""",
+)
+def saves_of_known_properties(t: Given) -> DataFrame:
+    saves = t.v_saved_events.where("action = 'save'").withColumn("address", F.upper("address"))
+    return saves.join(t.v_properties.select("address"), "address", "left_semi").select(
+        "event_id", "user_id"
+    )
+
+
+@query(
+    "Q11 T3 J6 A7 A9 A10 A11 X21 X23 P12",
+    sql=f"""WITH {STATE}, {ROLLUPS}, {GROCERY_ROLLUPS},
+homes AS (SELECT upper(address) AS address, min(property_id) AS property_id
+  FROM {{v_properties}} GROUP BY upper(address))
+SELECT user_id, f.property_id, s.address AS title, nullif(custom_name, '') AS subtitle,
+  coalesce(nullif(custom_name, ''), s.address) AS display_name,
+  CASE WHEN rent_price <> 0 THEN CAST(rent_price AS STRING) || '/month' END AS rent,
+  nullif(remarks, '') AS notes, best_transit, best_grocery, stops_within_5, stops_within_10,
+  stops_within_15, total_stops, routes_count,
+  'Saved on ' || strftime(date_saved, '%b %-d, %Y') AS saved_on
+FROM state s JOIN homes f ON s.address = f.address
+JOIN best_transit t ON f.property_id = t.property_id
+JOIN best_grocery g ON f.property_id = g.property_id
+WHERE NOT is_deleted""",
+)
+def saved_cards(t: Given) -> DataFrame:
+    return saved.saved_cards(state(t), stored_properties(t))
+
+
+@query(
+    "U8",
+    sql=f"""WITH {GROCERY_ROLLUPS}
+SELECT property_id, CASE WHEN groceries_within_5 <> '' THEN groceries_within_5
+  ELSE groceries_within_15 END AS cached FROM best_grocery""",
+)
+def cached_groceries(t: Given) -> DataFrame:
+    found = ft.stored_features(F.col("groceries"), "grocery_geojson", ft.GROCERY_FEATURE)
+    stored = stored_properties(t).select("property_id", found.alias("f"))
+    # What a first visit at five minutes left is not replaced by one at fifteen.
+    cached = merge.write_once(ft.names_within(F.col("f"), 5), ft.names_within(F.col("f"), 15))
+    return stored.select("property_id", F.array_join(cached, ", ").alias("cached"))

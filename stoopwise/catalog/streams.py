@@ -1 +1,60 @@
-"""Queries."""
+"""Streaming queries: landed files are taken in and the outcome is read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stoopwise.catalog import amenities as amenity_queries
+from stoopwise.catalog.feeds import VIOLATION_FIELDS
+from stoopwise.catalog.registry import Given, query
+from stoopwise.catalog.saved import STATE
+from stoopwise.catalog.violations import UNIQUE, raw_rows
+from stoopwise.session import new_path
+from stoopwise.sources import writers
+from stoopwise.streaming.refresh import latest_snapshot, refresh_groceries_stream
+from stoopwise.streaming.saved import current_state, saved_state_stream
+from stoopwise.streaming.violations import ingest_violations_stream
+
+
+@query("T1 U3 S1 S13", sql=f"SELECT {', '.join(VIOLATION_FIELDS)} FROM ({UNIQUE}) u")
+def violations_stream(t: Given) -> DataFrame:
+    base = new_path(t.spark, "violations-stream")
+    # Rows of one id land in one file, so that which of them is first does not depend
+    # on the order of the files.
+    writers.write_csv(raw_rows(t).repartitionByRange(4, "ID"), f"{base}/in")
+    ingest_violations_stream(
+        t.spark, f"{base}/in", f"{base}/out", f"{base}/dead", f"{base}/progress", max_files=2
+    ).awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").select(VIOLATION_FIELDS)
+
+
+@query("T3", sql=f"WITH {STATE} SELECT * FROM state")
+def saved_state_streamed(t: Given) -> DataFrame:
+    base = new_path(t.spark, "saved-stream")
+    events = t.v_saved_events
+    # Three files, so that the keys are touched by several batches.
+    events.repartition(3, "event_id").write.parquet(f"{base}/in")
+    stream = (
+        t.spark.readStream.schema(events.schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{base}/in")
+    )
+    saved_state_stream(
+        stream, t.v_properties, f"{base}/log", f"{base}/state", f"{base}/progress"
+    ).awaitTermination()
+    return current_state(t.spark, f"{base}/state")
+
+
+@query(
+    "T2 Q9 U5",
+    sql=f"WITH {amenity_queries.SYNC} SELECT * EXCLUDE (action) FROM merged WHERE action <> 'delete'",
+)
+def grocery_refresh(t: Given) -> DataFrame:
+    base = new_path(t.spark, "grocery-refresh")
+    writers.replace_table(t.sql(amenity_queries.STORED), f"{base}/first")
+    writers.write_features(amenity_queries.features(t), f"{base}/in", F.col("feature"))
+    refresh_groceries_stream(
+        t.spark, f"{base}/in", f"{base}/first", f"{base}/table", f"{base}/progress"
+    ).awaitTermination()
+    return latest_snapshot(t.spark, f"{base}/first", f"{base}/table")

@@ -102,7 +102,7 @@ SELECT c_custkey AS id, {_street("c_custkey")} AS address,
 FROM {{customer}} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""",
     # Addresses are typed in lower case at times; one in twenty is of no property.
     "v_saved_events": f"""
-SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id,
+SELECT event_id, ts, user_id,
   CASE WHEN event_id % 20 = 19 THEN 'UNKNOWN PLACE'
     WHEN event_type = 'view' THEN lower({_street("event_id % 20")} || ', CHICAGO, IL, 60615')
     ELSE {_street("event_id % 20")} || ', CHICAGO, IL, 60615' END AS address,

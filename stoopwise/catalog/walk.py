@@ -261,10 +261,10 @@ def transit_rollups(t: Given) -> DataFrame:
 def _names_sql(limit: int) -> str:
     return f"""SELECT property_id, count(DISTINCT name) AS n,
   string_agg(DISTINCT name, ', ' ORDER BY name) AS names
-FROM near WHERE round_even(distance_m / 70, 1) <= {limit} GROUP BY property_id"""
+FROM groceries WHERE round_even(distance_m / 70, 1) <= {limit} GROUP BY property_id"""
 
 
-GROCERY_ROLLUPS = f"""near AS ({GROCERIES}),
+GROCERY_ROLLUPS = f"""groceries AS ({GROCERIES}),
 g5 AS ({_names_sql(5)}), g10 AS ({_names_sql(10)}), g15 AS ({_names_sql(15)}),
 best_grocery AS (SELECT p.property_id,
   coalesce(g5.names, '') AS groceries_within_5,

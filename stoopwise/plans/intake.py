@@ -30,7 +30,9 @@ def _references(address_ref: DataFrame) -> DataFrame:
         F.array_distinct(F.array(full, text.without_suffix(full))),
     ).select("*", F.posexplode("_keys").alias("_rank", "_key"))
     return first_per_key(
-        keyed.drop("_keys"), ["_key"], [F.col("_rank"), F.col("matched_address")]
+        keyed.drop("_keys"),
+        ["_key"],
+        [F.col(c) for c in ("_rank", "matched_address", "lon", "lat", "urban_area")],
     ).drop("_rank")
 
 

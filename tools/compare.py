@@ -86,8 +86,8 @@ def main(argv):
             bad.append(name)
             print(f"DIFF  {name} {len(a)} vs {len(b)} rows", sorted(mine[0]), sorted(other[0]))
             left, right = set(a), set(b)
-            print("  only spark:", sorted(left - right, key=str)[:3])
-            print("  only sql:  ", sorted(right - left, key=str)[:3], flush=True)
+            print("  only spark:", str(sorted(left - right, key=str)[:3])[:700])
+            print("  only sql:  ", str(sorted(right - left, key=str)[:3])[:700], flush=True)
         except Exception:
             bad.append(name)
             print(f"FAIL  {name}", flush=True)

@@ -101,7 +101,7 @@ SELECT property_id, amenity_id, name, address, round_even(distance_m / 70, 1) AS
 FROM near""",
 )
 def walk_groceries(t: Given) -> DataFrame:
-    near = walk.walk_groceries(t.v_properties, t.v_amenities, minutes=15)
+    near = walk.walk_groceries(t.v_properties, t.v_amenities, minutes=15, keep_cells=True)
     return walk.nearest_first(near, "amenity_id").select(
         "property_id",
         "amenity_id",
@@ -168,7 +168,7 @@ SELECT p.property_id, 0 AS page, CASE WHEN features IS NULL THEN 'empty' ELSE 'f
 FROM {{v_properties}} p LEFT JOIN texts ON p.property_id = texts.property_id""",
 )
 def walk_groceries_geojson(t: Given) -> DataFrame:
-    near = walk.walk_groceries(t.v_properties, t.v_amenities, minutes=15)
+    near = walk.walk_groceries(t.v_properties, t.v_amenities, minutes=15, keep_cells=True)
     answers = walk.grocery_responses(near, t.v_properties, 15)
     found = F.col("response.grocery_geojson.features")
     return answers.select(
@@ -184,7 +184,7 @@ def walk_groceries_geojson(t: Given) -> DataFrame:
 def stored_properties(t: Given) -> DataFrame:
     """Properties with their stored responses as JSON text, in all three shapes."""
     kept = walk.walk_stops(t.v_properties, t.v_stops, t.v_route_stops, minutes=15)
-    near = walk.walk_groceries(t.v_properties, t.v_amenities, minutes=15)
+    near = walk.walk_groceries(t.v_properties, t.v_amenities, minutes=15, keep_cells=True)
     bus = walk.stop_responses(kept, t.v_properties, 15).select("property_id", "response")
     food = walk.grocery_responses(near, t.v_properties, 15).select("property_id", "response")
 

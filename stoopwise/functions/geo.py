@@ -10,14 +10,21 @@ from stoopwise.params import METRES_PER_MINUTE, Box
 EARTH_RADIUS_M = 6_371_008.8
 
 
-def metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in metres (haversine)."""
+def haversine(
+    lat1: Column, lon1: Column, cos1: Column, lat2: Column, lon2: Column, cos2: Column
+) -> Column:
+    """Great-circle distance in metres, given the cosines of the latitudes."""
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    h = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
+    h = half_lat * half_lat + cos1 * cos2 * half_lon * half_lon
     return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+def metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Great-circle distance in metres."""
+    return haversine(lat1, lon1, F.cos(F.radians(lat1)), lat2, lon2, F.cos(F.radians(lat2)))
+
+
 def stop_minutes(distance: Column, m_per_min: float = METRES_PER_MINUTE) -> Column:
     """Whole walking minutes, halves to the even minute."""
     return F.bround(distance / F.lit(float(m_per_min)), 0).cast("int")

@@ -17,16 +17,18 @@ def number_within(
     order: Sequence[Column],
     name: str = "n",
     rows_per_task: int = ROWS_PER_TASK,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add a 1-based row number per group; ``order`` must be total within a group.
 
     While the largest group fits one task this is a plain window. Beyond that the
     rows are range-partitioned by group and order, numbered inside each partition,
     and moved on by what the same group has in earlier partitions. With no keys the
-    whole table is one group.
+    whole table is one group. The rows of the largest group are counted unless the
+    caller knows a bound and passes it as ``largest``.
     """
-    counts = df.groupBy(*keys).count()
-    largest = counts.agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= rows_per_task:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("long"))

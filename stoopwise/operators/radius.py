@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stoopwise.functions.geo import EARTH_RADIUS_M, is_place, metres
-from stoopwise.operators.skew import salted_join
+from stoopwise.functions.geo import EARTH_RADIUS_M, haversine, is_place
+from stoopwise.operators.skew import SALT, salted
 from stoopwise.params import ROWS_PER_TASK
 
 # Cells never get smaller than this, so a radius of zero still has cells.
@@ -16,6 +18,30 @@ SMALLEST_CELL_DEG = 0.0005
 # Room for rounding in the trigonometry; cells only preselect, the distance decides.
 SLACK = 1.0001
 
+# The columns the pairs are partitioned by. All pairs of a point share their values, so
+# an aggregate or window per point that also names these needs no further shuffle.
+CELL = ["_reach", "_band", "_column", SALT]
+
+
+class _Bounds(NamedTuple):
+    """What a grid needs to know about its radius, in degrees where not said otherwise."""
+
+    reach: float
+    sine: float
+    height: float
+    last_band: int
+
+    @classmethod
+    def of(cls, radius_m: float) -> _Bounds:
+        angle = min(radius_m / EARTH_RADIUS_M, math.pi / 2)
+        reach = math.degrees(angle) * SLACK
+        height = max(reach, SMALLEST_CELL_DEG)
+        return cls(reach, math.sin(angle) * SLACK, height, math.ceil(180 / height) - 1)
+
+
+def _column(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
 
 class _Grid:
     """Latitude bands cut into columns, each at least one radius wide.
@@ -25,25 +51,27 @@ class _Grid:
     date line needs no special case. Around the poles a band is a single column.
     """
 
-    def __init__(self, radius_m: float):
-        angle = min(radius_m / EARTH_RADIUS_M, math.pi / 2)
-        self.reach = math.degrees(angle) * SLACK
-        self.sine = math.sin(angle)
-        self.height = max(self.reach, SMALLEST_CELL_DEG)
-        self.bands = math.ceil(180 / self.height)
+    def __init__(self, reach, sine, height, last_band):
+        """Plain numbers for one radius, columns for a radius per row."""
+        self.reach = reach
+        self.sine = sine
+        self.height = height
+        self.last_band = last_band
 
     def band(self, lat: Column) -> Column:
         raw = F.floor((lat + 90) / self.height)
-        return F.least(F.greatest(raw, F.lit(0)), F.lit(self.bands - 1)).cast("int")
+        return F.least(F.greatest(raw, F.lit(0)), _column(self.last_band)).cast("int")
 
     def _width(self, top: Column) -> Column:
-        """Degrees of longitude a circle can reach to each side, at most at ``top``."""
-        ratio = F.lit(self.sine) / F.cos(F.radians(top))
-        bent = F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * SLACK
-        near_pole = (top + self.reach >= 90) | (ratio >= 1)
-        return F.when(near_pole, F.lit(360.0)).otherwise(
-            F.greatest(bent, F.lit(SMALLEST_CELL_DEG))
-        )
+        """Degrees of longitude a circle can reach to each side, at most at ``top``.
+
+        Where the circle touches the pole the sine is at least the cosine: all around.
+        """
+        ratio = _column(self.sine) / F.cos(F.radians(top))
+        bent = F.degrees(F.asin(ratio)) * SLACK
+        return F.when(
+            ratio < 1, F.greatest(bent, F.lit(SMALLEST_CELL_DEG))
+        ).otherwise(F.lit(360.0))
 
     def columns(self, band: Column) -> Column:
         low, high = band * self.height - 90, (band + 1) * self.height - 90
@@ -69,28 +97,60 @@ class _Grid:
 def radius_join(
     points: DataFrame,
     targets: DataFrame,
-    radius_m: float,
-    salt_by: list[str],
+    radius_m: float | str,
+    salt_by: Sequence[str],
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Pairs of a point and a target at most ``radius_m`` apart, with ``distance_m``.
+    """Pairs of a point and a target within a radius, with ``distance_m``.
 
     Both sides need ``lat`` and ``lon``; the target's come out as ``target_lat`` and
-    ``target_lon``. The remaining column names must differ. The distance test runs
-    only inside equal grid cells: every point has one cell, every target is copied to
-    the few cells its circle touches, so each pair meets exactly once and the plan is
-    an equi-join. Points crowded in one cell are spread over several tasks.
+    ``target_lon``. The remaining column names must differ. ``radius_m`` is a number,
+    or the name of a column of ``points``; the border belongs to the circle.
+
+    The distance test runs only inside equal grid cells: every point has one cell,
+    every target is copied to the few cells its circle touches, so each pair meets
+    exactly once and the plan is an equi-join. Points crowded in one cell are spread
+    over several tasks. With a column of radii each point uses the grid of the next
+    power of two, so one far-reaching point does not widen the cells of all others;
+    targets enter each grid in use, of which there are at most 25 around the globe.
+
+    A partition of cells turns into far more pairs than its size tells, so the cells
+    keep the session's number of shuffle partitions and are not merged by size. The
+    result carries the ``CELL`` columns.
     """
-    grid = _Grid(max(float(radius_m), 0.0))
+    placed = points.where(is_place(F.col("lat"), F.col("lon")))
+    reached = targets.where(is_place(F.col("lat"), F.col("lon")))
+    if isinstance(radius_m, str):
+        radius = F.col(radius_m).cast("double")
+        power = F.ceil(F.log2(F.least(F.greatest(radius, F.lit(1.0)), F.lit(2.0**25))))
+        placed = placed.where(radius >= 0).withColumn("_reach", power.cast("int"))
+        # At most 26 small numbers.
+        powers = [row["_reach"] for row in placed.select("_reach").distinct().collect()]
+        bounds = {
+            p: F.struct(*[F.lit(v).alias(n) for n, v in _Bounds.of(2.0**p)._asdict().items()])
+            for p in powers or [0]
+        }
+        lookup = F.create_map(*[x for p, b in bounds.items() for x in (F.lit(p), b)])
+        placed = placed.withColumn("_grid", F.element_at(lookup, F.col("_reach")))
+        reached = reached.select("*", F.explode(lookup).alias("_reach", "_grid"))
+        grid = _Grid(*[F.col(f"_grid.{name}") for name in _Bounds._fields])
+    else:
+        radius = F.lit(float(radius_m))
+        placed = placed.where(radius >= 0).withColumns({"_reach": F.lit(0), "_grid": F.lit(None)})
+        reached = reached.withColumns({"_reach": F.lit(0), "_grid": F.lit(None)})
+        grid = _Grid(*_Bounds.of(max(float(radius_m), 0.0)))
+
     columns = grid.columns(F.col("_band"))
     left = (
-        points.where(is_place(F.col("lat"), F.col("lon")))
-        .withColumn("_band", grid.band(F.col("lat")))
+        placed.withColumns(
+            {"_band": grid.band(F.col("lat")), "_cos": F.cos(F.radians("lat"))}
+        )
         .withColumn("_column", F.pmod(grid.column(F.col("lon"), columns), columns))
+        .drop("_grid")
     )
     right = (
-        targets.where(is_place(F.col("lat"), F.col("lon")))
-        .withColumnsRenamed({"lat": "target_lat", "lon": "target_lon"})
+        reached.withColumnsRenamed({"lat": "target_lat", "lon": "target_lon"})
+        .withColumn("_target_cos", F.cos(F.radians("target_lat")))
         .withColumn("_band", F.explode(grid.reached_bands(F.col("target_lat"))))
         .withColumn(
             "_column",
@@ -98,9 +158,21 @@ def radius_join(
                 grid.reached_columns(F.col("target_lat"), F.col("target_lon"), columns)
             ),
         )
+        .drop("_grid")
+    )
+    left, right = salted(left, right, CELL[:-1], salt_by, rows_per_task)
+    partitions = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (side.repartition(partitions, *CELL) for side in (left, right))
+    distance = haversine(
+        F.col("lat"), F.col("lon"), F.col("_cos"),
+        F.col("target_lat"), F.col("target_lon"), F.col("_target_cos"),
+    )
+    # Comparing latitudes is cheap and spares a third of the distances.
+    near = F.abs(F.col("lat") - F.col("target_lat")) <= F.degrees(radius / EARTH_RADIUS_M) * SLACK
+    return (
+        left.join(right, CELL)
+        .where(near)
+        .withColumn("distance_m", distance)
+        .where(F.col("distance_m") <= radius)
+        .drop("_cos", "_target_cos")
     )
-    pairs = salted_join(
-        left, right, ["_band", "_column"], salt_by=salt_by, rows_per_task=rows_per_task
-    ).drop("_band", "_column")
-    distance = metres(F.col("lat"), F.col("lon"), F.col("target_lat"), F.col("target_lon"))
-    return pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)

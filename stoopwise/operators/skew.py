@@ -14,6 +14,8 @@ from stoopwise.params import ROWS_PER_TASK
 MOST_HOT_KEYS = 1024
 MOST_SALTS = 4096
 
+SALT = "_salt"
+
 
 def hot_keys(
     df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
@@ -34,25 +36,53 @@ def hot_keys(
     )
 
 
-def salted_join(
+def salted(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
     salt_by: Sequence[str],
-    how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Join ``big`` to ``small`` (inner or left), spreading the hot keys of ``big``.
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with a ``_salt`` column that spreads the hot keys of ``big``.
 
     A row of ``big`` gets one salt, taken from its ``salt_by`` columns so that a
     re-run task computes the same one; the rows of ``small`` are copied to every
     salt of their key. Keys that are not hot keep a single salt and are not copied.
+
+    The keys of ``big`` are counted first, so ``big`` should be cheap to read, such as
+    a table; after an expensive step leave skew to the adaptive join instead.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("only inner and left joins can be salted on the left side")
-    hot = F.broadcast(hot_keys(big, keys, rows_per_task))
+    found = hot_keys(big, keys, rows_per_task).collect()
+    if not found:
+        return big.withColumn(SALT, F.lit(0)), small.withColumn(SALT, F.lit(0))
+    schema = big.select(*keys).withColumn("_salts", F.lit(0)).schema
+    hot = F.broadcast(big.sparkSession.createDataFrame(found, schema))
     salt = F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("_salts")).cast("int"), F.lit(0))
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    left = big.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_salts")
-    right = small.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies))
-    return left.join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
+    # A null key joins nothing, but in a left join its rows need spreading all the same.
+    left = _with_salts(big, hot, keys).withColumn(SALT, salt)
+    right = _with_salts(small, hot, keys).withColumn(SALT, F.explode(copies))
+    return left.drop("_salts"), right.drop("_salts")
+
+
+def _with_salts(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    same = F.lit(True)
+    for key in keys:
+        same &= F.col(f"d.{key}").eqNullSafe(F.col(f"h.{key}"))
+    joined = df.alias("d").join(hot.alias("h"), same, "left")
+    return joined.select("d.*", "h._salts")
+
+
+def salted_join(
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    salt_by: Sequence[str],
+    how: str = "inner",
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Join ``big`` to ``small`` (inner or left), spreading the hot keys of ``big``."""
+    if how not in ("inner", "left"):
+        raise ValueError("only inner and left joins can be salted on the left side")
+    left, right = salted(big, small, keys, salt_by, rows_per_task)
+    return left.join(right, [*keys, SALT], how).drop(SALT)

@@ -92,14 +92,7 @@ def property_intake(
     lowest = properties.groupBy("address").agg(F.min("property_id").alias("property_id"))
     created = new_properties(matched, properties, rows_per_task).select("address", "property_id")
     ids = lowest.unionByName(created).withColumnRenamed("address", "matched_address")
-    located = salted_join(
-        matched,
-        ids,
-        ["matched_address"],
-        salt_by=["request_id"],
-        how="left",
-        rows_per_task=rows_per_task,
-    )
+    located = matched.join(ids, "matched_address", "left")
     good = F.col("error").isNull()
     inside = geo.in_box(F.col("lat"), F.col("lon"), box)
     return located.select(

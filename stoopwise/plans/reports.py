@@ -13,6 +13,7 @@ from stoopwise.operators.numbering import number_within
 from stoopwise.operators.prefix import prefix_join
 from stoopwise.operators.skew import salted_join
 from stoopwise.params import ROWS_PER_TASK, TRIVIAL_CODES
+from stoopwise.session import written
 
 LINES_PER_PART = 10_000
 
@@ -53,7 +54,6 @@ def report_lines(
     frequent address is spread by violation id when the heads are attached, and its
     lines are numbered across tasks.
     """
-    serious = filters.drop_codes(violations, codes).where("violation_date IS NOT NULL")
     columns = [
         "violation_id",
         "violation_date",
@@ -62,21 +62,33 @@ def report_lines(
         "violation_inspector_comments",
         "violation_ordinance",
     ]
-    rows = serious.select(F.upper("address").alias("_text"), *columns)
+    # Read four times below, and usually the outcome of a deduplication.
+    kept = written(
+        violations.select(
+            F.upper("address").alias("_text"),
+            *columns,
+            filters.one_of(F.col("violation_code"), codes).alias("_trivial"),
+        ),
+        "report-rows",
+    )
+    rows = kept.where("NOT _trivial AND violation_date IS NOT NULL").drop("_trivial")
     # Every listed address is a head, also one that has trivial violations only: it gets
     # a report when a longer address that starts with it has a serious one.
-    pairs = prefix_join(
-        violations.select(F.col("address").alias("head")), rows, "head", "_text"
-    )
+    pairs = prefix_join(kept.select(F.col("_text").alias("head")), rows, "head", "_text")
     joined = salted_join(
         rows, pairs, ["_text"], salt_by=["violation_id"], rows_per_task=rows_per_task
     )
+    per_day = rows.groupBy("_text", "violation_date").count().join(pairs, "_text")
+    largest = (
+        per_day.groupBy("head", "violation_date").agg(F.sum("count").alias("n")).agg(F.max("n"))
+    )
     numbered = number_within(
         joined,
         ["head", "violation_date"],
         [F.desc("inspection_number"), F.asc("inspection_category"), F.asc("violation_id")],
         name="line_no",
         rows_per_task=rows_per_task,
+        largest=largest.first()[0] or 0,
     )
     return numbered.select(
         "head",

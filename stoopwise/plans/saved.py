@@ -89,18 +89,17 @@ def saved_state(
     )
 
 
-def with_property(
-    saved: DataFrame, properties: DataFrame, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Saved rows with their property: of equal addresses the one with the lowest id."""
+def with_property(saved: DataFrame, properties: DataFrame) -> DataFrame:
+    """Saved rows with their property: of equal addresses the one with the lowest id.
+
+    An address that very many users saved is left to the adaptive join.
+    """
     first = first_per_key(
         properties.withColumn("address", F.upper("address")),
         ["address"],
         [F.col("property_id")],
     )
-    return salted_join(
-        saved, first, ["address"], salt_by=["user_id"], rows_per_task=rows_per_task
-    )
+    return saved.join(first, "address")
 
 
 def active(saved: DataFrame) -> DataFrame:

@@ -11,10 +11,8 @@ from stoopwise.functions import features as ft
 from stoopwise.functions import geo, text
 from stoopwise.operators import merge
 from stoopwise.operators.filters import mentions, one_of
-from stoopwise.operators.skew import salted_join
 from stoopwise.params import (
     EXCLUDED_ROUTES,
-    ROWS_PER_TASK,
     SHUTTLE_RENAMES,
     SHUTTLES_DROPPED,
     SHUTTLES_KEPT,
@@ -192,20 +190,12 @@ def requested_routes(requests: DataFrame) -> DataFrame:
     return last.select("request_id", "route_id", color.alias("color"))
 
 
-def route_map(
-    requests: DataFrame, routes: DataFrame, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def route_map(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """Coloured routes of each request, one row per request, route and part.
 
-    Most requests ask for the same few routes, so a popular route is spread by request.
+    A route that most requests ask for is left to the adaptive join.
     """
-    return salted_join(
-        requested_routes(requests),
-        routes,
-        ["route_id"],
-        salt_by=["request_id"],
-        rows_per_task=rows_per_task,
-    )
+    return requested_routes(requests).join(routes, "route_id")
 
 
 def request_errors(requests: DataFrame, found: DataFrame) -> DataFrame:

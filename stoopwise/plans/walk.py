@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from stoopwise.functions import features as ft
 from stoopwise.functions import geo
-from stoopwise.operators.numbering import first_per_key
-from stoopwise.operators.radius import radius_join
+from stoopwise.operators.radius import CELL, radius_join
+from stoopwise.operators.skew import salted_join
 from stoopwise.params import METRES_PER_MINUTE, ROWS_PER_TASK, TIME_BUCKETS
+from stoopwise.session import written
 
 PAGE_SIZE = 5_000
 
@@ -26,6 +27,67 @@ def stops_with_routes(stops: DataFrame, route_stops: DataFrame) -> DataFrame:
     return stops.join(routes, "stop_id", "left").withColumn("routes", F.coalesce("routes", empty))
 
 
+def _near_stops(
+    points: DataFrame,
+    stops: DataFrame,
+    route_stops: DataFrame,
+    radius_m: float | str,
+    rows_per_task: int,
+) -> DataFrame:
+    """Every stop in reach of every point; the routes travel with the stop.
+
+    So the pairs need no join of their own to find them, which would shuffle by far
+    the largest table of the job.
+    """
+    return radius_join(
+        points,
+        stops_with_routes(stops, route_stops).select("stop_id", "routes", "lat", "lon"),
+        radius_m,
+        salt_by=["property_id"],
+        rows_per_task=rows_per_task,
+    ).select(*CELL, "property_id", "stop_id", "routes", "distance_m")
+
+
+def new_route_stops(near: DataFrame) -> DataFrame:
+    """Walking outwards from a property, the stops that bring a route not seen before.
+
+    A stop passed over adds no route, so the routes seen before a stop are those of
+    all nearer stops: a stop is kept exactly when it is the first one, by distance and
+    id, for some route. A stop without routes is never first for any. Rows of
+    ``radius_join`` are grouped where they are, by their cells.
+    """
+    place = [c for c in CELL if c in near.columns]
+    first = (
+        near.withColumn("_route", F.explode("routes"))
+        .groupBy(*place, "property_id", "_route")
+        .agg(F.min(F.struct("distance_m", "stop_id")).alias("_first"))
+    )
+    return (
+        first.groupBy(*place, "property_id", F.col("_first.stop_id").alias("stop_id"))
+        .agg(F.min("_first.distance_m").alias("distance_m"))
+        .drop(*place)
+    )
+
+
+def _described(
+    rows: DataFrame, stops: DataFrame, route_stops: DataFrame, m_per_min: float
+) -> DataFrame:
+    """Add name, place, routes and walking minutes to (property_id, stop_id, distance_m).
+
+    A stop next to very many properties makes a skewed partition, which the adaptive
+    join splits; counting the stops first would compute all the pairs twice.
+    """
+    facts = stops_with_routes(stops, route_stops).select(
+        "stop_id",
+        "stop_name",
+        "routes",
+        F.col("lat").alias("target_lat"),
+        F.col("lon").alias("target_lon"),
+    )
+    joined = rows.join(facts, "stop_id")
+    return joined.withColumn("distance_min", geo.stop_minutes(F.col("distance_m"), m_per_min))
+
+
 def stops_all(
     points: DataFrame,
     stops: DataFrame,
@@ -36,8 +98,7 @@ def stops_all(
 ) -> DataFrame:
     """Every stop in walking distance of every point, with its routes.
 
-    ``points`` has property_id, lat, lon; the routes travel with the stop, so the
-    pairs need no join of their own to find them.
+    ``points`` has property_id, lat, lon.
     """
     pairs = radius_join(
         points.select("property_id", "lat", "lon"),
@@ -49,24 +110,10 @@ def stops_all(
         rows_per_task=rows_per_task,
     )
     return pairs.withColumn("distance_min", geo.stop_minutes(F.col("distance_m"), m_per_min)).drop(
-        "lat", "lon"
+        "lat", "lon", *CELL
     )
 
 
-def new_route_stops(near: DataFrame) -> DataFrame:
-    """Walking outwards from a property, the stops that bring a route not seen before.
-
-    A stop passed over adds no route, so the routes seen before a stop are those of
-    all nearer stops: a stop is kept exactly when it is the first one, by distance and
-    id, for some route. A stop without routes is never first for any.
-    """
-    carried = near.withColumn("_route", F.explode("routes"))
-    first = first_per_key(
-        carried, ["property_id", "_route"], [F.col("distance_m"), F.col("stop_id")]
-    )
-    return first.drop("_route").dropDuplicates(["property_id", "stop_id"])
-
-
 def walk_stops(
     properties: DataFrame,
     stops: DataFrame,
@@ -76,9 +123,14 @@ def walk_stops(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Per property the stops within ``minutes`` that bring a new route."""
-    return new_route_stops(
-        stops_all(properties, stops, route_stops, minutes, m_per_min, rows_per_task)
+    near = _near_stops(
+        properties.select("property_id", "lat", "lon"),
+        stops,
+        route_stops,
+        minutes * m_per_min,
+        rows_per_task,
     )
+    return _described(new_route_stops(near), stops, route_stops, m_per_min)
 
 
 def walk_groceries(
@@ -87,8 +139,12 @@ def walk_groceries(
     minutes: float = 15,
     m_per_min: float = METRES_PER_MINUTE,
     rows_per_task: int = ROWS_PER_TASK,
+    keep_cells: bool = False,
 ) -> DataFrame:
-    """Per property the grocery stores within ``minutes``."""
+    """Per property the grocery stores within ``minutes``.
+
+    With ``keep_cells`` the rows can be ranked or paged without another shuffle.
+    """
     groceries = amenities.where(F.col("type") == "grocery").select(
         "amenity_id", "name", "address", "lat", "lon"
     )
@@ -101,12 +157,13 @@ def walk_groceries(
     )
     return pairs.withColumn(
         "distance_min", geo.grocery_minutes(F.col("distance_m"), m_per_min)
-    ).drop("lat", "lon")
+    ).drop("lat", "lon", *([] if keep_cells else CELL))
 
 
 def nearest_first(rows: DataFrame, id_name: str) -> DataFrame:
     """Rank the rows of each property by distance."""
-    window = Window.partitionBy("property_id").orderBy("distance_m", id_name)
+    place = [c for c in CELL if c in rows.columns]
+    window = Window.partitionBy(*place, "property_id").orderBy("distance_m", id_name)
     return rows.withColumn("nearest", F.row_number().over(window))
 
 
@@ -119,9 +176,11 @@ def _pages(rows: DataFrame, id_name: str, feature: Column, page_size: int) -> Da
     ranked = nearest_first(rows, id_name)
     page = F.floor((F.col("nearest") - 1) / page_size).cast("int").alias("page")
     listed = F.sort_array(F.collect_list(F.struct("nearest", feature.alias("feature"))))
-    return ranked.groupBy("property_id", page).agg(
+    place = [c for c in CELL if c in rows.columns]
+    pages = ranked.groupBy(*place, "property_id", page).agg(
         F.transform(listed, lambda x: x["feature"]).alias("features")
     )
+    return pages.drop(*place)
 
 
 def _envelope(
@@ -226,43 +285,36 @@ def requested_stops(
     m_per_min: float = METRES_PER_MINUTE,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Answer many stop requests of different walking times.
+    """Answer many stop requests, each with its own walking time, in one join.
 
     ``requests`` has request_id, property_id, geocode, walking_time. Rows come out per
-    kept stop; a request that fails has a single row with its error. Requests are
-    joined in classes of doubling time, so one far-reaching request does not widen the
-    grid cells of all others; the number of classes is the logarithm of the longest.
+    kept stop; a request that fails has a single row with its error.
     """
-    checked = check_requests(requests, zero_minutes_allowed=False)
-    good = checked.where("error IS NULL").withColumn(
-        "_class", F.ceil(F.log2("walking_time")).cast("int")
+    # Read four times below; the parsed coordinates are kept rather than parsed again.
+    checked = written(check_requests(requests, zero_minutes_allowed=False), "requests")
+    points = checked.where("error IS NULL").select(
+        F.col("request_id").alias("property_id"),
+        "lat",
+        "lon",
+        (F.col("walking_time") * F.lit(float(m_per_min))).alias("_radius"),
     )
-    targets = stops_with_routes(stops, route_stops).select(
-        "stop_id", "stop_name", "routes", "lat", "lon"
+    near = _near_stops(points, stops, route_stops, "_radius", rows_per_task)
+    kept = new_route_stops(near).select(
+        F.col("property_id").alias("request_id"),
+        "stop_id",
+        geo.stop_minutes(F.col("distance_m"), m_per_min).alias("distance_min"),
     )
-    near = None
-    for row in good.select("_class").distinct().orderBy("_class").collect():
-        pairs = radius_join(
-            good.where(F.col("_class") == row["_class"]).select(
-                "request_id", "walking_time", "lat", "lon"
-            ),
-            targets,
-            2.0 ** row["_class"] * m_per_min,
-            salt_by=["request_id"],
-            rows_per_task=rows_per_task,
-        ).where(F.col("distance_m") <= F.col("walking_time") * F.lit(m_per_min))
-        near = pairs if near is None else near.unionByName(pairs)
-    if near is None:
-        kept = checked.select("request_id", F.lit(None).alias("stop_id"),
-                              F.lit(None).cast("int").alias("distance_min")).limit(0)
-    else:
-        kept = new_route_stops(near.withColumnRenamed("request_id", "property_id")).select(
-            F.col("property_id").alias("request_id"),
-            "stop_id",
-            geo.stop_minutes(F.col("distance_m"), m_per_min).alias("distance_min"),
-        )
     known = properties.select("property_id", F.lit(True).alias("_known"))
-    answers = checked.join(kept, "request_id", "left").join(known, "property_id", "left")
+    # Many requests can be about one property, so it is looked up before they multiply.
+    asked = salted_join(
+        checked,
+        known,
+        ["property_id"],
+        salt_by=["request_id"],
+        how="left",
+        rows_per_task=rows_per_task,
+    )
+    answers = asked.join(kept, "request_id", "left")
     # The order of the tests is the order in which a request can fail.
     error = (
         F.when(F.col("error").isNotNull(), F.col("error"))

@@ -246,13 +246,16 @@ LINES = f"""uniq AS ({UNIQUE}),
 heads AS (SELECT DISTINCT upper(address) AS head FROM uniq),
 lines AS (SELECT head, violation_date, row_number() OVER (PARTITION BY head, violation_date
     ORDER BY inspection_number DESC, inspection_category, violation_id) AS line_no,
+    count(*) OVER (PARTITION BY head, violation_date) AS n_violations,
+    row_number() OVER (PARTITION BY head ORDER BY violation_date DESC, inspection_number DESC,
+      inspection_category, violation_id) AS place,
     violation_inspector_comments AS comment,
     regexp_replace(regexp_replace(violation_ordinance,
       '\\s*\\([^()]*(?:\\([^()]*\\)[^()]*)*\\)?\\s*$', ''), '\\s+$', '') AS ordinance
   FROM heads JOIN uniq ON split_part(upper(address), ' ', 1) = split_part(head, ' ', 1)
     AND starts_with(upper(address), head)
   WHERE violation_code IS NULL OR violation_code NOT IN {TRIVIAL}),
-texts AS (SELECT head, violation_date, line_no, CAST(line_no AS STRING)
+texts AS (SELECT head, violation_date, line_no, n_violations, place, CAST(line_no AS STRING)
     || ') Inspector noted issue(s) with ''' || coalesce(comment, '')
     || ''' -- which allegedly violated city ordinance ''' || ordinance || '''; ' AS line FROM lines)"""
 REPORTS = f"""{LINES},
@@ -276,7 +279,7 @@ def report_lines(t: Given) -> DataFrame:
 
 @query("Q5 A15 X12 X23", sql=f"WITH {REPORTS} SELECT * FROM whole")
 def report_text(t: Given) -> DataFrame:
-    return reports.report_text(reports.occasion_parts(_lines(t)))
+    return reports.report_text(_lines(t))
 
 
 BASE_PROMPT = "Summarise the violations of this building."
@@ -288,7 +291,7 @@ BASE_PROMPT = "Summarise the violations of this building."
   '{BASE_PROMPT}' || chr(10) || report AS prompt FROM whole""",
 )
 def prompt_table(t: Given) -> DataFrame:
-    whole = reports.report_text(reports.occasion_parts(_lines(t)))
+    whole = reports.report_text(_lines(t))
     return reports.prompt_table(whole, BASE_PROMPT)
 
 

@@ -14,9 +14,9 @@ def haversine(
     lat1: Column, lon1: Column, cos1: Column, lat2: Column, lon2: Column, cos2: Column
 ) -> Column:
     """Great-circle distance in metres, given the cosines of the latitudes."""
-    half_lat = F.sin(F.radians(lat2 - lat1) / 2)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    h = half_lat * half_lat + cos1 * cos2 * half_lon * half_lon
+    half_lat = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0))
+    half_lon = F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
+    h = half_lat + cos1 * cos2 * half_lon
     return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 

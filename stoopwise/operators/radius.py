@@ -18,11 +18,17 @@ SMALLEST_CELL_DEG = 0.0005
 # Room for rounding in the trigonometry; cells only preselect, the distance decides.
 SLACK = 1.0001
 
-# The columns the pairs are partitioned by. All pairs of a point share their values, so
-# an aggregate or window per point that also names these needs no further shuffle.
+# The columns the pairs are partitioned by, the first and last only where they vary. All
+# pairs of a point share their values, so an aggregate or window per point that also names
+# these needs no further shuffle.
 CELL = ["_reach", "_band", "_column", SALT]
 
 
+def cell_columns(df: DataFrame) -> list[str]:
+    """The cell columns a table of pairs carries."""
+    return [c for c in CELL if c in df.columns]
+
+
 class _Bounds(NamedTuple):
     """What a grid needs to know about its radius, in degrees where not said otherwise."""
 
@@ -84,14 +90,10 @@ class _Grid:
     def reached_bands(self, lat: Column) -> Column:
         return F.sequence(self.band(lat - self.reach), self.band(lat + self.reach))
 
-    def reached_columns(self, lat: Column, lon: Column, columns: Column) -> Column:
+    def reached_columns(self, lat: Column, lon: Column, columns: Column) -> tuple[Column, Column]:
+        """First and last column reached, not yet taken modulo the number of columns."""
         width = self._width(F.abs(lat))
-        first = self.column(lon - width, columns)
-        last = self.column(lon + width, columns)
-        around = F.sequence(F.lit(0).cast("long"), columns - 1)
-        return F.when(last - first + 1 >= columns, around).otherwise(
-            F.transform(F.sequence(first, last), lambda c: F.pmod(c, columns))
-        )
+        return self.column(lon - width, columns), self.column(lon + width, columns)
 
 
 def radius_join(
@@ -136,33 +138,41 @@ def radius_join(
         grid = _Grid(*[F.col(f"_grid.{name}") for name in _Bounds._fields])
     else:
         radius = F.lit(float(radius_m))
-        placed = placed.where(radius >= 0).withColumns({"_reach": F.lit(0), "_grid": F.lit(None)})
-        reached = reached.withColumns({"_reach": F.lit(0), "_grid": F.lit(None)})
+        placed = placed.where(radius >= 0)
         grid = _Grid(*_Bounds.of(max(float(radius_m), 0.0)))
 
-    columns = grid.columns(F.col("_band"))
+    def with_columns_of_band(df: DataFrame) -> DataFrame:
+        return df.withColumn("_columns", grid.columns(F.col("_band")))
+
     left = (
-        placed.withColumns(
-            {"_band": grid.band(F.col("lat")), "_cos": F.cos(F.radians("lat"))}
+        with_columns_of_band(
+            placed.withColumns(
+                {"_band": grid.band(F.col("lat")), "_cos": F.cos(F.radians("lat"))}
+            )
         )
-        .withColumn("_column", F.pmod(grid.column(F.col("lon"), columns), columns))
-        .drop("_grid")
+        .withColumn("_column", F.pmod(grid.column(F.col("lon"), F.col("_columns")), "_columns"))
+        .drop("_grid", "_columns")
     )
-    right = (
+    right = with_columns_of_band(
         reached.withColumnsRenamed({"lat": "target_lat", "lon": "target_lon"})
         .withColumn("_target_cos", F.cos(F.radians("target_lat")))
         .withColumn("_band", F.explode(grid.reached_bands(F.col("target_lat"))))
-        .withColumn(
-            "_column",
-            F.explode(
-                grid.reached_columns(F.col("target_lat"), F.col("target_lon"), columns)
-            ),
-        )
-        .drop("_grid")
     )
-    left, right = salted(left, right, CELL[:-1], salt_by, rows_per_task)
+    first, last = grid.reached_columns(
+        F.col("target_lat"), F.col("target_lon"), F.col("_columns")
+    )
+    # A circle that reaches all around takes every column once.
+    right = (
+        right.withColumns({"_first": first, "_last": last})
+        .withColumn("_last", F.least("_last", F.col("_first") + F.col("_columns") - 1))
+        .withColumn("_column", F.explode(F.sequence("_first", "_last")))
+        .withColumn("_column", F.pmod("_column", "_columns"))
+        .drop("_grid", "_columns", "_first", "_last")
+    )
+    left, right = salted(left, right, cell_columns(left), salt_by, rows_per_task)
+    cell = cell_columns(left)
     partitions = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = (side.repartition(partitions, *CELL) for side in (left, right))
+    left, right = (side.repartition(partitions, *cell) for side in (left, right))
     distance = haversine(
         F.col("lat"), F.col("lon"), F.col("_cos"),
         F.col("target_lat"), F.col("target_lon"), F.col("_target_cos"),
@@ -170,7 +180,7 @@ def radius_join(
     # Comparing latitudes is cheap and spares a third of the distances.
     near = F.abs(F.col("lat") - F.col("target_lat")) <= F.degrees(radius / EARTH_RADIUS_M) * SLACK
     return (
-        left.join(right, CELL)
+        left.join(right, cell)
         .where(near)
         .withColumn("distance_m", distance)
         .where(F.col("distance_m") <= radius)

@@ -43,9 +43,9 @@ def salted(
     salt_by: Sequence[str],
     rows_per_task: int = ROWS_PER_TASK,
 ) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join with a ``_salt`` column that spreads the hot keys of ``big``.
+    """Both sides of a join, with a ``_salt`` column where ``big`` has hot keys.
 
-    A row of ``big`` gets one salt, taken from its ``salt_by`` columns so that a
+    Without any the sides come back as they are. A row of ``big`` gets one salt, taken from its ``salt_by`` columns so that a
     re-run task computes the same one; the rows of ``small`` are copied to every
     salt of their key. Keys that are not hot keep a single salt and are not copied.
 
@@ -54,7 +54,7 @@ def salted(
     """
     found = hot_keys(big, keys, rows_per_task).collect()
     if not found:
-        return big.withColumn(SALT, F.lit(0)), small.withColumn(SALT, F.lit(0))
+        return big, small
     schema = big.select(*keys).withColumn("_salts", F.lit(0)).schema
     hot = F.broadcast(big.sparkSession.createDataFrame(found, schema))
     salt = F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("_salts")).cast("int"), F.lit(0))
@@ -85,4 +85,5 @@ def salted_join(
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can be salted on the left side")
     left, right = salted(big, small, keys, salt_by, rows_per_task)
-    return left.join(right, [*keys, SALT], how).drop(SALT)
+    salt = [SALT] if SALT in left.columns else []
+    return left.join(right, [*keys, *salt], how).drop(*salt)

@@ -47,12 +47,16 @@ def report_lines(
     codes: Iterable[str] = TRIVIAL_CODES,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """One row per report line: head, date, number within the occasion, text.
+    """One row per report line.
 
-    ``violations`` must be unique by violation_id. Every address gets a report, and by
-    the prefix rule the report also covers longer addresses that start with it. A
-    frequent address is spread by violation id when the heads are attached, and its
-    lines are numbered across tasks.
+    ``head`` is the address of the report, ``line_no`` counts within an occasion (a
+    day) of ``n_violations`` lines, ``place`` within the whole report, latest occasion
+    first. ``violations`` must be unique by violation_id. Every address gets a report,
+    and by the prefix rule it also covers longer addresses that start with its own.
+
+    Everything about addresses and days is settled on tables of one row per address
+    and day; the violations themselves only look up their day, spread by their id
+    where a day is very large, and are numbered across tasks.
     """
     columns = [
         "violation_id",
@@ -62,7 +66,7 @@ def report_lines(
         "violation_inspector_comments",
         "violation_ordinance",
     ]
-    # Read four times below, and usually the outcome of a deduplication.
+    # Read several times below, and usually the outcome of a deduplication.
     kept = written(
         violations.select(
             F.upper("address").alias("_text"),
@@ -75,12 +79,27 @@ def report_lines(
     # Every listed address is a head, also one that has trivial violations only: it gets
     # a report when a longer address that starts with it has a serious one.
     pairs = prefix_join(kept.select(F.col("_text").alias("head")), rows, "head", "_text")
-    joined = salted_join(
-        rows, pairs, ["_text"], salt_by=["violation_id"], rows_per_task=rows_per_task
+    days = pairs.join(
+        rows.groupBy("_text", "violation_date").agg(F.count("*").alias("_n")), "_text"
+    )
+    occasions = days.groupBy("head", "violation_date").agg(F.sum("_n").alias("n_violations"))
+    # The days of an address are few, so they can be added up in one window.
+    later = (
+        Window.partitionBy("head")
+        .orderBy(F.desc("violation_date"))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    per_day = rows.groupBy("_text", "violation_date").count().join(pairs, "_text")
-    largest = (
-        per_day.groupBy("head", "violation_date").agg(F.sum("count").alias("n")).agg(F.max("n"))
+    placed = occasions.withColumn("_before", F.coalesce(F.sum("n_violations").over(later), F.lit(0)))
+    plan = written(
+        days.drop("_n").join(placed, ["head", "violation_date"]), "report-days"
+    )
+    largest = plan.agg(F.max("n_violations")).first()[0] or 0
+    joined = salted_join(
+        rows,
+        plan,
+        ["_text", "violation_date"],
+        salt_by=["violation_id"],
+        rows_per_task=rows_per_task,
     )
     numbered = number_within(
         joined,
@@ -88,12 +107,14 @@ def report_lines(
         [F.desc("inspection_number"), F.asc("inspection_category"), F.asc("violation_id")],
         name="line_no",
         rows_per_task=rows_per_task,
-        largest=largest.first()[0] or 0,
+        largest=largest,
     )
     return numbered.select(
         "head",
         "violation_date",
         "line_no",
+        "n_violations",
+        (F.col("_before") + F.col("line_no")).alias("place"),
         _line(
             F.col("line_no"),
             F.col("violation_inspector_comments"),
@@ -102,70 +123,24 @@ def report_lines(
     )
 
 
-def occasion_parts(lines: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
-    """Lines of each occasion joined to text, at most ``lines_per_part`` per part.
-
-    The first part of an occasion opens with its date and its number of violations.
-    An occasion of normal size is a single part.
-    """
-    part = F.floor((F.col("line_no") - 1) / lines_per_part).cast("int")
-    texts = lines.groupBy("head", "violation_date", part.alias("part")).agg(
-        F.max("line_no").alias("_last"),
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]
-            ),
-            "",
-        ).alias("_body"),
-    )
-    totals = texts.groupBy("head", "violation_date").agg(F.max("_last").alias("n_violations"))
-    opening = F.when(
-        F.col("part") == 0, _occasion_opening(F.col("violation_date"), F.col("n_violations"))
-    ).otherwise("")
-    return texts.join(totals, ["head", "violation_date"]).select(
-        "head",
-        "violation_date",
-        "part",
-        "n_violations",
-        F.concat(opening, F.col("_body")).alias("text"),
-    )
-
-
-def report_text(parts: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
-    """Whole report per address, latest occasion first.
+def report_text(lines: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
+    """Whole report per address, from the rows of ``report_lines``.
 
-    The text of an address with very many lines comes as several rows, by the row
-    count of the occasions before; read in order of ``part_no`` they are the report.
+    A report of normal size is one row. One of more than ``lines_per_part`` lines comes
+    as several; their texts, joined in the order of ``part_no``, are the report.
     """
-    occasions = parts.groupBy("head", "violation_date").agg(F.max("n_violations").alias("_n"))
-    # One row per address and day; the days of an address are few.
-    before = (
-        Window.partitionBy("head")
-        .orderBy(F.desc("violation_date"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = occasions.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    line = F.col("_before") + F.col("part") * lines_per_part
-    ordered = F.sort_array(
-        F.collect_list(
-            F.struct(
-                F.col("_before").alias("before"),
-                F.col("part").alias("part"),
-                F.concat(
-                    F.when(F.col("part") == 0, F.lit("\n\n")).otherwise(""), F.col("text")
-                ).alias("text"),
-            )
-        )
+    part = F.floor((F.col("place") - 1) / lines_per_part).cast("int").alias("part_no")
+    opening = F.concat(
+        F.lit("\n\n"), _occasion_opening(F.col("violation_date"), F.col("n_violations"))
     )
-    body = F.array_join(F.transform(ordered, lambda x: x["text"]), "")
-    texts = (
-        parts.join(placed.select("head", "violation_date", "_before"), ["head", "violation_date"])
-        .groupBy("head", F.floor(line / lines_per_part).cast("int").alias("part_no"))
+    opened = F.concat(F.when(F.col("line_no") == 1, opening).otherwise(""), F.col("line"))
+    ordered = F.sort_array(F.collect_list(F.struct("place", opened.alias("line"))))
+    body = F.array_join(F.transform(ordered, lambda x: x["line"]), "")
+    report = F.concat(F.when(F.col("part_no") == 0, F.lit(OPENING)).otherwise(""), "_body")
+    return (
+        lines.groupBy(F.col("head").alias("address"), part)
         .agg(body.alias("_body"))
-    )
-    opening = F.when(F.col("part_no") == 0, F.lit(OPENING)).otherwise("")
-    return texts.select(
-        F.col("head").alias("address"), "part_no", F.concat(opening, "_body").alias("report")
+        .select("address", "part_no", report.alias("report"))
     )
 
 

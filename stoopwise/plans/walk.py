@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stoopwise.functions import features as ft
 from stoopwise.functions import geo
-from stoopwise.operators.radius import CELL, radius_join
+from stoopwise.operators.radius import CELL, cell_columns, radius_join
 from stoopwise.operators.skew import salted_join
 from stoopwise.params import METRES_PER_MINUTE, ROWS_PER_TASK, TIME_BUCKETS
 from stoopwise.session import written
@@ -39,13 +39,16 @@ def _near_stops(
     So the pairs need no join of their own to find them, which would shuffle by far
     the largest table of the job.
     """
-    return radius_join(
+    pairs = radius_join(
         points,
         stops_with_routes(stops, route_stops).select("stop_id", "routes", "lat", "lon"),
         radius_m,
         salt_by=["property_id"],
         rows_per_task=rows_per_task,
-    ).select(*CELL, "property_id", "stop_id", "routes", "distance_m")
+    )
+    return pairs.select(
+        *cell_columns(pairs), "property_id", "stop_id", "routes", "distance_m"
+    )
 
 
 def new_route_stops(near: DataFrame) -> DataFrame:
@@ -56,14 +59,14 @@ def new_route_stops(near: DataFrame) -> DataFrame:
     id, for some route. A stop without routes is never first for any. Rows of
     ``radius_join`` are grouped where they are, by their cells.
     """
-    place = [c for c in CELL if c in near.columns]
+    place = cell_columns(near)
     first = (
         near.withColumn("_route", F.explode("routes"))
-        .groupBy(*place, "property_id", "_route")
+        .groupBy("property_id", "_route", *place)
         .agg(F.min(F.struct("distance_m", "stop_id")).alias("_first"))
     )
     return (
-        first.groupBy(*place, "property_id", F.col("_first.stop_id").alias("stop_id"))
+        first.groupBy("property_id", F.col("_first.stop_id").alias("stop_id"), *place)
         .agg(F.min("_first.distance_m").alias("distance_m"))
         .drop(*place)
     )
@@ -162,7 +165,7 @@ def walk_groceries(
 
 def nearest_first(rows: DataFrame, id_name: str) -> DataFrame:
     """Rank the rows of each property by distance."""
-    place = [c for c in CELL if c in rows.columns]
+    place = cell_columns(rows)
     window = Window.partitionBy(*place, "property_id").orderBy("distance_m", id_name)
     return rows.withColumn("nearest", F.row_number().over(window))
 
@@ -176,7 +179,7 @@ def _pages(rows: DataFrame, id_name: str, feature: Column, page_size: int) -> Da
     ranked = nearest_first(rows, id_name)
     page = F.floor((F.col("nearest") - 1) / page_size).cast("int").alias("page")
     listed = F.sort_array(F.collect_list(F.struct("nearest", feature.alias("feature"))))
-    place = [c for c in CELL if c in rows.columns]
+    place = cell_columns(rows)
     pages = ranked.groupBy(*place, "property_id", page).agg(
         F.transform(listed, lambda x: x["feature"]).alias("features")
     )

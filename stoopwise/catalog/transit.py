@@ -104,11 +104,15 @@ def transit_stops(t: Given) -> DataFrame:
 
 @query(
     "Q10 U1 U2 A13 X18",
-    sql=f"WITH {BUILD} SELECT route_id, name, type, 0 AS part, n_lines FROM all_routes WHERE n_lines IS NOT NULL",
+    sql=f"WITH {BUILD} SELECT route_id, name, type, 0 AS first_line, 0 AS first_point, n_lines FROM all_routes WHERE n_lines IS NOT NULL",
 )
 def transit_routes(t: Given) -> DataFrame:
     return build(t).routes.select(
-        "route_id", "name", "type", "part", F.size("geometry").cast("long").alias("n_lines")
+        "route_id",
+        "name",
+        "type",
+        *transit.PART,
+        F.size("geometry").cast("long").alias("n_lines"),
     )
 
 
@@ -151,7 +155,7 @@ def pair_problems(t: Given) -> DataFrame:
     sql=f"""WITH points AS ({LINE_POINTS}),
 lines AS (SELECT route, line_no, '(' || string_agg(printf('%.1f %.1f', lon, lat), ', '
     ORDER BY seq, lon, lat) || ')' AS line FROM points GROUP BY route, line_no)
-SELECT route AS route_id, upper(route) AS name, 'shuttle' AS type, 0 AS part,
+SELECT route AS route_id, upper(route) AS name, 'shuttle' AS type, 0 AS first_line, 0 AS first_point,
   'MULTILINESTRING (' || string_agg(line, ', ' ORDER BY line_no) || ')' AS wkt
 FROM lines GROUP BY route""",
 )
@@ -169,7 +173,7 @@ def shuttle_lines(t: Given) -> DataFrame:
     )
     wkt = F.concat(F.lit("MULTILINESTRING ("), F.array_join(one, ", "), F.lit(")"))
     return transit.shuttle_routes(t.sql(LINE_POINTS)).select(
-        "route_id", "name", "type", "part", wkt.alias("wkt")
+        "route_id", "name", "type", *transit.PART, wkt.alias("wkt")
     )
 
 
@@ -201,7 +205,7 @@ def route_map(t: Given) -> DataFrame:
   SELECT route_id, CASE WHEN starts_with(geometry, 'LINE') THEN 1
     WHEN starts_with(geometry, 'MULTI') THEN 2 END AS n_lines FROM ({ROUTE_ROWS}) r) l
   WHERE n_lines IS NOT NULL)
-SELECT request_id, c.route_id, 0 AS part, 'MultiLineString' AS geometry_type, n_lines, color
+SELECT request_id, c.route_id, 0 AS first_line, 0 AS first_point, 'MultiLineString' AS geometry_type, n_lines, color
 FROM colored c JOIN lines l ON c.route_id = l.route_id""",
 )
 def route_features(t: Given) -> DataFrame:
@@ -210,7 +214,7 @@ def route_features(t: Given) -> DataFrame:
     return drawn.select(
         "request_id",
         "route_id",
-        "part",
+        *transit.PART,
         F.col("feature.geometry.type").alias("geometry_type"),
         F.size("feature.geometry.coordinates").alias("n_lines"),
         "feature.properties.color",

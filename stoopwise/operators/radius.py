@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stoopwise.functions.geo import EARTH_RADIUS_M, haversine, is_place
-from stoopwise.operators.skew import SALT, salted
-from stoopwise.params import ROWS_PER_TASK
+from stoopwise.operators.skew import MOST_HOT_KEYS, MOST_SALTS
 
 # Cells never get smaller than this, so a radius of zero still has cells.
 SMALLEST_CELL_DEG = 0.0005
 # Room for rounding in the trigonometry; cells only preselect, the distance decides.
 SLACK = 1.0001
 
+# Work of one task, in compared pairs and in targets held for one cell.
+PAIRS_PER_TASK = 200_000_000
+TARGETS_PER_TASK = 1_000_000
+MOST_PARTITIONS = 20_000
+
 # The columns the pairs are partitioned by, the first and last only where they vary. All
 # pairs of a point share their values, so an aggregate or window per point that also names
 # these needs no further shuffle.
-CELL = ["_reach", "_band", "_column", SALT]
+CELL = ["_reach", "_band", "_column", "_salt"]
 
 
 def cell_columns(df: DataFrame) -> list[str]:
@@ -96,12 +99,49 @@ class _Grid:
         return self.column(lon - width, columns), self.column(lon + width, columns)
 
 
+def _crowded_cells(
+    left: DataFrame, right: DataFrame, cell: list[str], pairs_per_task: int, targets_per_task: int
+) -> tuple[list, float]:
+    """Cells too large for one task with the splits they need, and the pairs of all cells.
+
+    ``_splits`` divides the points of a cell, ``_sides`` its targets. Only the 1024
+    cells with most pairs are listed; any other has less than 1/1024 of all pairs.
+    """
+    work = (
+        left.groupBy(*cell)
+        .agg(F.count("*").alias("_points"))
+        .join(right.groupBy(*cell).agg(F.count("*").alias("_targets")), cell)
+        .withColumn("_pairs", F.col("_points").cast("double") * F.col("_targets"))
+    )
+    held = F.least(F.col("_targets"), F.lit(targets_per_task))
+    splits = F.least(F.ceil(F.col("_points").cast("double") * held / pairs_per_task), F.col("_points"))
+    sides = F.ceil(F.col("_targets") / targets_per_task)
+    seen = Observation()
+    crowded = (
+        work.observe(seen, F.sum("_pairs").alias("pairs"))
+        .withColumns(
+            {
+                "_splits": F.least(splits, F.lit(MOST_SALTS)).cast("int"),
+                "_sides": F.least(sides, F.lit(MOST_SALTS)).cast("int"),
+            }
+        )
+        .where("_splits > 1 OR _sides > 1")
+        .orderBy(F.desc("_pairs"), *cell)
+        .limit(MOST_HOT_KEYS)
+        .select(*cell, "_splits", "_sides")
+        .collect()
+    )
+    return crowded, seen.get["pairs"] or 0.0
+
+
 def radius_join(
     points: DataFrame,
     targets: DataFrame,
     radius_m: float | str,
-    salt_by: Sequence[str],
-    rows_per_task: int = ROWS_PER_TASK,
+    point_id: str,
+    target_id: str,
+    pairs_per_task: int = PAIRS_PER_TASK,
+    targets_per_task: int = TARGETS_PER_TASK,
 ) -> DataFrame:
     """Pairs of a point and a target within a radius, with ``distance_m``.
 
@@ -111,14 +151,17 @@ def radius_join(
 
     The distance test runs only inside equal grid cells: every point has one cell,
     every target is copied to the few cells its circle touches, so each pair meets
-    exactly once and the plan is an equi-join. Points crowded in one cell are spread
-    over several tasks. With a column of radii each point uses the grid of the next
-    power of two, so one far-reaching point does not widen the cells of all others;
-    targets enter each grid in use, of which there are at most 25 around the globe.
-
-    A partition of cells turns into far more pairs than its size tells, so the cells
-    keep the session's number of shuffle partitions and are not merged by size. The
-    result carries the ``CELL`` columns.
+    exactly once and the plan is an equi-join. With a column of radii each point uses
+    the grid of the next power of two, so one far-reaching point does not widen the
+    cells of all others; targets enter each grid in use, of which there are at most 26
+    around the globe.
+
+    Cells are weighed first by the pairs they will compare. A crowded one is divided
+    by its points, which see copies of its targets, and when it has too many targets
+    for one task, by those as well. A partition of cells turns into far more pairs than
+    its size tells, so the number of partitions follows the pairs, is at least the
+    session's, and is not merged by size. The result carries the ``CELL`` columns,
+    unless some targets were divided: then the pairs of a point are in several places.
     """
     placed = points.where(is_place(F.col("lat"), F.col("lon")))
     reached = targets.where(is_place(F.col("lat"), F.col("lon")))
@@ -169,10 +212,37 @@ def radius_join(
         .withColumn("_column", F.pmod("_column", "_columns"))
         .drop("_grid", "_columns", "_first", "_last")
     )
-    left, right = salted(left, right, cell_columns(left), salt_by, rows_per_task)
     cell = cell_columns(left)
-    partitions = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = (side.repartition(partitions, *cell) for side in (left, right))
+    crowded, pairs = _crowded_cells(left, right, cell, pairs_per_task, targets_per_task)
+    keys = list(cell)
+    if crowded:
+        schema = left.select(*cell).withColumns({"_splits": F.lit(0), "_sides": F.lit(0)}).schema
+        hot = F.broadcast(points.sparkSession.createDataFrame(crowded, schema))
+        keys += ["_salt", "_side"]
+
+        def pick(name: str, count: str) -> Column:
+            return F.coalesce(F.pmod(F.xxhash64(name), F.col(count)).cast("int"), F.lit(0))
+
+        def every(count: str) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(count), F.lit(1)) - 1))
+
+        left = (
+            left.join(hot, cell, "left")
+            .withColumn("_salt", pick(point_id, "_splits"))
+            .withColumn("_side", every("_sides"))
+            .drop("_splits", "_sides")
+        )
+        right = (
+            right.join(hot, cell, "left")
+            .withColumn("_salt", every("_splits"))
+            .withColumn("_side", pick(target_id, "_sides"))
+            .drop("_splits", "_sides")
+        )
+    session = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(session, min(MOST_PARTITIONS, math.ceil(pairs / pairs_per_task)))
+    left, right = (side.repartition(partitions, *keys) for side in (left, right))
+    divided = any(row["_sides"] > 1 for row in crowded)
+    extra = ["_side", *(CELL if divided else [])]
     distance = haversine(
         F.col("lat"), F.col("lon"), F.col("_cos"),
         F.col("target_lat"), F.col("target_lon"), F.col("_target_cos"),
@@ -180,9 +250,9 @@ def radius_join(
     # Comparing latitudes is cheap and spares a third of the distances.
     near = F.abs(F.col("lat") - F.col("target_lat")) <= F.degrees(radius / EARTH_RADIUS_M) * SLACK
     return (
-        left.join(right, cell)
+        left.join(right, keys)
         .where(near)
         .withColumn("distance_m", distance)
         .where(F.col("distance_m") <= radius)
-        .drop("_cos", "_target_cos")
+        .drop("_cos", "_target_cos", *extra)
     )

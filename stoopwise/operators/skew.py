@@ -81,9 +81,13 @@ def salted_join(
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Join ``big`` to ``small`` (inner or left), spreading the hot keys of ``big``."""
-    if how not in ("inner", "left"):
-        raise ValueError("only inner and left joins can be salted on the left side")
+    """Join ``big`` to ``small``, spreading the hot keys of ``big``.
+
+    Any join that asks each row of ``big`` for its partners will do: inner, left,
+    left_semi or left_anti.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"a {how} join cannot be salted on its left side")
     left, right = salted(big, small, keys, salt_by, rows_per_task)
     salt = [SALT] if SALT in left.columns else []
     return left.join(right, [*keys, *salt], how).drop(*salt)

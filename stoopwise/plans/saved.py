@@ -41,7 +41,9 @@ def saved_state(
     log = events.withColumn("address", F.upper("address")).withColumn(
         "_at", F.struct("ts", "event_id")
     )
-    log = log.join(known, "address", "left_semi")
+    log = salted_join(
+        log, known, ["address"], salt_by=["event_id"], how="left_semi", rows_per_task=rows_per_task
+    )
     at, is_save, is_delete = F.col("_at"), F.col("action") == "save", F.col("action") == "delete"
     details = F.struct("custom_name", "remarks", text.blank_to_null(F.col("rent")).alias("rent"))
     ends = (

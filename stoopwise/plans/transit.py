@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stoopwise.functions import features as ft
@@ -18,7 +18,11 @@ from stoopwise.params import (
     SHUTTLES_KEPT,
 )
 
-POINTS_PER_PART = 50_000
+POINTS_PER_PART = 10_000
+LINES_PER_PART = 100
+
+# Where a part of a route's geometry begins.
+PART = ["first_line", "first_point"]
 
 
 class Transit(NamedTuple):
@@ -66,25 +70,37 @@ def cta_routes(rows: DataFrame) -> DataFrame:
         F.col("route_id").cast("string"),
         F.col("route_name").alias("name"),
         F.lit("cta").alias("type"),
-        F.lit(0).alias("part"),
+        *[F.lit(0).cast("long").alias(c) for c in PART],
         geo.lines_from_wkt(F.col("geometry")).alias("geometry"),
     )
 
 
-def shuttle_routes(points: DataFrame, points_per_part: int = POINTS_PER_PART) -> DataFrame:
+def shuttle_routes(
+    points: DataFrame,
+    points_per_part: int = POINTS_PER_PART,
+    lines_per_part: int = LINES_PER_PART,
+) -> DataFrame:
     """Line points (route, line_no, seq, lon, lat) to one multi-line per route.
 
-    ``seq`` counts the points of a line. A route of normal size is a single part; a
-    part holds at most ``points_per_part`` consecutive numbers of each of its lines.
+    ``seq`` counts the points of a line. A route of normal size is a single part, from
+    line 0 and point 0. A very long one comes in parts of a range of its lines and a
+    range of their points, so no array grows with the route.
     """
-    part = F.floor(F.col("seq") / points_per_part).cast("int")
-    lines = points.groupBy(F.col("route").alias("route_id"), "line_no", part.alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("seq", "lon", "lat"))).alias("_points")
+
+    def block(column: str, size: int) -> Column:
+        return F.floor(F.col(column) / size) * size
+
+    first_line, first_point = PART
+    lines = (
+        points.select(F.col("route").alias("route_id"), "line_no", "seq", "lon", "lat")
+        .distinct()
+        .groupBy("route_id", "line_no", block("seq", points_per_part).alias(first_point))
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "lon", "lat"))).alias("_points"))
     )
     line = F.transform("_points", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
     return (
-        lines.select("route_id", "line_no", "part", line.alias("_line"))
-        .groupBy("route_id", "part")
+        lines.withColumn("_line", line)
+        .groupBy("route_id", block("line_no", lines_per_part).alias(first_line), first_point)
         .agg(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("line_no", "_line"))), lambda x: x["_line"]
@@ -94,7 +110,7 @@ def shuttle_routes(points: DataFrame, points_per_part: int = POINTS_PER_PART) ->
             "route_id",
             F.upper("route_id").alias("name"),
             F.lit("shuttle").alias("type"),
-            "part",
+            *PART,
             "geometry",
         )
     )
@@ -116,10 +132,7 @@ def transit_build(stop_rows: DataFrame, route_rows: DataFrame) -> Transit:
         F.col("_point.lat").alias("lat"),
     )
     stops = merge.insert_ignore(good, ["stop_id"])
-    # Rows of one route differ in their parts; arrays of structs have an order in Spark.
-    routes = merge.insert_ignore(
-        route_rows.where("geometry IS NOT NULL"), ["route_id", "part"]
-    )
+    routes = merge.insert_ignore(route_rows.where("geometry IS NOT NULL"), ["route_id", *PART])
     pairs = stop_rows.select("route_id", "stop_id").distinct()
     known_routes = routes.select("route_id").distinct()
     known_stops = stops.select("stop_id")
@@ -216,5 +229,5 @@ def route_features(found: DataFrame) -> DataFrame:
     feature = ft.multiline_feature(
         F.col("geometry"), F.struct("route_id", "name", "type", "color")
     )
-    return found.select("request_id", "route_id", "part", feature.alias("feature"))
+    return found.select("request_id", "route_id", *PART, feature.alias("feature"))
 

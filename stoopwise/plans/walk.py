@@ -32,7 +32,6 @@ def _near_stops(
     stops: DataFrame,
     route_stops: DataFrame,
     radius_m: float | str,
-    rows_per_task: int,
 ) -> DataFrame:
     """Every stop in reach of every point; the routes travel with the stop.
 
@@ -43,8 +42,8 @@ def _near_stops(
         points,
         stops_with_routes(stops, route_stops).select("stop_id", "routes", "lat", "lon"),
         radius_m,
-        salt_by=["property_id"],
-        rows_per_task=rows_per_task,
+        point_id="property_id",
+        target_id="stop_id",
     )
     return pairs.select(
         *cell_columns(pairs), "property_id", "stop_id", "routes", "distance_m"
@@ -97,7 +96,6 @@ def stops_all(
     route_stops: DataFrame,
     minutes: float,
     m_per_min: float = METRES_PER_MINUTE,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Every stop in walking distance of every point, with its routes.
 
@@ -109,8 +107,8 @@ def stops_all(
             "stop_id", "stop_name", "routes", "lat", "lon"
         ),
         minutes * m_per_min,
-        salt_by=["property_id"],
-        rows_per_task=rows_per_task,
+        point_id="property_id",
+        target_id="stop_id",
     )
     return pairs.withColumn("distance_min", geo.stop_minutes(F.col("distance_m"), m_per_min)).drop(
         "lat", "lon", *CELL
@@ -123,7 +121,6 @@ def walk_stops(
     route_stops: DataFrame,
     minutes: float = 5,
     m_per_min: float = METRES_PER_MINUTE,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Per property the stops within ``minutes`` that bring a new route."""
     near = _near_stops(
@@ -131,7 +128,6 @@ def walk_stops(
         stops,
         route_stops,
         minutes * m_per_min,
-        rows_per_task,
     )
     return _described(new_route_stops(near), stops, route_stops, m_per_min)
 
@@ -141,7 +137,6 @@ def walk_groceries(
     amenities: DataFrame,
     minutes: float = 15,
     m_per_min: float = METRES_PER_MINUTE,
-    rows_per_task: int = ROWS_PER_TASK,
     keep_cells: bool = False,
 ) -> DataFrame:
     """Per property the grocery stores within ``minutes``.
@@ -155,8 +150,8 @@ def walk_groceries(
         properties.select("property_id", "lat", "lon"),
         groceries,
         minutes * m_per_min,
-        salt_by=["property_id"],
-        rows_per_task=rows_per_task,
+        point_id="property_id",
+        target_id="amenity_id",
     )
     return pairs.withColumn(
         "distance_min", geo.grocery_minutes(F.col("distance_m"), m_per_min)
@@ -301,7 +296,7 @@ def requested_stops(
         "lon",
         (F.col("walking_time") * F.lit(float(m_per_min))).alias("_radius"),
     )
-    near = _near_stops(points, stops, route_stops, "_radius", rows_per_task)
+    near = _near_stops(points, stops, route_stops, "_radius")
     kept = new_route_stops(near).select(
         F.col("property_id").alias("request_id"),
         "stop_id",

@@ -40,6 +40,10 @@ def test_salted_join_equals_the_join(spark, lopsided):
             "k", "id", "v", "w"
         )
         assert sorted(got.collect(), key=str) == sorted(expected.collect(), key=str)
+    for how in ("left_semi", "left_anti"):
+        expected = lopsided.join(small, "k", how).collect()
+        got = salted_join(lopsided, small, ["k"], ["id"], how, rows_per_task=10)
+        assert sorted(got.select(lopsided.columns).collect(), key=str) == sorted(expected, key=str)
 
 
 def test_salts_spread_the_hot_key(spark, lopsided):

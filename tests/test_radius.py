@@ -49,9 +49,11 @@ def test_same_as_comparing_everything(spark, lat, lon, radius):
         for j, b in enumerate(targets)
         if metres(a, b) <= radius
     )
-    assert pairs(radius_join(p, t, radius, salt_by=["p"])) == expected
-    # The same rows when crowded cells are spread over tasks.
-    assert pairs(radius_join(p, t, radius, salt_by=["p"], rows_per_task=3)) == expected
+    assert pairs(radius_join(p, t, radius, point_id="p", target_id="t")) == expected
+    # The same rows when crowded cells are divided by their points, and by their targets.
+    split = radius_join(p, t, radius, point_id="p", target_id="t", pairs_per_task=40, targets_per_task=4)
+    assert pairs(split) == expected
+    assert pairs(radius_join(p, t, radius, point_id="p", target_id="t", pairs_per_task=40)) == expected
 
 
 def test_radius_per_point(spark):
@@ -66,23 +68,34 @@ def test_radius_per_point(spark):
         for j, b in enumerate(targets)
         if metres(a, b) <= radii[i]
     )
-    assert pairs(radius_join(p, t, "r", salt_by=["p"])) == expected
+    assert pairs(radius_join(p, t, "r", point_id="p", target_id="t")) == expected
 
 
 def test_zero_and_negative_radius_and_bad_places(spark):
     p, t = frames(spark, [(1.0, 2.0), (99.9999, 99.9999), (float("nan"), 2.0)], [(1.0, 2.0), (1.001, 2.0), (99.9999, 99.9999)])
-    assert pairs(radius_join(p, t, 0, salt_by=["p"])) == [(0, 0)]
-    assert pairs(radius_join(p, t, -1, salt_by=["p"])) == []
+    assert pairs(radius_join(p, t, 0, point_id="p", target_id="t")) == [(0, 0)]
+    assert pairs(radius_join(p, t, -1, point_id="p", target_id="t")) == []
 
 
 def test_whole_globe(spark):
     rng = random.Random(9)
     points = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(30)]
     p, t = frames(spark, points, points)
-    assert len(pairs(radius_join(p, t, 21_000_000, salt_by=["p"]))) == 900
+    assert len(pairs(radius_join(p, t, 21_000_000, point_id="p", target_id="t"))) == 900
+
+
+def test_cells_are_kept_unless_targets_are_divided(spark):
+    p, t = frames(spark, [(1.0, 2.0)] * 20, [(1.0, 2.0)] * 20)
+    by_points = radius_join(p, t, 500, point_id="p", target_id="t", pairs_per_task=100)
+    assert {"_band", "_column", "_salt"} <= set(by_points.columns)
+    places = by_points.groupBy("p").agg(F.count_distinct("_salt").alias("n")).collect()
+    assert {r["n"] for r in places} == {1}
+    assert by_points.select("_salt").distinct().count() > 1 and by_points.count() == 400
+    by_both = radius_join(p, t, 500, point_id="p", target_id="t", pairs_per_task=100, targets_per_task=5)
+    assert "_band" not in by_both.columns and by_both.count() == 400
 
 
 def test_plan_is_an_equi_join(spark):
     p, t = frames(spark, [(1.0, 2.0)], [(1.0, 2.0)])
-    plan = radius_join(p, t, 500, salt_by=["p"])._jdf.queryExecution().executedPlan().toString()
+    plan = radius_join(p, t, 500, point_id="p", target_id="t")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -59,8 +59,9 @@ def test_build(spark):
 
 def test_long_lines_come_in_parts(spark):
     points = spark.createDataFrame([("r", 0, i, float(i), 0.0) for i in range(25)], "route string, line_no int, seq int, lon double, lat double")
-    parts = sorted(transit.shuttle_routes(points, points_per_part=10).collect(), key=lambda r: r["part"])
+    parts = sorted(transit.shuttle_routes(points, points_per_part=10).collect(), key=lambda r: r["first_point"])
     assert [len(r["geometry"][0]) for r in parts] == [10, 10, 5]
+    assert [r["first_point"] for r in parts] == [0, 10, 20]
     assert [p["lon"] for r in parts for p in r["geometry"][0]] == [float(i) for i in range(25)]
 
 
@@ -78,3 +79,9 @@ def test_route_map_colours(spark):
 def test_name_filter_keeps_missing_names(spark):
     rows = spark.createDataFrame([("CTA 171",), ("Drexel",), (None,)], "name string")
     assert [r[0] for r in transit.without_name(rows, "name", "CTA").collect()] == ["Drexel", None]
+
+
+def test_many_lines_come_in_parts(spark):
+    points = spark.createDataFrame([("r", i, 0, float(i), 0.0) for i in range(25)], "route string, line_no int, seq int, lon double, lat double")
+    parts = sorted(transit.shuttle_routes(points, lines_per_part=10).collect(), key=lambda r: r["first_line"])
+    assert [len(r["geometry"]) for r in parts] == [10, 10, 5]

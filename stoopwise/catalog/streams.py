@@ -41,7 +41,7 @@ def saved_state_streamed(t: Given) -> DataFrame:
         .parquet(f"{base}/in")
     )
     saved_state_stream(
-        stream, t.v_properties, f"{base}/log", f"{base}/state", f"{base}/progress"
+        stream, t.v_properties, f"{base}/log", f"{base}/state", f"{base}/progress", buckets=8
     ).awaitTermination()
     return current_state(t.spark, f"{base}/state")
 

@@ -17,6 +17,7 @@ def local_session(app: str = "stoopwise", cpus: int = 8, partitions: int = 8) ->
         .appName(app)
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", "8g")
+        .config("spark.driver.extraJavaOptions", "-XX:+UseParallelGC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")

@@ -262,7 +262,7 @@ UNION ALL SELECT 'route_stops', count(*) FROM pairs WHERE route_id IN (SELECT ro
 )
 def transit_reload(t: Given) -> DataFrame:
     base = new_path(t.spark, "transit")
-    writers.reload_transit(transit_queries.build(t), base)
+    transit.transit_reload(*transit_queries.feed_rows(t), base)
     out = None
     for name in ("stops", "routes", "route_stops"):
         one = t.spark.read.parquet(f"{base}/{name}").agg(F.count("*").alias("n"))

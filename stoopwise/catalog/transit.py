@@ -63,7 +63,8 @@ pairs AS (SELECT DISTINCT route_id, stop_id FROM stop_rows),
 known AS (SELECT DISTINCT route_id FROM all_routes WHERE n_lines IS NOT NULL)"""
 
 
-def build(t: Given) -> transit.Transit:
+def feed_rows(t: Given) -> tuple[DataFrame, DataFrame]:
+    """Stop rows and route rows of both feeds."""
     stops = transit.cta_stops(t.sql(STOP_ROWS)).unionByName(
         transit.shuttle_stops(t.sql(SHUTTLE_POINTS)).withColumns(
             {"latitude": F.col("latitude").cast("string"), "longitude": F.col("longitude").cast("string")}
@@ -72,7 +73,11 @@ def build(t: Given) -> transit.Transit:
     routes = transit.cta_routes(t.sql(ROUTE_ROWS)).unionByName(
         transit.shuttle_routes(t.sql(LINE_POINTS))
     )
-    return transit.transit_build(stops, routes)
+    return stops, routes
+
+
+def build(t: Given) -> transit.Transit:
+    return transit.transit_build(*feed_rows(t))
 
 
 @query("P9 P17 S2", sql=CTA_ROWS)

@@ -10,6 +10,7 @@ from stoopwise.operators import merge
 from stoopwise.operators.numbering import first_per_key
 from stoopwise.operators.skew import salted_join
 from stoopwise.params import NEIGHBOURHOOD, ROWS_PER_TASK, URBAN_AREA, Box
+from stoopwise.session import written
 
 # Texts of the answers.
 NO_ADDRESS = "Address is required."
@@ -88,7 +89,8 @@ def property_intake(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Answer each search with its matched address, property id and box flag."""
-    matched = match_addresses(requests, address_ref, rows_per_task)
+    # The ids of new properties and the answers both need the matches.
+    matched = written(match_addresses(requests, address_ref, rows_per_task), "matched")
     lowest = properties.groupBy("address").agg(F.min("property_id").alias("property_id"))
     created = new_properties(matched, properties, rows_per_task).select("address", "property_id")
     ids = lowest.unionByName(created).withColumnRenamed("address", "matched_address")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from stoopwise.functions import features as ft
 from stoopwise.functions import text
-from stoopwise.operators.numbering import first_per_key
 from stoopwise.operators.skew import salted_join
 from stoopwise.params import ROWS_PER_TASK
 from stoopwise.plans.walk import grocery_rollups, transit_rollups
+from stoopwise.session import written
 
 KEY = ["user_id", "address"]
 
@@ -44,6 +44,9 @@ def saved_state(
     log = salted_join(
         log, known, ["address"], salt_by=["event_id"], how="left_semi", rows_per_task=rows_per_task
     )
+    # Read several times below, mostly without the details.
+    columns = [*KEY, "event_id", "_at", "action", "custom_name", "remarks", "rent"]
+    log = written(log.select(columns), "saved-log")
     at, is_save, is_delete = F.col("_at"), F.col("action") == "save", F.col("action") == "delete"
     details = F.struct("custom_name", "remarks", text.blank_to_null(F.col("rent")).alias("rent"))
     ends = (
@@ -91,17 +94,20 @@ def saved_state(
     )
 
 
-def with_property(saved: DataFrame, properties: DataFrame) -> DataFrame:
-    """Saved rows with their property: of equal addresses the one with the lowest id.
+def home_of(saved: DataFrame, properties: DataFrame) -> DataFrame:
+    """Saved rows with the id of their property: of equal addresses the lowest id.
 
     An address that very many users saved is left to the adaptive join.
     """
-    first = first_per_key(
-        properties.withColumn("address", F.upper("address")),
-        ["address"],
-        [F.col("property_id")],
+    lowest = properties.groupBy(F.upper("address").alias("address")).agg(
+        F.min("property_id").alias("property_id")
     )
-    return saved.join(first, "address")
+    return saved.join(lowest, "address")
+
+
+def with_property(saved: DataFrame, properties: DataFrame) -> DataFrame:
+    """Saved rows with all columns of their property."""
+    return home_of(saved, properties).join(properties.drop("address"), "property_id")
 
 
 def active(saved: DataFrame) -> DataFrame:
@@ -135,19 +141,21 @@ def status_checks(
 def saved_cards(saved: DataFrame, properties: DataFrame) -> DataFrame:
     """One card per active saved listing.
 
-    ``properties`` carries the stored JSON texts ``bus_stops`` and ``groceries``. They are
-    rolled up once per property before the saved rows meet them.
+    ``properties`` carries the stored JSON texts ``bus_stops`` and ``groceries``. Only the
+    texts of saved properties are parsed, each once, before the saved rows meet them.
     """
+    listed = home_of(active(saved), properties)
+    wanted = properties.join(
+        listed.select("property_id").distinct(), "property_id", "left_semi"
+    )
     bus = ft.stored_features(F.col("bus_stops"), "bus_stops_geojson", ft.STOP_FEATURE)
     food = ft.stored_features(F.col("groceries"), "grocery_geojson", ft.GROCERY_FEATURE)
-    parsed = properties.withColumns({"_bus": bus, "_food": food})
-    rolled = parsed.select(
+    rolled = wanted.select("property_id", bus.alias("_bus"), food.alias("_food")).select(
         "property_id",
-        "address",
         *[c.alias(n) for n, c in transit_rollups(F.col("_bus")).items()],
         *[c.alias(n) for n, c in grocery_rollups(F.col("_food")).items()],
     )
-    cards = with_property(active(saved), rolled)
+    cards = listed.join(rolled, "property_id")
     return cards.select(
         "user_id",
         "property_id",

@@ -17,6 +17,7 @@ from stoopwise.params import (
     SHUTTLES_DROPPED,
     SHUTTLES_KEPT,
 )
+from stoopwise.sources.writers import replace_table
 
 POINTS_PER_PART = 10_000
 LINES_PER_PART = 100
@@ -116,28 +117,40 @@ def shuttle_routes(
     )
 
 
-def transit_build(stop_rows: DataFrame, route_rows: DataFrame) -> Transit:
-    """Stop rows and route rows of all feeds to stops, routes, their pairs and rejects.
+def _placed(stop_rows: DataFrame) -> DataFrame:
+    return stop_rows.withColumn("_point", geo.point_of(F.col("latitude"), F.col("longitude")))
 
-    The first row of an id wins. A pair needs its route and its stop; when both are
-    unknown the route is the reason given. Stops without a point and routes without a
-    multi-line are rejected.
-    """
-    placed = stop_rows.withColumn("_point", geo.point_of(F.col("latitude"), F.col("longitude")))
-    good = placed.where("_point IS NOT NULL").select(
+
+def transit_stops(stop_rows: DataFrame) -> DataFrame:
+    """Stops with a valid point; the first row of an id wins."""
+    good = _placed(stop_rows).where("_point IS NOT NULL").select(
         "stop_id",
         F.coalesce("stop_name", F.lit("")).alias("stop_name"),
         "type",
         F.col("_point.lon").alias("lon"),
         F.col("_point.lat").alias("lat"),
     )
-    stops = merge.insert_ignore(good, ["stop_id"])
-    routes = merge.insert_ignore(route_rows.where("geometry IS NOT NULL"), ["route_id", *PART])
+    return merge.insert_ignore(good, ["stop_id"])
+
+
+def transit_routes(route_rows: DataFrame) -> DataFrame:
+    """Routes with a line geometry; the first row of an id (and part) wins."""
+    return merge.insert_ignore(route_rows.where("geometry IS NOT NULL"), ["route_id", *PART])
+
+
+def link(
+    stop_rows: DataFrame, route_rows: DataFrame, stops: DataFrame, routes: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a known route and a known stop, and the rejected rows with a reason.
+
+    When both are unknown the route is the reason given.
+    """
     pairs = stop_rows.select("route_id", "stop_id").distinct()
     known_routes = routes.select("route_id").distinct()
     known_stops = stops.select("stop_id")
     on_route = pairs.join(known_routes, "route_id", "left_semi")
     route_stops = on_route.join(known_stops, "stop_id", "left_semi")
+    nothing = F.lit(None).cast("string")
     rejects = (
         pairs.join(known_routes, "route_id", "left_anti")
         .select("route_id", "stop_id", F.lit("unknown route").alias("reason"))
@@ -147,21 +160,34 @@ def transit_build(stop_rows: DataFrame, route_rows: DataFrame) -> Transit:
             )
         )
         .unionByName(
-            placed.where("_point IS NULL").select(
-                F.lit(None).cast("string").alias("route_id"),
-                "stop_id",
-                F.lit("no valid point").alias("reason"),
-            )
+            _placed(stop_rows)
+            .where("_point IS NULL")
+            .select(nothing.alias("route_id"), "stop_id", F.lit("no valid point").alias("reason"))
         )
         .unionByName(
             route_rows.where("geometry IS NULL").select(
-                "route_id",
-                F.lit(None).cast("string").alias("stop_id"),
-                F.lit("no line geometry").alias("reason"),
+                "route_id", nothing.alias("stop_id"), F.lit("no line geometry").alias("reason")
             )
         )
     )
-    return Transit(stops, routes, route_stops, rejects)
+    return route_stops.select("route_id", "stop_id"), rejects
+
+
+def transit_build(stop_rows: DataFrame, route_rows: DataFrame) -> Transit:
+    """Stop rows and route rows of all feeds to stops, routes, their pairs and rejects."""
+    stops, routes = transit_stops(stop_rows), transit_routes(route_rows)
+    return Transit(stops, routes, *link(stop_rows, route_rows, stops, routes))
+
+
+def transit_reload(stop_rows: DataFrame, route_rows: DataFrame, base: str) -> None:
+    """Replace the stored tables: routes, then stops, then the pairs of what was stored."""
+    spark = stop_rows.sparkSession
+    replace_table(transit_routes(route_rows), f"{base}/routes")
+    replace_table(transit_stops(stop_rows), f"{base}/stops")
+    stops, routes = (spark.read.parquet(f"{base}/{name}") for name in ("stops", "routes"))
+    route_stops, rejects = link(stop_rows, route_rows, stops, routes)
+    replace_table(route_stops, f"{base}/route_stops")
+    replace_table(rejects, f"{base}/rejects")
 
 
 def pair_problems(pairs: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:

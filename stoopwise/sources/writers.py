@@ -53,11 +53,3 @@ def shuttle_routes_csv(routes: DataFrame) -> DataFrame:
     return routes.select(
         *[F.col(field).alias(name) for name, field in schemas.SHUTTLE_ROUTE_HEADER.items()]
     )
-
-
-def reload_transit(transit, base: str) -> None:
-    """Replace routes, then stops, then their pairs; the pairs never outlive them."""
-    replace_table(transit.routes, f"{base}/routes")
-    replace_table(transit.stops, f"{base}/stops")
-    replace_table(transit.route_stops, f"{base}/route_stops")
-    replace_table(transit.rejects, f"{base}/rejects")

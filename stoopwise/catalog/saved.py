@@ -10,6 +10,7 @@ from stoopwise.catalog.walk import GROCERY_ROLLUPS, ROLLUPS, stored_properties
 from stoopwise.functions import features as ft
 from stoopwise.operators import merge
 from stoopwise.plans import saved
+from stoopwise.session import written
 
 STATE = """known AS (SELECT DISTINCT upper(address) AS address FROM {v_properties}),
 log AS (SELECT event_id, ts, user_id, upper(address) AS address, action, custom_name, remarks,
@@ -106,7 +107,9 @@ JOIN best_grocery g ON f.property_id = g.property_id
 WHERE NOT is_deleted""",
 )
 def saved_cards(t: Given) -> DataFrame:
-    return saved.saved_cards(state(t), stored_properties(t))
+    # The responses are a stored table to this job.
+    stored = written(stored_properties(t), "properties")
+    return saved.saved_cards(state(t), stored)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -9,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_MADE: list[str] = []
+
 
 def local_session(app: str = "stoopwise", cpus: int = 8, partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
@@ -29,13 +33,14 @@ def local_session(app: str = "stoopwise", cpus: int = 8, partitions: int = 8) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only a local session may fall back to a temporary folder: on a cluster a
-    machine-local path is lost with its machine.
+    Only a session inside one process may fall back to a temporary folder, and only
+    there may the folder be a local one that no one named: on a cluster a machine-local
+    path is lost with its machine.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
     made = tempfile.mkdtemp(prefix="stoopwise-")
     spark.conf.set(CHECKPOINT_DIR, made)
@@ -43,8 +48,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, deleted when the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(drop_all, spark)
+    _MADE.append(path)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete what this program has left in the shared folder; a stopped session leaves it."""
+    for path in list(_MADE):
+        try:
+            drop_path(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone at exit
+            return
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -55,4 +81,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once nothing lazy reads them any more."""
+    for table in tables:
+        drop_path(table.sparkSession, table.written_path)

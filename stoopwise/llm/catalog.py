@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stoopwise.llm import exact_dedup
+from stoopwise.llm import bpe, exact_dedup
 
 SQL: dict[str, str] = {}
 
@@ -15,6 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary(spark, public_tokenizers.path(name), public_tokenizers.PATTERN)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: number and digest of ids, digest of the decoded bytes."""
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary(spark))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with the one that stays of its equal texts."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), digest_all=True)
@@ -35,7 +46,7 @@ FROM bodies
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_exact_dedup]
+    found = [op1_bpe, op6_exact_dedup]
     return {f.__name__: f for f in found}
 
 

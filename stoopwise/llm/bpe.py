@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stoopwise.llm.common import free_name
+from stoopwise.llm.common import free_name, ship
 
 NONE = -1
 # What a Python process remembers at most; beyond it starts anew.
@@ -354,6 +354,7 @@ class Vocabulary:
     _made: dict[str, tuple[Encoder, Decoder]] = {}
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        ship(spark)
         ranks = read_ranks(path)
         self.pattern = pattern
         self.name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stoopwise.llm import bpe, exact_dedup
+from stoopwise.llm import bpe, exact_dedup, mixing
 
 SQL: dict[str, str] = {}
 
@@ -26,6 +26,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary(spark))
 
 
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with its source's target and the words that the mix takes of it."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with the one that stays of its equal texts."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), digest_all=True)
@@ -46,7 +51,7 @@ FROM bodies
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op6_exact_dedup]
+    found = [op1_bpe, op5_mix, op6_exact_dedup]
     return {f.__name__: f for f in found}
 
 

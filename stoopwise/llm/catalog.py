@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stoopwise.llm import bpe, exact_dedup, mixing
+from stoopwise.llm import bpe, exact_dedup, mixing, ngram_join
 
 SQL: dict[str, str] = {}
 
@@ -50,8 +50,13 @@ FROM bodies
 """
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with its class of near copies and the number of its links."""
+    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op5_mix, op6_exact_dedup]
+    found = [op1_bpe, op5_mix, op6_exact_dedup, op9_ngram_join]
     return {f.__name__: f for f in found}
 
 

@@ -3,11 +3,16 @@
 The encoding of a text's prefix ends in one token, and a sequence of tokens is an
 encoding exactly when every token encodes to itself and every two neighbours, joined,
 encode to just these two. That makes the merges a transducer over bytes: a branch is
-(tokens not yet sent, place in the trie of tokens), a byte moves all branches on, and of
-the branches that complete a token only the one that fits its left neighbour lives on.
-Tokens on which all living branches agree are sent at once, so the delay is bounded by
-the longest token. Sets of branches are the states of a deterministic transducer, which
-is built while it is used and emptied when it passes a fixed number of states.
+(last token, place in the trie of tokens), a byte moves all branches on, and of the
+branches that complete a token only the one that fits its left neighbour lives on. Sets
+of branches are the states of a deterministic transducer, which is built while it is used
+and emptied when it passes a fixed number of states. Branches that no token can complete
+any more are dropped, and last tokens that allow the same tokens at a place are one, so
+texts of many different words still meet the same states.
+
+Each byte sends the token that would end there. Which of them stay is certain where a
+single branch is left; there the tokens are read back and emitted, so what is held back
+is bounded by the stretch between two such places.
 
 Text is split by a pattern first and every match is encoded separately; a match that is
 itself a token becomes that token. Null counts as the empty text, which has no tokens.
@@ -31,8 +36,12 @@ from stoopwise.llm.common import free_name, ship
 NONE = -1
 # What a Python process remembers at most; beyond it starts anew.
 MOST_STATES = 100_000
-MOST_PIECES = 200_000
-MOST_CHUNKS = 200_000
+MOST_PIECES = 400_000
+MOST_CHUNKS = 100_000
+# Last tokens are compared by the tokens they allow where at most so many are left.
+MOST_BELOW = 4
+# Bytes of a piece between two looks at whether its tokens are certain.
+HELD_BACK = 512
 # Pieces of a text that are held at one time.
 PIECES_AT_ONCE = 100_000
 LONG_TEXT = 1_000_000
@@ -66,15 +75,15 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list
 
 
 class Node(dict):
-    """A place in the trie of tokens: the next bytes, and the token that ends here."""
+    """A place in the trie: the next bytes, the token that ends here, a few tokens below."""
 
-    __slots__ = ("token",)
+    __slots__ = ("token", "below")
 
 
 class State(dict):
     """A deterministic state: what each byte sends and where it leads, as far as met."""
 
-    __slots__ = ("before", "branches")
+    __slots__ = ("branches",)
 
 
 class Transducer:
@@ -83,40 +92,59 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.size_of = {v: len(k) for k, v in ranks.items()}
         self.root = self.node()
+        self.root.below = None
         for word, rank in ranks.items():
             node = self.root
             for byte in word:
+                if node.below is not None:
+                    node.below.append(rank)
+                    if len(node.below) > MOST_BELOW:
+                        node.below = None
                 there = node.get(byte)
                 if there is None:
                     there = node[byte] = self.node()
                 node = there
             node.token = rank
         self.halves_of: dict[int, tuple[int, int] | None] = {}
-        self.fits_memo: dict[tuple[int, int], bool] = {}
         self.forget()
 
     @staticmethod
     def node() -> Node:
         made = Node()
         made.token = None
+        made.below = []
         return made
 
     def forget(self) -> None:
         """Start over with no transitions."""
+        self.fits_memo: dict[tuple[int, int], bool] = {}
+        self.like: dict[tuple[int, int], int | None] = {}
+        self.first_like: dict[tuple, int] = {}
         self.states: dict[tuple, State] = {}
-        self.start = self.state(NONE, [((), self.root)])
-        self.fits_memo.clear()
+        self.start = self.state([(NONE, self.root)])
 
-    def state(self, before: int, branches: list[tuple]) -> State:
-        key = (before, tuple((path, id(node)) for path, node in branches))
+    def state(self, branches: list[tuple[int, Node]]) -> State:
+        key = tuple((last, id(node)) for last, node in branches)
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = State()
-            found.before = before
             found.branches = branches
         return found
 
+    def stand_in(self, last: int, node: Node) -> int | None:
+        """A last token that allows the same tokens below ``node``; None if none is allowed."""
+        if node.below is None:
+            return last
+        key = (last, id(node))
+        if key in self.like:
+            return self.like[key]
+        allowed = tuple(t for t in node.below if self.fits(last, t))
+        found = self.first_like.setdefault((id(node), allowed), last) if allowed else None
+        self.like[key] = found
+        return found
+
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a byte."""
         if token not in self.halves_of:
@@ -160,52 +188,51 @@ class Transducer:
             else:
                 until, b = b + 1, of_b[0]
 
-    def completed(self, state: State, byte: int) -> tuple[int, ...]:
-        """The tokens not yet sent when the input ends with ``byte``."""
-        before = state.before
-        for path, node in state.branches:
+    def move(self, state: State, byte: int) -> tuple[int, State]:
+        """The token that ends with a byte and the state that follows, worked out once."""
+        ending, living = None, []
+        for last, node in state.branches:
             there = node.get(byte)
-            if there is not None and there.token is not None:
-                if self.fits(path[-1] if path else before, there.token):
-                    return (*path, there.token)
-        raise ValueError("the ranks lack a single byte")
-
-    def move(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
-        """The tokens that a byte sends and the state it leads to, worked out once."""
-        whole = self.completed(state, byte)
-        living = [
-            (path, there)
-            for path, node in state.branches
-            if (there := node.get(byte)) is not None and len(there)
-        ]
-        living.append((whole, self.root))
-        # What all branches have in common is certain.
-        same = 0
-        for tokens in zip(*[path for path, _ in living], strict=False):
-            if tokens.count(tokens[0]) < len(tokens):
-                break
-            same += 1
-        if same:
-            living = [(path[same:], node) for path, node in living]
-        target = self.state(whole[same - 1] if same else state.before, living)
-        found = state[byte] = (whole[:same], target)
+            if there is None:
+                continue
+            if ending is None and there.token is not None and self.fits(last, there.token):
+                ending = there.token
+            if there and (alike := self.stand_in(last, there)) is not None:
+                living.append((alike, there))
+        if ending is None:
+            raise ValueError("the ranks lack a single byte")
+        living.append((ending, self.root))
+        found = state[byte] = (ending, self.state(living))
         return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if not piece:
-            return ()
         if len(self.states) > MOST_STATES:
             self.forget()
-        state, out = self.start, ()
-        for byte in piece[:-1]:
-            step = state.get(byte)
-            sent, state = self.move(state, byte) if step is None else step
-            if sent:
-                out += sent
-        return out + self.completed(state, piece[-1])
+        state, out, held = self.start, [], []
+        for start in range(0, len(piece), HELD_BACK):
+            for byte in piece[start : start + HELD_BACK]:
+                step = state.get(byte)
+                if step is None:
+                    step = self.move(state, byte)
+                token, state = step
+                held.append(token)
+            if len(state.branches) == 1:
+                out += self.read_back(held)
+                held = []
+        return (*out, *self.read_back(held))
+
+    def read_back(self, held: list[int]) -> list[int]:
+        """The tokens that lead to the last of ``held``, one token per byte."""
+        out, at, size_of = [], len(held), self.size_of
+        while at > 0:
+            token = held[at - 1]
+            out.append(token)
+            at -= size_of[token]
+        out.reverse()
+        return out
 
 
 class Apart(Exception):
@@ -366,8 +393,9 @@ class Vocabulary:
             self._made.clear()
             ranks = self.sent.value
             self._made[self.name] = (Encoder(ranks, self.pattern), Decoder(ranks))
-            # The trie stays for good; the garbage collector need not walk it again.
+            # What is remembered is bounded and long-lived: walk it seldom, the trie never.
             gc.freeze()
+            gc.set_threshold(200_000, 20, 50)
         return self._made[self.name]
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stoopwise.llm import bpe, exact_dedup, mixing, ngram_join
+from stoopwise.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from stoopwise.llm.common import crc_remainder
 
 SQL: dict[str, str] = {}
 
@@ -50,13 +52,29 @@ FROM bodies
 """
 
 
+def toxicity_scorer(docs: DataFrame, labels: DataFrame) -> toxicity.Scorer:
+    return toxicity.learn(docs, labels, learnt=crc_remainder("doc_id", 5) != 0)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learnt from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, score = toxicity_scorer(docs, _table(spark, sf_dir, "labels")).score(docs)
+    return scored.select(
+        "doc_id",
+        (crc_remainder("doc_id", 5) == 0).alias("held_out"),
+        score.alias("score"),
+        (score >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with its class of near copies and the number of its links."""
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op5_mix, op6_exact_dedup, op9_ngram_join]
+    found = [op1_bpe, op5_mix, op6_exact_dedup, op8_toxicity, op9_ngram_join]
     return {f.__name__: f for f in found}
 
 

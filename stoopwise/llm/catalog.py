@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoopwise.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from stoopwise.llm import bpe, exact_dedup, langid, mixing, ngram_join, toxicity
 from stoopwise.llm.common import crc_remainder
 
 SQL: dict[str, str] = {}
@@ -28,6 +28,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary(spark))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(docs, learnt=crc_remainder("doc_id", 4) != 2)
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with its source's target and the words that the mix takes of it."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -74,7 +83,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op5_mix, op6_exact_dedup, op8_toxicity, op9_ngram_join]
+    found = [op1_bpe, op3_language, op5_mix, op6_exact_dedup, op8_toxicity, op9_ngram_join]
     return {f.__name__: f for f in found}
 
 

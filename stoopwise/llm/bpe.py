@@ -457,6 +457,29 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataF
     return tokens.mapInArrow(run, schema)
 
 
+def checked(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
+    """``tokens`` with ``restored`` in place of the text: whether the decoded ids are the text."""
+    kept = [c for c in tokens.columns if c != text]
+    name = free_name(tokens, "restored")
+    ids_at, text_at = tokens.columns.index(ids), tokens.columns.index(text)
+    kept_at = [tokens.columns.index(c) for c in kept]
+    schema = T.StructType([*(tokens.schema[c] for c in kept), T.StructField(name, T.BooleanType(), False)])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        _, decoder = vocabulary.coders()
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            pairs = zip(batch.column(ids_at).to_pylist(), batch.column(text_at).to_pylist(), strict=True)
+            same = [decoder.text(x or []) == (t or "") for x, t in pairs]
+            columns = [batch.column(i) for i in kept_at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(same, pa.bool_())], schema=target)
+
+    return tokens.mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: A002
     """Per row the id, ``n_tokens``, and digests of the ids and of the text decoded from them.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoopwise.llm import bpe, exact_dedup, langid, mixing, ngram_join, toxicity
+from stoopwise.llm import bpe, exact_dedup, langid, mixing, ngram_join, secrets, toxicity
 from stoopwise.llm.common import crc_remainder
 
 SQL: dict[str, str] = {}
@@ -82,8 +82,20 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts and digest of the base kinds, all spans."""
+    return secrets.digests(secrets.scanned(_table(spark, sf_dir, "documents")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the corpus pipeline's last stage."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op3_language, op5_mix, op6_exact_dedup, op8_toxicity, op9_ngram_join]
+    found = [op1_bpe, op3_language, op5_mix, op6_exact_dedup, op8_toxicity, op9_ngram_join, op10_secrets, pipeline]
     return {f.__name__: f for f in found}
 
 

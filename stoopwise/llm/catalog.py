@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoopwise.llm import bpe, exact_dedup, langid, mixing, ngram_join, secrets, toxicity
+from stoopwise.llm import bpe, exact_dedup, langid, mixing, ngram_join, passages, secrets, toxicity
 from stoopwise.llm.common import crc_remainder
 
 SQL: dict[str, str] = {}
@@ -37,6 +37,19 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that repeats a passage of an earlier one, and where it does."""
+    found = passages.repeats(_table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return found.select(
+        "doc_id",
+        F.size("spans").cast("long").alias("n_spans"),
+        "removed_chars",
+        F.array_join(spans, ",").alias("spans"),
+        "kept_in",
+    )
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with its source's target and the words that the mix takes of it."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -95,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op3_language, op5_mix, op6_exact_dedup, op8_toxicity, op9_ngram_join, op10_secrets, pipeline]
+    found = [op1_bpe, op3_language, op4_passages, op5_mix, op6_exact_dedup, op8_toxicity, op9_ngram_join, op10_secrets, pipeline]
     return {f.__name__: f for f in found}
 
 

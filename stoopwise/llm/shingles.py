@@ -31,13 +31,25 @@ def _powers(count: int) -> np.ndarray:
 _POWERS = _powers(4096)
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A hash per word of the lower-cased text; words are what is between white space."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def lowered(text: str) -> str:
+    """The text in lower case, character by character where that keeps its length."""
+    low = text.lower()
+    if len(low) == len(text):
+        return low
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of the lower-cased text, and its code points.
+
+    Words are what is between white space; offsets hold for the text itself.
+    """
+    points = np.frombuffer(lowered(text).encode("utf-32-le", "surrogatepass"), np.uint32)
     blank = _BLANK[np.minimum(points, 127)] & (points < 127)
     solid = np.flatnonzero(~blank)
     if not len(solid):
-        return np.empty(0, np.uint64)
+        none = np.empty(0, np.int64)
+        return none.astype(np.uint64), none, none, points
     starts_word = np.empty(len(solid), bool)
     starts_word[0] = True
     np.not_equal(solid[1:], solid[:-1] + 1, out=starts_word[1:])
@@ -46,7 +58,8 @@ def word_hashes(text: str) -> np.ndarray:
     place = np.arange(len(solid)) - np.repeat(starts, lengths)
     powers = _POWERS if lengths.max() <= len(_POWERS) else _powers(int(lengths.max()))
     terms = (points[solid].astype(np.uint64) + np.uint64(1)) * powers[place]
-    return mixed(np.add.reduceat(terms, starts) + lengths.astype(np.uint64))
+    hashes = mixed(np.add.reduceat(terms, starts) + lengths.astype(np.uint64))
+    return hashes, solid[starts], solid[starts] + lengths, points
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -54,7 +67,7 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
 
     A text with fewer words has one n-gram, all of them; one without words has none.
     """
-    words = word_hashes(text or "")
+    words = words_of(text or "")[0]
     if not len(words):
         return words
     count = max(1, len(words) - size + 1)

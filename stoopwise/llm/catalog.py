@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoopwise.llm import bpe, exact_dedup, langid, mixing, ngram_join, passages, secrets, toxicity
+from stoopwise.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, passages, secrets, toxicity
 from stoopwise.llm.common import crc_remainder
 
 SQL: dict[str, str] = {}
@@ -28,6 +28,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary(spark))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learnt from the rows that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -108,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op3_language, op4_passages, op5_mix, op6_exact_dedup, op8_toxicity, op9_ngram_join, op10_secrets, pipeline]
+    found = [op1_bpe, op2_nearest, op3_language, op4_passages, op5_mix, op6_exact_dedup, op8_toxicity, op9_ngram_join, op10_secrets, pipeline]
     return {f.__name__: f for f in found}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoopwise.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, passages, secrets, toxicity
+from stoopwise.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, passages, pseudonyms, secrets, toxicity
 from stoopwise.llm.common import crc_remainder
 
 SQL: dict[str, str] = {}
@@ -83,6 +83,16 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame) -> toxicity.Scorer:
     return toxicity.learn(docs, labels, learnt=crc_remainder("doc_id", 5) != 0)
 
 
+# A key for runs over test data; a real one comes from a secret store.
+DEMO_KEY = "demonstration key"
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data permuted, and how many values of each kind."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymised(docs, DEMO_KEY)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score, learnt from the rows that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -113,7 +123,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op2_nearest, op3_language, op4_passages, op5_mix, op6_exact_dedup, op8_toxicity, op9_ngram_join, op10_secrets, pipeline]
+    found = [op1_bpe, op2_nearest, op3_language, op4_passages, op5_mix, op6_exact_dedup, op7_pseudonyms, op8_toxicity, op9_ngram_join, op10_secrets, pipeline]
     return {f.__name__: f for f in found}
 
 

@@ -96,12 +96,12 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score, learnt from the rows that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored, score = toxicity_scorer(docs, _table(spark, sf_dir, "labels")).score(docs)
-    return scored.select(
+    scored = toxicity_scorer(docs, _table(spark, sf_dir, "labels")).score(docs)
+    return scored.select("row.doc_id", "score").select(
         "doc_id",
         (crc_remainder("doc_id", 5) == 0).alias("held_out"),
-        score.alias("score"),
-        (score >= 0.5).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 

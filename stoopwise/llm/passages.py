@@ -1,11 +1,13 @@
-"""Substring dedup by hashing lines and the passages they are made of.
+"""Substring dedup by hashing lines and parts of long lines.
 
-A text is cut into units: at line breaks, after sentence ends, and in long sentences
-after words that a hash chooses, so that a passage is cut the same way wherever it
-stands. From every unit on, the shortest run of units with ``least_words`` words or more
-is normalised (lower case, white space as one space) and hashed. Runs are grouped by
-digest over all texts; the occurrence that comes first by id, then by place, stays, and
-the others are removed, with their offsets in the original text.
+A text is cut into units at line breaks. Long lines are also cut inside: after the word
+with the smallest hash of every ``WINDOW`` words in a row, so that a passage is cut the
+same way wherever in a line it stands. From every unit on, the shortest run of units with
+``least_words`` words or more is normalised (lower case, white space as one space) and
+hashed. Inside of a line two cuts are at most ``WINDOW`` words apart, so texts that share
+2 * WINDOW + least_words words in a row share a run. Runs are grouped by digest over all
+texts; the occurrence that comes first by id, then by place, stays, and the others are
+removed, with their offsets in the original text.
 
 The first scan counts 64-bit digests. Only runs whose digest is there twice are built
 again, in a second scan, and grouped by 128 bits. Map tasks add up counts and minima
@@ -28,11 +30,11 @@ from stoopwise.llm.shingles import mixed, words_of
 from stoopwise.session import dropped, written
 
 LEAST_WORDS = 10
-# A word in so many ends a unit inside a sentence.
-CUT_EVERY = 16
+# Of so many words in a row inside of a line one ends a unit.
+WINDOW = 12
+NEWLINE = 10
 # Odd multipliers of the two halves of a digest.
 HALVES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_ENDS = [ord(c) for c in ".!?…"]
 
 
 def _inverse(odd: int) -> int:
@@ -52,9 +54,12 @@ def runs(text: str | None, least_words: int = LEAST_WORDS) -> tuple[np.ndarray,
     if count < least_words:
         none = np.empty(0, np.int64)
         return none, none, none, none
-    breaks = np.concatenate([[0], np.cumsum(points == 10)])
-    after = np.isin(points[ends - 1], _ENDS) | (hashes % np.uint64(CUT_EVERY) == 0)
-    after[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
+    line = np.cumsum(points == NEWLINE)[starts]
+    after = np.zeros(count, bool)
+    after[:-1] = line[1:] > line[:-1]
+    if count >= WINDOW:
+        least = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).argmin(axis=1) + np.arange(count - WINDOW + 1)
+        after[least[line[: count - WINDOW + 1] == line[WINDOW - 1 :]]] = True
     cuts = np.concatenate([[0], np.flatnonzero(after) + 1])
     if cuts[-1] != count:
         cuts = np.append(cuts, count)
@@ -162,10 +167,10 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", **o
 
     ``removed`` holds the spans of the original text that are gone, null for none.
     """
-    removed = free_name(docs, "removed")
+    removed, of = free_name(docs, "removed"), free_name(docs, "_of")
     spans = repeats(docs, id, text, **options)
-    found = written(spans.select(F.col(id).alias("_of"), F.col("spans").alias(removed)), "repeats")
-    joined = docs.join(found, F.col(id).eqNullSafe(F.col("_of")), "left").drop("_of")
+    found = written(spans.select(F.col(id).alias(of), F.col("spans").alias(removed)), "repeats")
+    joined = docs.join(found, F.col(id).eqNullSafe(F.col(of)), "left").drop(of)
     names = joined.columns
     text_at, spans_at = names.index(text), names.index(removed)
 

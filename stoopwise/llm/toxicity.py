@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stoopwise.llm.common import free_name, ship, text_of
+from stoopwise.llm.common import ship, text_of
 from stoopwise.session import dropped, written
 
 MOST_LEARNT = 20_000
@@ -200,21 +200,21 @@ class Scorer:
     def __init__(self, lexicon: frozenset[str], trees, calibration, constant: float | None):
         self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
 
-    def score(self, docs: DataFrame, text: str = "text") -> tuple[DataFrame, Column]:
-        """``docs`` with helper columns, and the score as a column of it."""
+    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """Each row as the struct ``row``, and its ``score``."""
+        whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_text"))
         if self.constant is not None:
-            return docs, F.lit(float(self.constant))
-        name = free_name(docs, "_dense")
-        measured = _measured(docs, text, name, {0: self.lexicon})
-        vectors = measured.withColumn("_vector", array_to_vector(name))
+            return whole.select("row", F.lit(float(self.constant)).alias("score"))
+        vectors = _measured(whole, "_text", "_dense", {0: self.lexicon}).drop("_text")
+        vectors = vectors.withColumn("_vector", array_to_vector("_dense"))
         raw = self.trees.setFeaturesCol("_vector").transform(vectors)
         raw = raw.withColumn("_raw", vector_to_array("probability")[1])
         if self.calibration is None:
-            return raw, F.col("_raw")
-        done = self.calibration.setFeaturesCol("_raw").setPredictionCol("_score").transform(raw)
+            return raw.select("row", F.col("_raw").alias("score"))
+        done = self.calibration.setFeaturesCol("_raw").setPredictionCol("_step").transform(raw)
         # The steps of the calibration tie many rows; a little of the raw score orders them.
-        score = (1 - RAW_SHARE) * F.col("_score") + RAW_SHARE * F.col("_raw")
-        return done, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+        score = (1 - RAW_SHARE) * F.col("_step") + RAW_SHARE * F.col("_raw")
+        return done.select("row", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
 
 def _measured(docs: DataFrame, text: str, name: str, lexicons: dict[int, frozenset[str]], fold: str | None = None) -> DataFrame:
@@ -306,5 +306,4 @@ def learn(
 
 def without_toxic(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold."""
-    scored, score = scorer.score(docs, text)
-    return scored.where(score < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scorer.score(docs, text).where(F.col("score") < threshold).select("row.*")

@@ -34,9 +34,11 @@ from pyspark.sql import types as T
 from stoopwise.llm.common import free_name, ship
 
 NONE = -1
-# What a Python process remembers at most; beyond it starts anew.
-MOST_STATES = 100_000
-MOST_PIECES = 400_000
+# What a Python process remembers at most. Of pieces there may be two such generations:
+# a full one becomes the old one, and pieces met again move on to the new one.
+MOST_STATES = 200_000
+MOST_PAIRS = 600_000
+MOST_PIECES = 200_000
 MOST_CHUNKS = 100_000
 # Last tokens are compared by the tokens they allow where at most so many are left.
 MOST_BELOW = 4
@@ -108,6 +110,9 @@ class Transducer:
                 node = there
             node.token = rank
         self.halves_of: dict[int, tuple[int, int] | None] = {}
+        self.fits_memo: dict[tuple[int, int], bool] = {}
+        self.like: dict[tuple[int, int], int | None] = {}
+        self.first_like: dict[tuple, int] = {}
         self.forget()
 
     @staticmethod
@@ -119,9 +124,10 @@ class Transducer:
 
     def forget(self) -> None:
         """Start over with no transitions."""
-        self.fits_memo: dict[tuple[int, int], bool] = {}
-        self.like: dict[tuple[int, int], int | None] = {}
-        self.first_like: dict[tuple, int] = {}
+        if len(self.fits_memo) + len(self.like) > MOST_PAIRS:
+            self.fits_memo.clear()
+            self.like.clear()
+            self.first_like.clear()
         self.states: dict[tuple, State] = {}
         self.start = self.state([(NONE, self.root)])
 
@@ -254,6 +260,7 @@ class Encoder(dict):
         self.machine = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.old_pieces: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
@@ -269,8 +276,12 @@ class Encoder(dict):
             ids = known.get(piece)
             if ids is None:
                 if len(known) > MOST_PIECES:
-                    known.clear()
-                ids = known[piece] = self.machine.encode(piece.encode())
+                    self.old_pieces = known
+                    known = self.pieces = {}
+                ids = self.old_pieces.get(piece)
+                if ids is None:
+                    ids = self.machine.encode(piece.encode())
+                known[piece] = ids
             out += ids
         return out
 

@@ -139,10 +139,12 @@ FROM {{part}}"""
 
 @query(
     "Q14 P16 P18",
-    sql=f"""SELECT coalesce(name, '') AS name, 'grocery' AS type, coalesce(address, '') AS address,
-  TRY_CAST(lng AS DOUBLE) AS lon, TRY_CAST(lat AS DOUBLE) AS lat FROM ({PLACES}) p
-WHERE type = 'grocery_or_supermarket' AND TRY_CAST(lat AS DOUBLE) IS NOT NULL
-  AND TRY_CAST(lng AS DOUBLE) IS NOT NULL""",
+    sql=f"""SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY address, type
+    ORDER BY name, lon, lat) AS nth FROM (
+  SELECT coalesce(name, '') AS name, 'grocery' AS type, coalesce(address, '') AS address,
+    TRY_CAST(lng AS DOUBLE) AS lon, TRY_CAST(lat AS DOUBLE) AS lat FROM ({PLACES}) p
+  WHERE type = 'grocery_or_supermarket' AND TRY_CAST(lat AS DOUBLE) IS NOT NULL
+    AND TRY_CAST(lng AS DOUBLE) IS NOT NULL) i) n WHERE nth = 1""",
 )
 def amenity_import(t: Given) -> DataFrame:
     return amenities.amenity_import(t.sql(PLACES))[0]

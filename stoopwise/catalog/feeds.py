@@ -82,7 +82,24 @@ def shuttle_stops_file(t: Given) -> DataFrame:
     writers.write_features(
         t.sql(transit_queries.SHUTTLE_POINTS), path, writers.shuttle_stop_feature()
     )
-    return readers.shuttle_points(t.spark, path, lines=True)
+    return readers.shuttle_points(t.spark, path)
+
+
+@query("S4 S14 as documents", sql=transit_queries.SHUTTLE_POINTS)
+def shuttle_stops_documents(t: Given) -> DataFrame:
+    path = new_path(t.spark, "shuttle-documents")
+    writers.write_collection(
+        t.sql(transit_queries.SHUTTLE_POINTS), path, writers.shuttle_stop_feature()
+    )
+    return readers.shuttle_points(t.spark, path, lines=False)
+
+
+@query("S5 as documents", sql=f"WITH {amenity_queries.STAGED} SELECT * EXCLUDE (last_updated) FROM staged")
+def grocery_feed_documents(t: Given) -> DataFrame:
+    path = new_path(t.spark, "grocery-documents")
+    writers.write_collection(amenity_queries.features(t), path, F.col("feature"))
+    found = readers.grocery_features(t.spark, path, lines=False)
+    return amenities.stage_groceries(found).drop("last_updated")
 
 
 @query("S5 P11 S11", sql=f"WITH {amenity_queries.STAGED} SELECT * EXCLUDE (last_updated) FROM staged")
@@ -92,7 +109,7 @@ def grocery_feed_file(t: Given) -> DataFrame:
     staged = new_path(t.spark, "grocery-staging")
     # A second load replaces the first.
     for _ in range(2):
-        found = readers.grocery_features(t.spark, path, lines=True)
+        found = readers.grocery_features(t.spark, path)
         writers.replace_table(amenities.stage_groceries(found), staged)
     return t.spark.read.parquet(staged).drop("last_updated")
 
@@ -114,7 +131,7 @@ def summaries_file(t: Given) -> DataFrame:
     )
     body = F.struct(F.lit("first").alias("summary"), issues.alias("summarized_issues"))
     t.v_summaries.select(F.to_json(F.create_map("address", body)).alias("value")).write.text(path)
-    rows = readers.address_summaries(t.spark, path, lines=True)
+    rows = readers.address_summaries(t.spark, path)
     return rows.groupBy("address", F.col("summary.summary").alias("summary")).agg(
         F.count("*").alias("n_rows"),
         F.sum(F.size("summary.summarized_issues")).alias("n_issues"),
@@ -194,7 +211,7 @@ def shuttle_system_file(t: Given) -> DataFrame:
     writers.write_features(
         readers.shuttle_system_stops(routes), out, writers.shuttle_stop_feature()
     )
-    return readers.shuttle_points(t.spark, out, lines=True)
+    return readers.shuttle_points(t.spark, out)
 
 
 @query(

@@ -41,7 +41,7 @@ def saved_state_streamed(t: Given) -> DataFrame:
         .parquet(f"{base}/in")
     )
     saved_state_stream(
-        stream, t.v_properties, f"{base}/log", f"{base}/state", f"{base}/progress", buckets=8
+        stream, t.v_properties, f"{base}/log", f"{base}/state", f"{base}/progress", divisions=8, batches_per_copy=2
     ).awaitTermination()
     return current_state(t.spark, f"{base}/state")
 
@@ -53,7 +53,8 @@ def saved_state_streamed(t: Given) -> DataFrame:
 def grocery_refresh(t: Given) -> DataFrame:
     base = new_path(t.spark, "grocery-refresh")
     writers.replace_table(t.sql(amenity_queries.STORED), f"{base}/first")
-    writers.write_features(amenity_queries.features(t), f"{base}/in", F.col("feature"))
+    # A listing is one file.
+    writers.write_features(amenity_queries.features(t).coalesce(1), f"{base}/in", F.col("feature"))
     refresh_groceries_stream(
         t.spark, f"{base}/in", f"{base}/first", f"{base}/table", f"{base}/progress"
     ).awaitTermination()

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from stoopwise.catalog.expressions import LISTS
 from stoopwise.catalog.registry import Given, query
 from stoopwise.catalog.views import _shuttle
+from stoopwise.catalog.walk import kept_sql
 from stoopwise.params import EXCLUDED_ROUTES, SHUTTLES_KEPT
-from stoopwise.plans import transit
+from stoopwise.plans import transit, walk
 
 QUOTED = ", ".join(f"'{r}'" for r in EXCLUDED_ROUTES)
 KEPT = ", ".join(f"'{r}'" for r in SHUTTLES_KEPT)
@@ -109,14 +110,13 @@ def transit_stops(t: Given) -> DataFrame:
 
 @query(
     "Q10 U1 U2 A13 X18",
-    sql=f"WITH {BUILD} SELECT route_id, name, type, 0 AS first_line, 0 AS first_point, n_lines FROM all_routes WHERE n_lines IS NOT NULL",
+    sql=f"WITH {BUILD} SELECT route_id, name, type, n_lines FROM all_routes WHERE n_lines IS NOT NULL",
 )
 def transit_routes(t: Given) -> DataFrame:
     return build(t).routes.select(
         "route_id",
         "name",
         "type",
-        *transit.PART,
         F.size("geometry").cast("long").alias("n_lines"),
     )
 
@@ -160,7 +160,7 @@ def pair_problems(t: Given) -> DataFrame:
     sql=f"""WITH points AS ({LINE_POINTS}),
 lines AS (SELECT route, line_no, '(' || string_agg(printf('%.1f %.1f', lon, lat), ', '
     ORDER BY seq, lon, lat) || ')' AS line FROM points GROUP BY route, line_no)
-SELECT route AS route_id, upper(route) AS name, 'shuttle' AS type, 0 AS first_line, 0 AS first_point,
+SELECT route AS route_id, upper(route) AS name, 'shuttle' AS type,
   'MULTILINESTRING (' || string_agg(line, ', ' ORDER BY line_no) || ')' AS wkt
 FROM lines GROUP BY route""",
 )
@@ -178,7 +178,7 @@ def shuttle_lines(t: Given) -> DataFrame:
     )
     wkt = F.concat(F.lit("MULTILINESTRING ("), F.array_join(one, ", "), F.lit(")"))
     return transit.shuttle_routes(t.sql(LINE_POINTS)).select(
-        "route_id", "name", "type", *transit.PART, wkt.alias("wkt")
+        "route_id", "name", "type", wkt.alias("wkt")
     )
 
 
@@ -204,25 +204,47 @@ def route_map(t: Given) -> DataFrame:
     )
 
 
-@query(
-    "Q12 S14 route feature",
-    sql=f"""WITH {ASKED}, lines AS (SELECT DISTINCT route_id, n_lines FROM (
-  SELECT route_id, CASE WHEN starts_with(geometry, 'LINE') THEN 1
-    WHEN starts_with(geometry, 'MULTI') THEN 2 END AS n_lines FROM ({ROUTE_ROWS}) r) l
-  WHERE n_lines IS NOT NULL)
-SELECT request_id, c.route_id, 0 AS first_line, 0 AS first_point, 'MultiLineString' AS geometry_type, n_lines, color
-FROM colored c JOIN lines l ON c.route_id = l.route_id""",
-)
+DRAWN = f"""WITH {ASKED}, rows AS ({ROUTE_ROWS}),
+lines AS (SELECT DISTINCT route_id, route_name AS name, CASE WHEN starts_with(geometry, 'LINE')
+    THEN replace(geometry, 'LINESTRING ', '') WHEN starts_with(geometry, 'MULTI')
+    THEN regexp_replace(geometry, '^MULTILINESTRING [(](.*)[)]$', '\\1') END AS lines
+  FROM rows WHERE geometry NOT LIKE 'POINT%'),
+drawn AS (SELECT request_id, c.route_id, 'MultiLineString|' || lines || '|' || l.name || '|cta|' || color
+    AS feature FROM colored c JOIN lines l ON c.route_id = l.route_id)"""
+
+
+def _drawn_text(feature: F.Column) -> F.Column:
+    """A route feature as text: every coordinate, and its properties."""
+    line = F.transform(
+        feature["geometry"]["coordinates"],
+        lambda points: F.concat(
+            F.lit("("),
+            F.array_join(F.transform(points, lambda p: F.format_string("%.0f %.0f", p[0], p[1])), ", "),
+            F.lit(")"),
+        ),
+    )
+    shown = [feature["properties"][name] for name in ("name", "type", "color")]
+    return F.concat_ws("|", feature["geometry"]["type"], F.array_join(line, ", "), *shown)
+
+
+@query("Q12 S14 route feature", sql=f"{DRAWN} SELECT * FROM drawn")
 def route_features(t: Given) -> DataFrame:
     routes = transit.cta_routes(t.sql(ROUTE_ROWS)).where("geometry IS NOT NULL")
     drawn = transit.route_features(transit.route_map(t.sql(LISTS), routes))
-    return drawn.select(
-        "request_id",
-        "route_id",
-        *transit.PART,
-        F.col("feature.geometry.type").alias("geometry_type"),
-        F.size("feature.geometry.coordinates").alias("n_lines"),
-        "feature.properties.color",
+    return drawn.select("request_id", "route_id", _drawn_text(F.col("feature")).alias("feature"))
+
+
+@query(
+    "Q12 S14 route answer per request",
+    sql=f"""{DRAWN} SELECT request_id, 'FeatureCollection' AS kind,
+  string_agg(feature, '; ' ORDER BY route_id) AS features FROM drawn GROUP BY request_id""",
+)
+def route_answers(t: Given) -> DataFrame:
+    routes = transit.cta_routes(t.sql(ROUTE_ROWS)).where("geometry IS NOT NULL")
+    answers = transit.route_collections(transit.route_map(t.sql(LISTS), routes))
+    texts = F.transform("response.features", _drawn_text)
+    return answers.select(
+        "request_id", F.col("response.type").alias("kind"), F.array_join(texts, "; ").alias("features")
     )
 
 
@@ -239,9 +261,10 @@ def route_request_errors(t: Given) -> DataFrame:
 
 @query(
     "J10 P14",
-    sql="""SELECT route_id, name FROM {v_routes} r WHERE EXISTS (SELECT 1 FROM {v_route_stops} s
-  JOIN {v_stops} p ON s.stop_id = p.stop_id WHERE s.route_id = r.route_id AND lat < 41.79)""",
+    sql=f"""WITH {kept_sql(5)}
+SELECT DISTINCT k.property_id, r.route_id, r.name FROM kept k
+JOIN {{v_route_stops}} s ON k.stop_id = s.stop_id JOIN {{v_routes}} r ON s.route_id = r.route_id""",
 )
 def routes_near(t: Given) -> DataFrame:
-    near = t.v_route_stops.join(t.v_stops.where("lat < 41.79"), "stop_id", "left_semi")
-    return t.v_routes.join(near, "route_id", "left_semi").select("route_id", "name")
+    near = walk.walk_stops(t.v_properties, t.v_stops, t.v_route_stops, minutes=5)
+    return transit.routes_of_stops(near, t.v_routes).select("property_id", "route_id", "name")

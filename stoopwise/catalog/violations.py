@@ -262,7 +262,7 @@ REPORTS = f"""{LINES},
 occasions AS (SELECT head, violation_date, 'On ' || strftime(violation_date, '%Y-%m-%d')
     || ', it was cited for the following ' || CAST(count(*) AS STRING) || ' violations: '
     || string_agg(line, '' ORDER BY line_no) AS occasion FROM texts GROUP BY head, violation_date),
-whole AS (SELECT head AS address, 0 AS part_no,
+whole AS (SELECT head AS address,
   'This building was cited on the following occasions: '
   || string_agg(chr(10) || chr(10) || occasion, '' ORDER BY violation_date DESC) AS report
 FROM occasions GROUP BY head)"""
@@ -287,7 +287,7 @@ BASE_PROMPT = "Summarise the violations of this building."
 
 @query(
     "Q5 A16",
-    sql=f"""WITH {REPORTS} SELECT address, part_no,
+    sql=f"""WITH {REPORTS} SELECT address,
   '{BASE_PROMPT}' || chr(10) || report AS prompt FROM whole""",
 )
 def prompt_table(t: Given) -> DataFrame:

@@ -20,7 +20,8 @@ def near_sql(targets: str, minutes: str, columns: str, points: str = "{v_propert
 SELECT * FROM (
   SELECT a.property_id, {columns}, {METRES} AS distance_m
   FROM {points} a JOIN {targets} b
-    ON b.lat BETWEEN a.lat - 0.1 AND a.lat + 0.1 AND b.lon BETWEEN a.lon - 0.2 AND a.lon + 0.2)
+    ON b.lat BETWEEN a.lat - 0.012 AND a.lat + 0.012
+      AND b.lon BETWEEN a.lon - 0.02 AND a.lon + 0.02)
 WHERE distance_m <= {minutes} * 70"""
 
 
@@ -138,7 +139,7 @@ texts AS (SELECT property_id, string_agg('Point|' || printf('%.5f', lon) || ' '
     || printf('%.5f', lat) || '|' || stop_name || '|' || CAST(distance_min AS STRING)
     || '.0|' || CAST(stop_id AS STRING), '; ' ORDER BY distance_m, stop_id) AS features
   FROM kept GROUP BY property_id)
-SELECT p.property_id, 0 AS page, CASE WHEN features IS NULL THEN 'empty' ELSE 'found' END AS status,
+SELECT p.property_id, CASE WHEN features IS NULL THEN 'empty' ELSE 'found' END AS status,
   address, 5 AS walking_time, coalesce(features, '') AS features
 FROM {{v_properties}} p LEFT JOIN texts ON p.property_id = texts.property_id""",
 )
@@ -148,7 +149,6 @@ def walk_stops_geojson(t: Given) -> DataFrame:
     found = F.col("response.bus_stops_geojson.features")
     return answers.select(
         "property_id",
-        "page",
         "status",
         "response.address",
         "response.walking_time",
@@ -163,7 +163,7 @@ texts AS (SELECT property_id, string_agg('Point|' || printf('%.5f', lon) || ' '
     || printf('%.5f', lat) || '|' || name || '|' || printf('%.1f', round_even(distance_m / 70, 1))
     || '|' || address, '; ' ORDER BY distance_m, amenity_id) AS features
   FROM near GROUP BY property_id)
-SELECT p.property_id, 0 AS page, CASE WHEN features IS NULL THEN 'empty' ELSE 'found' END AS status,
+SELECT p.property_id, CASE WHEN features IS NULL THEN 'empty' ELSE 'found' END AS status,
   p.address, 15 AS walking_time, coalesce(features, '') AS features
 FROM {{v_properties}} p LEFT JOIN texts ON p.property_id = texts.property_id""",
 )
@@ -173,7 +173,6 @@ def walk_groceries_geojson(t: Given) -> DataFrame:
     found = F.col("response.grocery_geojson.features")
     return answers.select(
         "property_id",
-        "page",
         "status",
         "response.address",
         "response.walking_time",
@@ -181,31 +180,27 @@ def walk_groceries_geojson(t: Given) -> DataFrame:
     )
 
 
-def stored_properties(t: Given) -> DataFrame:
-    """Properties with their stored responses as JSON text, in all three shapes."""
-    kept = walk.walk_stops(t.v_properties, t.v_stops, t.v_route_stops, minutes=15)
-    near = walk.walk_groceries(t.v_properties, t.v_amenities, minutes=15, keep_cells=True)
-    bus = walk.stop_responses(kept, t.v_properties, 15).select("property_id", "response")
-    food = walk.grocery_responses(near, t.v_properties, 15).select("property_id", "response")
-
-    def shapes(key: str) -> F.Column:
-        shape = F.col("property_id") % 3
-        return (
-            F.when(shape == 0, F.to_json("response"))
-            .when(shape == 1, F.to_json(f"response.{key}"))
-            .otherwise(F.to_json(f"response.{key}.features"))
-        )
-
-    return (
-        t.v_properties.join(
-            bus.select("property_id", shapes("bus_stops_geojson").alias("bus_stops")),
-            "property_id",
-        )
-        .join(
-            food.select("property_id", shapes("grocery_geojson").alias("groceries")),
-            "property_id",
-        )
+def _stored(responses: DataFrame, key: str, name: str) -> DataFrame:
+    """Responses as stored JSON text, in all three shapes that occur."""
+    shape = F.col("property_id") % 3
+    text = (
+        F.when(shape == 0, F.to_json("response"))
+        .when(shape == 1, F.to_json(f"response.{key}"))
+        .otherwise(F.to_json(f"response.{key}.features"))
     )
+    return responses.select("property_id", text.alias(name))
+
+
+def stored_stops(t: Given, properties: DataFrame) -> DataFrame:
+    """property_id and the stored stop response ``bus_stops`` of each of the properties."""
+    kept = walk.walk_stops(properties, t.v_stops, t.v_route_stops, minutes=15)
+    return _stored(walk.stop_responses(kept, properties, 15), "bus_stops_geojson", "bus_stops")
+
+
+def stored_groceries(t: Given, properties: DataFrame) -> DataFrame:
+    """property_id and the stored grocery response ``groceries`` of each of the properties."""
+    near = walk.walk_groceries(properties, t.v_amenities, minutes=15, keep_cells=True)
+    return _stored(walk.grocery_responses(near, properties, 15), "grocery_geojson", "groceries")
 
 
 def _routes_sql(limit: int) -> str:
@@ -246,7 +241,7 @@ LEFT JOIN r15 ON p.property_id = r15.property_id LEFT JOIN r999 ON p.property_id
 )
 def transit_rollups(t: Given) -> DataFrame:
     found = ft.stored_features(F.col("bus_stops"), "bus_stops_geojson", ft.STOP_FEATURE)
-    stored = stored_properties(t).select("property_id", found.alias("f"))
+    stored = stored_stops(t, t.v_properties).select("property_id", found.alias("f"))
     columns = walk.transit_rollups(F.col("f"))
     lists = ("unique_routes", "routes_within_5", "routes_within_10", "routes_within_15")
     return stored.select(
@@ -280,7 +275,7 @@ LEFT JOIN g10 ON p.property_id = g10.property_id LEFT JOIN g15 ON p.property_id
 @query("A10 A11 P12", sql=f"WITH {GROCERY_ROLLUPS} SELECT * FROM best_grocery")
 def grocery_rollups(t: Given) -> DataFrame:
     found = ft.stored_features(F.col("groceries"), "grocery_geojson", ft.GROCERY_FEATURE)
-    stored = stored_properties(t).select("property_id", found.alias("f"))
+    stored = stored_groceries(t, t.v_properties).select("property_id", found.alias("f"))
     columns = walk.grocery_rollups(F.col("f"))
     return stored.select(
         "property_id",
@@ -310,7 +305,7 @@ LEFT JOIN counts ON p.property_id = counts.property_id""",
 )
 def shown_stops_and_routes(t: Given) -> DataFrame:
     found = ft.stored_features(F.col("bus_stops"), "bus_stops_geojson", ft.STOP_FEATURE)
-    stored = stored_properties(t).select("property_id", found.alias("f"))
+    stored = stored_stops(t, t.v_properties).select("property_id", found.alias("f"))
     return stored.select(
         "property_id",
         F.size(ft.within(F.col("f"), 10)).alias("shown_stops"),

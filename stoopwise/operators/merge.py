@@ -115,8 +115,8 @@ def get_or_create(
 
 
 def write_once(old: Column, new: Column) -> Column:
-    """Fill an array column only while it is empty."""
-    return F.when(F.size(old) > 0, old).otherwise(new)
+    """What is stored stays, also an empty answer; only where nothing is stored the new one enters."""
+    return F.when(old.isNotNull(), old).otherwise(new)
 
 
 def shallow_merge(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -61,7 +61,7 @@ def _number_across_partitions(
         condition &= F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
     return (
         numbered.alias("a")
-        .join(F.broadcast(offsets.alias("b")), condition, "left")
+        .join(offsets.alias("b"), condition, "left")
         .select(
             *[F.col(f"a.{c}") for c in df.columns],
             (F.col("a._local") + F.coalesce(F.col("b._before"), F.lit(0))).cast("long").alias(name),

@@ -73,8 +73,8 @@ def code_catalogue(
             "group_priority", F.dense_rank().over(Window.orderBy(F.desc("_largest"))).cast("long")
         )
     )
-    # Most groups share the smallest counts; the short list of ranks goes to them.
-    ranked = groups.join(F.broadcast(ranks), "_largest").alias("g")
+    # Most groups share the smallest counts; the planner broadcasts the ranks if they are few.
+    ranked = groups.join(ranks, "_largest").alias("g")
     return (
         pairs.alias("p")
         .join(ranked, F.col(f"p.{description}").eqNullSafe(F.col(f"g.{description}")))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stoopwise.functions.geo import EARTH_RADIUS_M, haversine, is_place
-from stoopwise.operators.skew import MOST_HOT_KEYS, MOST_SALTS
+from stoopwise.operators.skew import BROADCAST_KEYS
+from stoopwise.session import dropped, written
 
 # Cells never get smaller than this, so a radius of zero still has cells.
 SMALLEST_CELL_DEG = 0.0005
@@ -19,11 +20,10 @@ SLACK = 1.0001
 # Work of one task, in compared pairs and in targets held for one cell.
 PAIRS_PER_TASK = 200_000_000
 TARGETS_PER_TASK = 1_000_000
-MOST_PARTITIONS = 20_000
 
-# The columns the pairs are partitioned by, the first and last only where they vary. All
-# pairs of a point share their values, so an aggregate or window per point that also names
-# these needs no further shuffle.
+# The columns the pairs are partitioned by, the first only where radii differ. All pairs of
+# a point share their values, so an aggregate or window per point that also names these
+# needs no further shuffle, unless targets had to be divided.
 CELL = ["_reach", "_band", "_column", "_salt"]
 
 
@@ -101,11 +101,12 @@ class _Grid:
 
 def _crowded_cells(
     left: DataFrame, right: DataFrame, cell: list[str], pairs_per_task: int, targets_per_task: int
-) -> tuple[list, float]:
+) -> tuple[DataFrame, float]:
     """Cells too large for one task with the splits they need, and the pairs of all cells.
 
-    ``_splits`` divides the points of a cell, ``_sides`` its targets. Only the 1024
-    cells with most pairs are listed; any other has less than 1/1024 of all pairs.
+    ``_splits`` divides the points of a cell, ``_sides`` its targets. The cells come as a
+    written table: there are at most pairs / pairs_per_task and targets /
+    targets_per_task of them.
     """
     work = (
         left.groupBy(*cell)
@@ -117,19 +118,12 @@ def _crowded_cells(
     splits = F.least(F.ceil(F.col("_points").cast("double") * held / pairs_per_task), F.col("_points"))
     sides = F.ceil(F.col("_targets") / targets_per_task)
     seen = Observation()
-    crowded = (
+    crowded = written(
         work.observe(seen, F.sum("_pairs").alias("pairs"))
-        .withColumns(
-            {
-                "_splits": F.least(splits, F.lit(MOST_SALTS)).cast("int"),
-                "_sides": F.least(sides, F.lit(MOST_SALTS)).cast("int"),
-            }
-        )
+        .withColumns({"_splits": splits.cast("int"), "_sides": sides.cast("int")})
         .where("_splits > 1 OR _sides > 1")
-        .orderBy(F.desc("_pairs"), *cell)
-        .limit(MOST_HOT_KEYS)
-        .select(*cell, "_splits", "_sides")
-        .collect()
+        .select(*cell, "_splits", "_sides"),
+        "crowded-cells",
     )
     return crowded, seen.get["pairs"] or 0.0
 
@@ -160,8 +154,7 @@ def radius_join(
     by its points, which see copies of its targets, and when it has too many targets
     for one task, by those as well. A partition of cells turns into far more pairs than
     its size tells, so the number of partitions follows the pairs, is at least the
-    session's, and is not merged by size. The result carries the ``CELL`` columns,
-    unless some targets were divided: then the pairs of a point are in several places.
+    session's, and is not merged by size. The result carries the ``CELL`` columns.
     """
     placed = points.where(is_place(F.col("lat"), F.col("lon")))
     reached = targets.where(is_place(F.col("lat"), F.col("lon")))
@@ -213,11 +206,11 @@ def radius_join(
         .drop("_grid", "_columns", "_first", "_last")
     )
     cell = cell_columns(left)
-    crowded, pairs = _crowded_cells(left, right, cell, pairs_per_task, targets_per_task)
+    crowded, compared = _crowded_cells(left, right, cell, pairs_per_task, targets_per_task)
     keys = list(cell)
-    if crowded:
-        schema = left.select(*cell).withColumns({"_splits": F.lit(0), "_sides": F.lit(0)}).schema
-        hot = F.broadcast(points.sparkSession.createDataFrame(crowded, schema))
+    number = crowded.count()
+    if number:
+        hot = F.broadcast(crowded) if number <= BROADCAST_KEYS else crowded
         keys += ["_salt", "_side"]
 
         def pick(name: str, count: str) -> Column:
@@ -238,21 +231,24 @@ def radius_join(
             .withColumn("_side", pick(target_id, "_sides"))
             .drop("_splits", "_sides")
         )
+    else:
+        dropped(crowded)
+        left = left.withColumn("_salt", F.lit(0))
     session = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(session, min(MOST_PARTITIONS, math.ceil(pairs / pairs_per_task)))
+    partitions = max(session, math.ceil(compared / pairs_per_task))
     left, right = (side.repartition(partitions, *keys) for side in (left, right))
-    divided = any(row["_sides"] > 1 for row in crowded)
-    extra = ["_side", *(CELL if divided else [])]
     distance = haversine(
         F.col("lat"), F.col("lon"), F.col("_cos"),
         F.col("target_lat"), F.col("target_lon"), F.col("_target_cos"),
     )
     # Comparing latitudes is cheap and spares a third of the distances.
     near = F.abs(F.col("lat") - F.col("target_lat")) <= F.degrees(radius / EARTH_RADIUS_M) * SLACK
-    return (
+    pairs = (
         left.join(right, keys)
         .where(near)
         .withColumn("distance_m", distance)
         .where(F.col("distance_m") <= radius)
-        .drop("_cos", "_target_cos", *extra)
+        .drop("_cos", "_target_cos", "_side")
     )
+    place = cell_columns(pairs)
+    return pairs.select(*place, *[c for c in pairs.columns if c not in place])

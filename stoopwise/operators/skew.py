@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stoopwise.params import ROWS_PER_TASK
+from stoopwise.session import dropped, written
 
-# Only the largest groups can be hot: a key outside the first 1024 by size holds less
-# than 1/1024 of the rows, so this list is short by construction and safe to broadcast.
-MOST_HOT_KEYS = 1024
-MOST_SALTS = 4096
+# The list of hot keys is broadcast up to this counted length; a longer one is joined.
+BROADCAST_KEYS = 1_000_000
 
 SALT = "_salt"
 
@@ -20,19 +19,15 @@ SALT = "_salt"
 def hot_keys(
     df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows and the number of salts each needs."""
+    """Keys with more than ``rows_per_task`` rows and the number of salts each needs.
+
+    There are at most rows / rows_per_task of them, and they are not capped.
+    """
     return (
         df.groupBy(*keys)
         .agg(F.count("*").alias("_rows"))
         .where(F.col("_rows") > rows_per_task)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MOST_HOT_KEYS)
-        .select(
-            *keys,
-            F.least(F.lit(MOST_SALTS), F.ceil(F.col("_rows") / rows_per_task))
-            .cast("int")
-            .alias("_salts"),
-        )
+        .select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts"))
     )
 
 
@@ -52,11 +47,12 @@ def salted(
     The keys of ``big`` are counted first, so ``big`` should be cheap to read, such as
     a table; after an expensive step leave skew to the adaptive join instead.
     """
-    found = hot_keys(big, keys, rows_per_task).collect()
-    if not found:
+    hot = written(hot_keys(big, keys, rows_per_task), "hot-keys")
+    number = hot.count()
+    if not number:
+        dropped(hot)
         return big, small
-    schema = big.select(*keys).withColumn("_salts", F.lit(0)).schema
-    hot = F.broadcast(big.sparkSession.createDataFrame(found, schema))
+    hot = F.broadcast(hot) if number <= BROADCAST_KEYS else hot
     salt = F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("_salts")).cast("int"), F.lit(0))
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     # A null key joins nothing, but in a left join its rows need spreading all the same.

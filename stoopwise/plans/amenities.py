@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stoopwise.functions import geo, text
 from stoopwise.operators import merge
-from stoopwise.operators.numbering import first_per_key
+from stoopwise.operators.numbering import first_per_key, total_order
 from stoopwise.params import PLACE_TO_AMENITY
 
 GROCERY = "grocery"
@@ -77,7 +77,10 @@ def grocery_sync(amenities: DataFrame, staging: DataFrame) -> DataFrame:
 def amenity_import(
     places: DataFrame, type_map: dict[str, str] = PLACE_TO_AMENITY
 ) -> tuple[DataFrame, DataFrame]:
-    """Place rows of the mapped types to amenities; rows without a point are rejected."""
+    """Place rows of the mapped types to amenities; rows without a point are rejected.
+
+    Of the rows of one address and type the first by all columns enters.
+    """
     mapping = F.create_map(*[F.lit(x) for pair in type_map.items() for x in pair])
     wanted = places.where(F.col("type").isin(*type_map)).withColumn(
         "_point", geo.point_of(F.col("lat"), F.col("lng"))
@@ -92,4 +95,4 @@ def amenity_import(
     rejected = wanted.where("_point IS NULL").select(
         *places.columns, F.lit("Invalid latitude/longitude values").alias("error")
     )
-    return imported, rejected
+    return first_per_key(imported, ["address", "type"], total_order(imported)), rejected

@@ -15,8 +15,6 @@ from stoopwise.operators.skew import salted_join
 from stoopwise.params import ROWS_PER_TASK, TRIVIAL_CODES
 from stoopwise.session import written
 
-LINES_PER_PART = 10_000
-
 # Fixed value: the opening of every report.
 OPENING = "This building was cited on the following occasions: "
 
@@ -123,33 +121,23 @@ def report_lines(
     )
 
 
-def report_text(lines: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
-    """Whole report per address, from the rows of ``report_lines``.
+def report_text(lines: DataFrame) -> DataFrame:
+    """Whole report per address, from the rows of ``report_lines``, latest occasion first.
 
-    A report of normal size is one row. One of more than ``lines_per_part`` lines comes
-    as several; their texts, joined in the order of ``part_no``, are the report.
+    Lines become the text of a day and days the report, in two steps. A report is one
+    value; one beyond what a row can hold fails and is not cut.
     """
-    part = F.floor((F.col("place") - 1) / lines_per_part).cast("int").alias("part_no")
     opening = F.concat(
-        F.lit("\n\n"), _occasion_opening(F.col("violation_date"), F.col("n_violations"))
-    )
-    opened = F.concat(F.when(F.col("line_no") == 1, opening).otherwise(""), F.col("line"))
-    ordered = F.sort_array(F.collect_list(F.struct("place", opened.alias("line"))))
-    body = F.array_join(F.transform(ordered, lambda x: x["line"]), "")
-    report = F.concat(F.when(F.col("part_no") == 0, F.lit(OPENING)).otherwise(""), "_body")
-    return (
-        lines.groupBy(F.col("head").alias("address"), part)
-        .agg(body.alias("_body"))
-        .select("address", "part_no", report.alias("report"))
+        F.lit("\n\n"), _occasion_opening(F.col("violation_date"), F.max("n_violations"))
     )
+    ordered = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    day = F.concat(opening, F.array_join(F.transform(ordered, lambda x: x["line"]), ""))
+    days = lines.groupBy("head", "violation_date").agg(day.alias("_day"))
+    latest = F.sort_array(F.collect_list(F.struct("violation_date", "_day")), asc=False)
+    body = F.array_join(F.transform(latest, lambda x: x["_day"]), "")
+    return days.groupBy(F.col("head").alias("address")).agg(F.concat(F.lit(OPENING), body).alias("report"))
 
 
 def prompt_table(reports: DataFrame, base_prompt: str) -> DataFrame:
     """The base prompt, a line break and the report, per address."""
-    return reports.select(
-        "address",
-        "part_no",
-        F.concat(
-            F.when(F.col("part_no") == 0, F.lit(base_prompt + "\n")).otherwise(""), "report"
-        ).alias("prompt"),
-    )
+    return reports.select("address", F.concat(F.lit(base_prompt + "\n"), "report").alias("prompt"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stoopwise.functions import features as ft
@@ -37,6 +37,15 @@ def saved_state(
     later ones meet the earlier ones in a salted join: one busy key never has to be
     sorted, or replayed, by a single task.
     """
+    # Read several times below, mostly without the details.
+    log = written(known_log(events, properties, rows_per_task), "saved-log")
+    return state_of(key_facts(log, rows_per_task))
+
+
+def known_log(
+    events: DataFrame, properties: DataFrame, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """The events of known properties, with upper-case addresses and their place ``_at``."""
     known = properties.select(F.upper("address").alias("address")).distinct()
     log = events.withColumn("address", F.upper("address")).withColumn(
         "_at", F.struct("ts", "event_id")
@@ -44,11 +53,15 @@ def saved_state(
     log = salted_join(
         log, known, ["address"], salt_by=["event_id"], how="left_semi", rows_per_task=rows_per_task
     )
-    # Read several times below, mostly without the details.
-    columns = [*KEY, "event_id", "_at", "action", "custom_name", "remarks", "rent"]
-    log = written(log.select(columns), "saved-log")
+    return log.select(*KEY, "event_id", "_at", "action", "custom_name", "remarks", "rent")
+
+
+def key_facts(log: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Per key the places of the few events that decide its state, and the last place seen.
+
+    ``log`` has the columns of ``known_log``. A key without a save has no ``_first_save``.
+    """
     at, is_save, is_delete = F.col("_at"), F.col("action") == "save", F.col("action") == "delete"
-    details = F.struct("custom_name", "remarks", text.blank_to_null(F.col("rent")).alias("rent"))
     ends = (
         log.groupBy(*KEY)
         .agg(
@@ -56,9 +69,11 @@ def saved_state(
             F.max(F.when(is_save, at)).alias("_last_save"),
             F.max(F.when(is_delete, at)).alias("_last_delete"),
             F.max(F.when(F.col("action") == "update", at)).alias("_last_update"),
-            F.max_by(details, F.when(F.col("action") == "update", at)).alias("_details"),
+            F.max_by(
+                F.struct("custom_name", "remarks", "rent"), F.when(F.col("action") == "update", at)
+            ).alias("_details"),
+            F.max(at).alias("_seen"),
         )
-        .where("_first_save IS NOT NULL")
     )
 
     def rejoin(action: str, stats: DataFrame) -> DataFrame:
@@ -80,20 +95,53 @@ def saved_state(
         .groupBy(*KEY)
         .agg(F.min("_at").alias("_saved"))
     )
+    return marked.join(begun, KEY, "left")
+
+
+def as_events(facts: DataFrame) -> DataFrame:
+    """The deciding events of each key, as rows like those of ``known_log``.
+
+    Together with later events they lead to the facts that all events lead to.
+    """
+    none = F.lit(None).cast("string")
+
+    def event(place: str, action: str, *details) -> Column:
+        names = ("custom_name", "remarks", "rent")
+        values = [v.alias(n) for n, v in zip(names, details or (none,) * 3, strict=True)]
+        return F.struct(F.col(place).alias("_at"), F.lit(action).alias("action"), *values)
+
+    places = F.array(
+        *[event(p, "save") for p in ("_first_save", "_saved", "_last_save")],
+        *[event(p, "delete") for p in ("_delete_before", "_deleted", "_last_delete")],
+        event("_last_update", "update", *[F.col(f"_details.{n}") for n in ("custom_name", "remarks", "rent")]),
+    )
+    rows = facts.select(*KEY, F.explode(places).alias("_e")).select(*KEY, "_e.*")
+    return rows.where("_at IS NOT NULL").select(
+        *KEY, F.col("_at.event_id").alias("event_id"), "_at", "action", "custom_name", "remarks", "rent"
+    )
+
+
+def state_of(facts: DataFrame) -> DataFrame:
+    """Current rows from the facts; a key that was never saved has none."""
     updated = F.coalesce(F.col("_last_update") > F.col("_first_save"), F.lit(False))
-    return marked.join(begun, KEY).select(
+    rent = text.blank_to_null(F.col("_details.rent")).try_cast("int")
+    return facts.where("_first_save IS NOT NULL").select(
         *KEY,
         F.col("_saved.ts").alias("date_saved"),
         F.col("_deleted").isNotNull().alias("is_deleted"),
         F.col("_deleted.ts").alias("deleted_at"),
-        *[
-            F.when(updated, F.col(f"_details.{c}")).alias(c)
-            for c in ("custom_name", "remarks")
-        ],
-        F.when(updated, F.col("_details.rent").try_cast("int")).alias("rent_price"),
+        *[F.when(updated, F.col(f"_details.{c}")).alias(c) for c in ("custom_name", "remarks")],
+        F.when(updated, rent).alias("rent_price"),
     )
 
 
+def known_saves(events: DataFrame, properties: DataFrame) -> DataFrame:
+    """Save events of known properties; addresses agree in any case."""
+    saves = events.where(F.col("action") == "save").withColumn("address", F.upper("address"))
+    known = properties.select(F.upper("address").alias("address")).distinct()
+    return salted_join(saves, known, ["address"], salt_by=["event_id"], how="left_semi")
+
+
 def home_of(saved: DataFrame, properties: DataFrame) -> DataFrame:
     """Saved rows with the id of their property: of equal addresses the lowest id.
 
@@ -138,19 +186,15 @@ def status_checks(
     )
 
 
-def saved_cards(saved: DataFrame, properties: DataFrame) -> DataFrame:
-    """One card per active saved listing.
+def saved_cards(listed: DataFrame, stored: DataFrame) -> DataFrame:
+    """One card per row of ``listed``, active saved rows as ``home_of`` gives them.
 
-    ``properties`` carries the stored JSON texts ``bus_stops`` and ``groceries``. Only the
-    texts of saved properties are parsed, each once, before the saved rows meet them.
+    ``stored`` has a row per property with the stored JSON texts ``bus_stops`` and
+    ``groceries``, each parsed once, before the saved rows meet them.
     """
-    listed = home_of(active(saved), properties)
-    wanted = properties.join(
-        listed.select("property_id").distinct(), "property_id", "left_semi"
-    )
     bus = ft.stored_features(F.col("bus_stops"), "bus_stops_geojson", ft.STOP_FEATURE)
     food = ft.stored_features(F.col("groceries"), "grocery_geojson", ft.GROCERY_FEATURE)
-    rolled = wanted.select("property_id", bus.alias("_bus"), food.alias("_food")).select(
+    rolled = stored.select("property_id", bus.alias("_bus"), food.alias("_food")).select(
         "property_id",
         *[c.alias(n) for n, c in transit_rollups(F.col("_bus")).items()],
         *[c.alias(n) for n, c in grocery_rollups(F.col("_food")).items()],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stoopwise.functions import features as ft
@@ -19,12 +19,6 @@ from stoopwise.params import (
 )
 from stoopwise.sources.writers import replace_table
 
-POINTS_PER_PART = 10_000
-LINES_PER_PART = 100
-
-# Where a part of a route's geometry begins.
-PART = ["first_line", "first_point"]
-
 
 class Transit(NamedTuple):
     stops: DataFrame
@@ -71,49 +65,29 @@ def cta_routes(rows: DataFrame) -> DataFrame:
         F.col("route_id").cast("string"),
         F.col("route_name").alias("name"),
         F.lit("cta").alias("type"),
-        *[F.lit(0).cast("long").alias(c) for c in PART],
         geo.lines_from_wkt(F.col("geometry")).alias("geometry"),
     )
 
 
-def shuttle_routes(
-    points: DataFrame,
-    points_per_part: int = POINTS_PER_PART,
-    lines_per_part: int = LINES_PER_PART,
-) -> DataFrame:
+def shuttle_routes(points: DataFrame) -> DataFrame:
     """Line points (route, line_no, seq, lon, lat) to one multi-line per route.
 
-    ``seq`` counts the points of a line. A route of normal size is a single part, from
-    line 0 and point 0. A very long one comes in parts of a range of its lines and a
-    range of their points, so no array grows with the route.
+    ``seq`` counts the points of a line. Points become lines and lines become routes in
+    two steps, so no task sorts the points of more than a line.
     """
-
-    def block(column: str, size: int) -> Column:
-        return F.floor(F.col(column) / size) * size
-
-    first_line, first_point = PART
     lines = (
         points.select(F.col("route").alias("route_id"), "line_no", "seq", "lon", "lat")
         .distinct()
-        .groupBy("route_id", "line_no", block("seq", points_per_part).alias(first_point))
+        .groupBy("route_id", "line_no")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "lon", "lat"))).alias("_points"))
     )
     line = F.transform("_points", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    ordered = F.sort_array(F.collect_list(F.struct("line_no", "_line")))
     return (
         lines.withColumn("_line", line)
-        .groupBy("route_id", block("line_no", lines_per_part).alias(first_line), first_point)
-        .agg(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("line_no", "_line"))), lambda x: x["_line"]
-            ).alias("geometry")
-        )
-        .select(
-            "route_id",
-            F.upper("route_id").alias("name"),
-            F.lit("shuttle").alias("type"),
-            *PART,
-            "geometry",
-        )
+        .groupBy("route_id")
+        .agg(F.transform(ordered, lambda x: x["_line"]).alias("geometry"))
+        .select("route_id", F.upper("route_id").alias("name"), F.lit("shuttle").alias("type"), "geometry")
     )
 
 
@@ -134,8 +108,8 @@ def transit_stops(stop_rows: DataFrame) -> DataFrame:
 
 
 def transit_routes(route_rows: DataFrame) -> DataFrame:
-    """Routes with a line geometry; the first row of an id (and part) wins."""
-    return merge.insert_ignore(route_rows.where("geometry IS NOT NULL"), ["route_id", *PART])
+    """Routes with a line geometry; the first row of an id wins."""
+    return merge.insert_ignore(route_rows.where("geometry IS NOT NULL"), ["route_id"])
 
 
 def link(
@@ -230,13 +204,22 @@ def requested_routes(requests: DataFrame) -> DataFrame:
 
 
 def route_map(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """Coloured routes of each request, one row per request, route and part.
+    """Coloured routes of each request, one row per request and route.
 
     A route that most requests ask for is left to the adaptive join.
     """
     return requested_routes(requests).join(routes, "route_id")
 
 
+def routes_of_stops(near: DataFrame, routes: DataFrame) -> DataFrame:
+    """The known routes that serve the stops near each property, each once.
+
+    ``near`` are rows of ``walk_stops``, whose ``routes`` need no look-up of their own.
+    """
+    served = near.select("property_id", F.explode("routes").alias("route_id")).distinct()
+    return served.join(routes, "route_id")
+
+
 def request_errors(requests: DataFrame, found: DataFrame) -> DataFrame:
     """Requests that list nothing, or nothing that is known."""
     answered = found.select("request_id").distinct()
@@ -255,5 +238,12 @@ def route_features(found: DataFrame) -> DataFrame:
     feature = ft.multiline_feature(
         F.col("geometry"), F.struct("route_id", "name", "type", "color")
     )
-    return found.select("request_id", "route_id", *PART, feature.alias("feature"))
+    return found.select("request_id", "route_id", feature.alias("feature"))
+
 
+def route_collections(found: DataFrame) -> DataFrame:
+    """The answer to each request: its routes as one feature collection, by route id."""
+    entry = F.struct("route_id", "feature")
+    grouped = route_features(found).groupBy("request_id").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    features = F.transform("_all", lambda x: x["feature"])
+    return grouped.select("request_id", ft.collection(features).alias("response"))

@@ -12,8 +12,6 @@ from stoopwise.operators.skew import salted_join
 from stoopwise.params import METRES_PER_MINUTE, ROWS_PER_TASK, TIME_BUCKETS
 from stoopwise.session import written
 
-PAGE_SIZE = 5_000
-
 
 def stops_with_routes(stops: DataFrame, route_stops: DataFrame) -> DataFrame:
     """Each stop with the sorted array of its routes; a stop without any gets an empty one."""
@@ -141,7 +139,7 @@ def walk_groceries(
 ) -> DataFrame:
     """Per property the grocery stores within ``minutes``.
 
-    With ``keep_cells`` the rows can be ranked or paged without another shuffle.
+    With ``keep_cells`` the rows can be ranked or listed without another shuffle.
     """
     groceries = amenities.where(F.col("type") == "grocery").select(
         "amenity_id", "name", "address", "lat", "lon"
@@ -165,33 +163,28 @@ def nearest_first(rows: DataFrame, id_name: str) -> DataFrame:
     return rows.withColumn("nearest", F.row_number().over(window))
 
 
-def _pages(rows: DataFrame, id_name: str, feature: Column, page_size: int) -> DataFrame:
-    """Features of each property, nearest first, in arrays of at most ``page_size``.
+def _listed(rows: DataFrame, id_name: str, feature: Column) -> DataFrame:
+    """The features of each property in one array, nearest first.
 
-    Nearly every property has a single page. The ranks stream through the sort and
-    only one page at a time is held as an array.
+    A response is one value by nature; rows of any number of properties spread over the
+    tasks, and the pairs of a property are in one place already.
     """
-    ranked = nearest_first(rows, id_name)
-    page = F.floor((F.col("nearest") - 1) / page_size).cast("int").alias("page")
-    listed = F.sort_array(F.collect_list(F.struct("nearest", feature.alias("feature"))))
     place = cell_columns(rows)
-    pages = ranked.groupBy(*place, "property_id", page).agg(
-        F.transform(listed, lambda x: x["feature"]).alias("features")
-    )
-    return pages.drop(*place)
+    entry = F.struct("distance_m", id_name, feature.alias("feature"))
+    grouped = rows.groupBy(*place, "property_id").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    return grouped.select("property_id", F.transform("_all", lambda x: x["feature"]).alias("features"))
 
 
 def _envelope(
-    pages: DataFrame, properties: DataFrame, minutes: float, key: str, feature: str
+    listed: DataFrame, properties: DataFrame, minutes: float, key: str, feature: str
 ) -> DataFrame:
-    """One response per property and page; a property without features gets an empty one."""
+    """One response per property; a property without features gets an empty one."""
     empty = F.array().cast(f"array<{feature}>")
     return (
         properties.select("property_id", "address")
-        .join(pages, "property_id", "left")
+        .join(listed, "property_id", "left")
         .select(
             "property_id",
-            F.coalesce("page", F.lit(0)).alias("page"),
             F.when(F.col("features").isNull(), "empty").otherwise("found").alias("status"),
             F.struct(
                 F.col("address"),
@@ -202,9 +195,7 @@ def _envelope(
     )
 
 
-def stop_responses(
-    kept: DataFrame, properties: DataFrame, minutes: float, page_size: int = PAGE_SIZE
-) -> DataFrame:
+def stop_responses(kept: DataFrame, properties: DataFrame, minutes: float) -> DataFrame:
     """GeoJSON responses from the rows of ``walk_stops``."""
     feature = ft.point_feature(
         F.col("target_lon"),
@@ -216,19 +207,15 @@ def stop_responses(
             F.col("stop_id").cast("string").alias("stop_id"),
         ),
     )
-    pages = _pages(kept, "stop_id", feature, page_size)
-    return _envelope(pages, properties, minutes, "bus_stops_geojson", ft.STOP_FEATURE)
+    return _envelope(_listed(kept, "stop_id", feature), properties, minutes, "bus_stops_geojson", ft.STOP_FEATURE)
 
 
-def grocery_responses(
-    near: DataFrame, properties: DataFrame, minutes: float, page_size: int = PAGE_SIZE
-) -> DataFrame:
+def grocery_responses(near: DataFrame, properties: DataFrame, minutes: float) -> DataFrame:
     """GeoJSON responses from the rows of ``walk_groceries``."""
     feature = ft.point_feature(
         F.col("target_lon"), F.col("target_lat"), F.struct("name", "distance_min", "address")
     )
-    pages = _pages(near, "amenity_id", feature, page_size)
-    return _envelope(pages, properties, minutes, "grocery_geojson", ft.GROCERY_FEATURE)
+    return _envelope(_listed(near, "amenity_id", feature), properties, minutes, "grocery_geojson", ft.GROCERY_FEATURE)
 
 
 def transit_rollups(features: Column) -> dict[str, Column]:

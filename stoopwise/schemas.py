@@ -31,6 +31,8 @@ VIOLATION_COLUMNS = {
     "LONGITUDE": ("longitude", "double"),
 }
 VIOLATIONS_CSV = ", ".join(f"`{name}` string" for name in VIOLATION_COLUMNS)
+# Holds a record whose number of fields is wrong; null for a good one.
+BROKEN = "_broken"
 
 STOPS_CSV = (
     "route_id string, var_1 string, stop_name string, stop_id string, "

@@ -8,15 +8,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stoopwise import schemas
-from stoopwise.functions import geo, text
+from stoopwise.functions import text
 from stoopwise.plans.summaries import from_address_map
 
-CSV = {"header": "true", "multiLine": "false", "escape": '"'}
+# Quoted fields may hold line breaks, so a file is read as a whole: land many files.
+CSV = {"header": "true", "multiLine": "true", "escape": '"'}
+
+
+VIOLATION_RECORD = f"{schemas.VIOLATIONS_CSV}, {schemas.BROKEN} string"
+VIOLATION_OPTIONS = CSV | {"columnNameOfCorruptRecord": schemas.BROKEN}
 
 
 def raw_violations(spark: SparkSession, path: str) -> DataFrame:
-    """The violations file as it is: spaced upper-case names, all text."""
-    return spark.read.schema(schemas.VIOLATIONS_CSV).options(**CSV).csv(path)
+    """The violations file as it is: spaced upper-case names, all text.
+
+    Records with too few or too many fields stand in the column ``BROKEN``.
+    """
+    return spark.read.schema(VIOLATION_RECORD).options(**VIOLATION_OPTIONS).csv(path)
 
 
 def _violation_field(name: str, kind: str, strict: bool) -> Column:
@@ -30,15 +38,19 @@ def _violation_field(name: str, kind: str, strict: bool) -> Column:
 
 
 def typed_violations(raw: DataFrame, strict: bool = True) -> DataFrame:
-    """Typed violation columns plus ``location``; broken text raises.
+    """Typed violation columns plus ``location``; broken text and records raise.
 
-    Not ``strict`` it gives null, and ``error`` names the broken fields.
+    Not ``strict`` they give null, and ``error`` names the broken fields.
     """
+    whole = F.col(schemas.BROKEN).isNull() if schemas.BROKEN in raw.columns else F.lit(True)
+    if strict and schemas.BROKEN in raw.columns:
+        message = F.concat(F.lit("broken record: "), F.col(schemas.BROKEN))
+        raw = raw.withColumn("ID", F.when(whole, F.col("ID")).otherwise(F.raise_error(message)))
     fields = {
         new: _violation_field(old, kind, strict)
         for old, (new, kind) in schemas.VIOLATION_COLUMNS.items()
     }
-    typed = raw.select(*[c.alias(n) for n, c in fields.items()], *_errors(fields, strict))
+    typed = raw.select(*[c.alias(n) for n, c in fields.items()], *_errors(fields, strict, whole))
     point = F.when(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull(),
         F.struct(F.col("longitude").alias("lon"), F.col("latitude").alias("lat")),
@@ -46,7 +58,7 @@ def typed_violations(raw: DataFrame, strict: bool = True) -> DataFrame:
     return typed.withColumn("location", point)
 
 
-def _errors(fields: dict[str, Column], strict: bool) -> list[Column]:
+def _errors(fields: dict[str, Column], strict: bool, whole: Column) -> list[Column]:
     if strict:
         return []
     broken = [F.when(F.nullif(F.trim(F.col("`ID`")), F.lit("")).isNull(), F.lit("violation_id"))]
@@ -56,7 +68,8 @@ def _errors(fields: dict[str, Column], strict: bool) -> list[Column]:
             broken.append(F.when(filled & fields[new].isNull(), F.lit(new)))
     names = F.array_compact(F.array(*broken))
     message = F.concat(F.lit("unreadable: "), F.array_join(names, ", "))
-    return [F.when(F.size(names) > 0, message).alias("error")]
+    broken_record = F.lit("unreadable: record")
+    return [F.when(~whole, broken_record).when(F.size(names) > 0, message).alias("error")]
 
 
 def violations(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -79,7 +92,7 @@ def route_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def geojson_features(
-    spark: SparkSession, path: str, feature: str, lines: bool = False
+    spark: SparkSession, path: str, feature: str, lines: bool = True
 ) -> DataFrame:
     """Features of GeoJSON files, one per row in column ``feature``.
 
@@ -96,18 +109,18 @@ def geojson_features(
     return rows.select(F.explode("features").alias("feature"))
 
 
-def shuttle_points(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def shuttle_points(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """Shuttle stop features as stop_id, stop_name, route_name, x, y."""
     found = geojson_features(spark, path, schemas.SHUTTLE_STOPS, lines)
     xy = F.col("feature.geometry.coordinates")
     return found.select("feature.properties.*", F.get(xy, 0).alias("x"), F.get(xy, 1).alias("y"))
 
 
-def grocery_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def grocery_features(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     return geojson_features(spark, path, schemas.GROCERY_FEED, lines)
 
 
-def address_summaries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def address_summaries(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """Files that hold ``{address: summary}`` objects, one per file or one per line."""
     return from_address_map(spark.read.text(path, wholetext=not lines))
 
@@ -148,7 +161,3 @@ def table(
     """A stored table; columns and condition reach the scan."""
     rows = spark.read.parquet(path)
     return (rows.where(where) if where else rows).select(*columns)
-
-
-def wkt_routes(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("geometry", geo.lines_from_wkt(F.col("geometry")))

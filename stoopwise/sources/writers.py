@@ -10,12 +10,12 @@ from stoopwise.functions import features as ft
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write the table anew; readers see the old or the new one."""
-    df.write.mode("overwrite").parquet(path)
-
+    """Write the table anew.
 
-def append_table(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    Spark deletes the old files before it commits the new ones: a reader in between, or
+    after a failure, finds none. Give tables that are read meanwhile a new path instead.
+    """
+    df.write.mode("overwrite").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -41,6 +41,14 @@ def write_features(df: DataFrame, path: str, feature: Column) -> None:
     df.select(feature.alias("f")).select("f.*").write.mode("overwrite").json(path)
 
 
+def write_collection(df: DataFrame, path: str, feature: Column, files: int = 4) -> None:
+    """Feature collections, one document per file; features are dealt to ``files`` documents."""
+    dealt = df.select(feature.alias("f")).withColumn("_file", F.pmod(F.xxhash64(F.to_json("f")), F.lit(files)))
+    document = F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))
+    whole = dealt.groupBy("_file").agg(F.to_json(document).alias("value"))
+    whole.write.mode("overwrite").partitionBy("_file").text(path)
+
+
 def shuttle_stop_feature() -> Column:
     """Feature of the rows of ``shuttle_system_stops``."""
     return ft.point_feature(

@@ -17,15 +17,16 @@ COLUMNS = ["address", "type", "name", "lon", "lat"]
 def refresh_groceries_stream(
     spark: SparkSession, source: str, first: str, table: str, checkpoint: str
 ) -> StreamingQuery:
-    """Stage the feed that landed since the last run, synchronise, then stop.
+    """Stage each feed file that landed since the last run, synchronise, then stop.
 
-    The feed has one feature per line and is a full listing, so run this once per
-    landed feed. ``first`` is the table before the first refresh; each refresh writes
+    A file has one feature per line and is a full listing; files are taken in one by one
+    in the order they landed, so that a store missing in the last one is gone. ``first`` is the table before the first refresh; each refresh writes
     its own snapshot and change log below ``table`` and builds on the one before it.
     """
     feature = schemas.GROCERY_FEED.replace(": struct", " struct")
     feed = (
         spark.readStream.schema(f"type string, {feature}")
+        .option("maxFilesPerTrigger", 1)
         .json(source)
         .select(F.struct("geometry", "properties").alias("feature"))
     )

@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stoopwise import schemas
 from stoopwise.operators.merge import insert_ignore, insert_new
-from stoopwise.sources.readers import CSV, typed_violations
+from stoopwise.sources.readers import VIOLATION_OPTIONS, VIOLATION_RECORD, typed_violations
 from stoopwise.sources.writers import split_dead_letters
 
 
@@ -20,29 +19,35 @@ def ingest_violations(rows: DataFrame, existing: DataFrame) -> DataFrame:
 
 def ingest_violations_stream(
     spark: SparkSession, source: str, target: str, dead: str, checkpoint: str,
-    max_files: int = 1000,
+    max_files: int = 1000, divisions: int = 1024,
 ) -> StreamingQuery:
     """Take in all files that landed since the last run, then stop.
 
     Unreadable rows go to ``dead`` and the rest carries on. A new id enters the target
     once. Each micro-batch writes its own folder, so a batch that runs again after a
-    failure overwrites itself instead of adding its rows twice.
+    failure overwrites itself instead of adding its rows twice. The target is divided by
+    a hash of the id, and a batch looks for its ids in the divisions it touches.
     """
     raw = (
-        spark.readStream.schema(schemas.VIOLATIONS_CSV)
-        .options(**CSV)
+        spark.readStream.schema(VIOLATION_RECORD)
+        .options(**VIOLATION_OPTIONS)
         .option("maxFilesPerTrigger", max_files)
         .csv(source)
     )
 
+    division = F.pmod(F.xxhash64("violation_id"), F.lit(divisions)).cast("int")
+
     def take_in(batch: DataFrame, batch_id: int) -> None:
         good, bad = split_dead_letters(typed_violations(batch, strict=False))
         fresh = insert_ignore(good, ["violation_id"])
         stored = read_if_there(spark, target)
+        fresh = fresh.withColumn("division", division)
         if stored is not None:
-            known = stored.where(F.col("batch") != batch_id)
+            # At most ``divisions`` numbers, so that the scan skips all other folders.
+            touched = [row["division"] for row in fresh.select("division").distinct().collect()]
+            known = stored.where((F.col("batch") != batch_id) & F.col("division").isin(touched))
             fresh = fresh.join(known.select("violation_id"), "violation_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        fresh.write.mode("overwrite").partitionBy("division").parquet(f"{target}/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
 
     return (

@@ -1,9 +1,11 @@
 import json
+import time
 
 import pytest
 
 from stoopwise import schemas
 from stoopwise.sources import readers, writers
+from stoopwise.streaming.refresh import latest_snapshot, refresh_groceries_stream
 from stoopwise.streaming.saved import current_state, saved_state_stream
 from stoopwise.streaming.violations import ingest_violations_stream
 from stoopwise.plans.saved import saved_state
@@ -27,6 +29,19 @@ def test_violations_csv(spark, tmp_path):
         readers.violations(spark, str(path)).collect()
 
 
+def test_records_with_line_breaks_and_short_records(spark, tmp_path):
+    path = tmp_path / "v.csv"
+    note = '"first line\nsecond ""line"", with a comma"'
+    rows = [violation(1, **{"VIOLATION INSPECTOR COMMENTS": note}), "2,1/2/2025,too short", violation(3)]
+    path.write_text("\n".join([HEADER, *rows]) + "\n")
+    found = {r["violation_id"]: r for r in readers.violations(spark, str(path), strict=False).collect()}
+    assert found["1"]["violation_inspector_comments"] == 'first line\nsecond "line", with a comma'
+    assert found["1"]["error"] is None and found["3"]["error"] is None
+    assert found["2"]["error"] == "unreadable: record" and len(found) == 3
+    with pytest.raises(Exception, match="broken record"):
+        readers.violations(spark, str(path)).collect()
+
+
 def test_whole_documents(spark, tmp_path):
     stops = tmp_path / "stops.geojson"
     stops.write_text(json.dumps({"type": "FeatureCollection", "features": [
@@ -34,11 +49,11 @@ def test_whole_documents(spark, tmp_path):
          "properties": {"stop_id": "1", "stop_name": "a", "route_name": "Drexel"}},
         {"type": "Feature", "geometry": None, "properties": {"stop_id": "2"}},
     ]}, indent=1))
-    rows = readers.shuttle_points(spark, str(stops)).orderBy("stop_id").collect()
+    rows = readers.shuttle_points(spark, str(stops), lines=False).orderBy("stop_id").collect()
     assert tuple(rows[0]) == ("1", "a", "Drexel", -87.6, 41.8) and rows[1]["x"] is None
     notes = tmp_path / "summaries.json"
     notes.write_text(json.dumps({"1 A": {"summary": "x", "summarized_issues": []}, "2 B": {"summary": "y"}}, indent=1))
-    found = {r["address"]: r["summary"]["summary"] for r in readers.address_summaries(spark, str(notes)).collect()}
+    found = {r["address"]: r["summary"]["summary"] for r in readers.address_summaries(spark, str(notes), lines=False).collect()}
     assert found == {"1 A": "x", "2 B": "y"}
 
 
@@ -80,6 +95,31 @@ def test_violation_stream_carries_on(spark, tmp_path):
     assert errors == ["unreadable: violation_date", "unreadable: violation_id"]
 
 
+def test_groceries_take_in_one_listing_after_the_other(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+
+    def listing(name, stores):
+        lines = [
+            {"type": "Feature", "geometry": {"type": "Point", "coordinates": [-87.6, 41.8]},
+             "properties": {"store_name": s, "address": f"{s} Road", "zip": "1", "new_status": "OPEN",
+                            "last_updated": "2025-01-01T00:00:00.000"}}
+            for s in stores
+        ]
+        (source / name).write_text("\n".join(map(json.dumps, lines)) + "\n")
+
+    first = str(tmp_path / "first")
+    none = "address string, type string, name string, lon double, lat double"
+    spark.createDataFrame([], none).write.parquet(first)
+    listing("a.json", ["One", "Two"])
+    time.sleep(1.1)  # files are taken in by their time
+    listing("b.json", ["Two", "Three"])
+    table, progress = str(tmp_path / "t"), str(tmp_path / "p")
+    refresh_groceries_stream(spark, str(source), first, table, progress).awaitTermination()
+    names = {r["name"] for r in latest_snapshot(spark, first, table).collect()}
+    assert names == {"Two", "Three"}
+
+
 def test_saved_stream_equals_batch(spark, tmp_path):
     schema = "event_id int, ts timestamp_ntz, user_id int, address string, action string, custom_name string, remarks string, rent string"
     actions = ["save", "update", "delete", "save", "delete", "update"]
@@ -102,6 +142,8 @@ def test_saved_stream_equals_batch(spark, tmp_path):
             " AND ".join(f"NOT (event_id % 3 = {p} OR (event_id DIV 3) % 3 = {p})" for p in range(part)) or "true"
         ).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        saved_state_stream(stream, properties, log, state, progress).awaitTermination()
+        saved_state_stream(
+            stream, properties, log, state, progress, divisions=4, batches_per_copy=2
+        ).awaitTermination()
     expected = sorted(map(str, saved_state(events, properties).collect()))
     assert sorted(map(str, current_state(spark, state).select(saved_state(events, properties).columns).collect())) == expected

@@ -56,6 +56,14 @@ def test_salts_spread_the_hot_key(spark, lopsided):
     assert right.where("k = 'hot'").count() >= len(hot)
 
 
+def test_more_hot_keys_than_any_cap(spark):
+    big = spark.range(6000).selectExpr("id % 1500 AS k", "id")
+    assert hot_keys(big, ["k"], 3).count() == 1500
+    small = spark.range(1500).selectExpr("id AS k", "id * 2 AS w")
+    got = salted_join(big, small, ["k"], ["id"], rows_per_task=3)
+    assert got.count() == 6000 and got.where("w <> 2 * k").count() == 0
+
+
 def test_prefix_join(spark):
     heads = spark.createDataFrame([("5 elm",), ("5 ELM ST",), ("7",), ("",), (None,), ("5%",)], "h string")
     texts = spark.createDataFrame(

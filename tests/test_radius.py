@@ -84,7 +84,7 @@ def test_whole_globe(spark):
     assert len(pairs(radius_join(p, t, 21_000_000, point_id="p", target_id="t"))) == 900
 
 
-def test_cells_are_kept_unless_targets_are_divided(spark):
+def test_the_same_columns_however_cells_are_divided(spark):
     p, t = frames(spark, [(1.0, 2.0)] * 20, [(1.0, 2.0)] * 20)
     by_points = radius_join(p, t, 500, point_id="p", target_id="t", pairs_per_task=100)
     assert {"_band", "_column", "_salt"} <= set(by_points.columns)
@@ -92,7 +92,18 @@ def test_cells_are_kept_unless_targets_are_divided(spark):
     assert {r["n"] for r in places} == {1}
     assert by_points.select("_salt").distinct().count() > 1 and by_points.count() == 400
     by_both = radius_join(p, t, 500, point_id="p", target_id="t", pairs_per_task=100, targets_per_task=5)
-    assert "_band" not in by_both.columns and by_both.count() == 400
+    plain = radius_join(p, t, 500, point_id="p", target_id="t")
+    assert by_both.columns == by_points.columns == plain.columns
+    for divided in (plain, by_points, by_both):
+        counts = divided.groupBy("_band", "_column", "_salt", "p").count().collect()
+        assert sorted(r["count"] for r in counts) == [20] * 20
+
+
+def test_more_crowded_cells_than_any_cap(spark):
+    places = [(float(lat), float(lon)) for lat in range(-60, 60, 3) for lon in range(-90, 90, 6)]
+    p, t = frames(spark, places * 2, places * 2)
+    near = radius_join(p, t, 500, point_id="p", target_id="t", pairs_per_task=2)
+    assert near.count() == 4 * len(places) and len(places) > 1024
 
 
 def test_plan_is_an_equi_join(spark):

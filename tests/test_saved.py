@@ -72,7 +72,8 @@ def test_cards_and_status(spark):
         [(2, "1 Elm", None, None), (1, "1 ELM", None, None)],
         "property_id int, address string, bus_stops string, groceries string",
     )
-    cards = {r["user_id"]: r for r in saved.saved_cards(state, properties).collect()}
+    listed = saved.home_of(saved.active(state), properties)
+    cards = {r["user_id"]: r for r in saved.saved_cards(listed, properties.drop("address")).collect()}
     assert set(cards) == {1, 2}
     assert cards[1]["subtitle"] is None and cards[1]["rent"] is None and cards[1]["property_id"] == 1
     assert cards[1]["display_name"] == "1 ELM" and cards[1]["saved_on"] == "Saved on Jan 1, 2024"

@@ -11,48 +11,64 @@ def values(spark, column, rows, kind="string"):
     return [r[1] for r in df.select("i", column(F.col("x"))).orderBy("i").collect()]
 
 
-def test_address_head(spark):
-    spelled = [
-        "5514 S Blackstone Ave",
-        " 5514 S BLACKSTONE ave ",
-        "5514 S BLACKSTONE AVE",
-        "5514 S Blackstone Ave, Chicago, IL",
-        "5514 S Blackstone Ave, Chicago, IL 60615",
+def test_address_head_is_what_stands_before_the_first_comma(spark):
+    cases = {
+        "12 w Lake View Ter": "12 W LAKE VIEW TER",
+        "\t12 w lake view ter\u00a0": None,
+        "12 W Lake View Ter ,Unit 3, Rear": "12 W LAKE VIEW TER",
+        ", Springfield": "",
+        "": "",
+        None: None,
+    }
+    heads = values(spark, text.address_head, list(cases))
+    assert [h for h, want in zip(heads, cases.values()) if want is not None or h is None] == [
+        w for k, w in cases.items() if w is not None or k is None
     ]
-    assert values(spark, text.address_head, spelled) == ["5514 S BLACKSTONE AVE"] * 5
 
 
-def test_normal_address_joins_all_spellings(spark):
-    spelled = ["5496 S Hyde Park Blvd", "5496 South Hyde Park Boulevard", "5496 SOUTH HYDE PARK BLVD, Chicago"]
-    assert set(values(spark, text.normal_address, spelled)) == {"5496 S HYDE PARK BLVD"}
+@pytest.mark.parametrize("word, short", sorted(text.STREET_WORDS.items()))
+def test_every_street_word_is_shortened(spark, word, short):
+    typed = [f"31 {word.title()} Quarry", f"31  {short.lower()} QUARRY, Upstairs", f"31 {word}S Quarry"]
+    assert values(spark, text.normal_address, typed) == [
+        f"31 {short} QUARRY", f"31 {short} QUARRY", f"31 {word}S QUARRY",
+    ]
+
+
+@pytest.mark.parametrize("suffix", text.STREET_SUFFIXES)
+def test_a_suffix_goes_only_at_the_end(spark, suffix):
+    typed = [f"31 N QUARRY {suffix}", f"31 {suffix} QUARRY", f"31 QUARRY{suffix}"]
+    assert values(spark, text.without_suffix, typed) == ["31 N QUARRY", f"31 {suffix} QUARRY", f"31 QUARRY{suffix}"]
 
 
 def test_strip_citation(spark):
     cases = {
-        "Walls to the walls.  (13-196-530(b), 13-196-641)": "Walls to the walls.",
-        "Stop storing garbage. (7-28-260)": "Stop storing garbage.",
-        "Porch above the floor.  (13-196-570(b), 13-196-641": "Porch above the floor.",
-        "No codes here at all.": "No codes here at all.",
+        "Paint the railing. (11-4-20)": "Paint the railing.",
+        "Mend gutters   (9-1-2(c), 9-1-7)  ": "Mend gutters",
+        "Fit a lamp (at least 60 watts) on each floor.": "Fit a lamp (at least 60 watts) on each floor.",
+        "(11-4-20) Sweep the yard": "(11-4-20) Sweep the yard",
+        "": "",
         None: "",
     }
     assert values(spark, text.strip_citation, list(cases)) == list(cases.values())
 
 
 def test_unfence_json(spark):
+    two = '```json\n[1]\n```\nand\n```json\n[2]\n```'
     cases = [
-        ('```json\n{"key": "value"}\n```', '{"key": "value"}'),
-        ('{"key": "value"}', '{"key": "value"}'),
-        ('```json\n{\n  "a": 1\n}\n```', '{\n  "a": 1\n}'),
-        ('```JSON\n{"foo": "bar"}\n```\n', '{"foo": "bar"}'),
-        ('```json\n{"foo": "bar"}\n```extra', '{"foo": "bar"}'),
-        ('  {"foo": "bar"}\n\n', '{"foo": "bar"}'),
+        (two, "[1]"),
+        ('Here you are:\n```json\n{"rooms": {"kitchen": ["damp", "cold"]}}\n```\nBye', '{"rooms": {"kitchen": ["damp", "cold"]}}'),
+        ("\n\t[true]\u2003", None),
+        ("```\nno name\n```", "```\nno name\n```"),
+        ("", ""),
     ]
-    assert values(spark, text.unfence_json, [c[0] for c in cases]) == [c[1] for c in cases]
+    got = values(spark, text.unfence_json, [c[0] for c in cases])
+    assert [g for g, c in zip(got, cases) if c[1] is not None] == [c[1] for c in cases if c[1] is not None]
+    assert got[2].startswith("[true]")
 
 
 def test_comma_list(spark):
-    got = values(spark, text.comma_list, ["171,172,55", " 171 , 172 , 55 ", "  ", "", "1,,2"])
-    assert got == [["171", "172", "55"], ["171", "172", "55"], [], [], ["1", "", "2"]]
+    got = values(spark, text.comma_list, ["N5", "a b ,c", ",", "\t", "", "x,,y ", None])
+    assert got == [["N5"], ["a b", "c"], ["", ""], [], [], ["x", "", "y"], None]
 
 
 def test_title_cases(spark):

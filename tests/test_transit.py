@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from stoopwise.params import EXCLUDED_ROUTES
 from stoopwise.plans import transit
 
@@ -57,12 +58,23 @@ def test_build(spark):
     }
 
 
-def test_long_lines_come_in_parts(spark):
-    points = spark.createDataFrame([("r", 0, i, float(i), 0.0) for i in range(25)], "route string, line_no int, seq int, lon double, lat double")
-    parts = sorted(transit.shuttle_routes(points, points_per_part=10).collect(), key=lambda r: r["first_point"])
-    assert [len(r["geometry"][0]) for r in parts] == [10, 10, 5]
-    assert [r["first_point"] for r in parts] == [0, 10, 20]
-    assert [p["lon"] for r in parts for p in r["geometry"][0]] == [float(i) for i in range(25)]
+def test_long_routes_stay_whole(spark):
+    """One row per route, however many lines and points it has."""
+    rows = [("r", line, i, float(i), float(line)) for line in range(150) for i in range(3)]
+    rows += [("s", 0, i, float(i), 0.0) for i in range(12_000)]
+    points = spark.createDataFrame(rows, "route string, line_no int, seq int, lon double, lat double")
+    routes = {r["route_id"]: r["geometry"] for r in transit.shuttle_routes(points.repartition(7)).collect()}
+    assert [len(line) for line in routes["r"]] == [3] * 150
+    assert [p["lon"] for p in routes["s"][0]] == [float(i) for i in range(12_000)]
+
+
+def test_one_feed_wins_a_route(spark):
+    other = spark.createDataFrame([("r", "other", "LINESTRING (9 9, 8 8)")], "route_id string, route_name string, geometry string")
+    rows = [("r", line, i, float(i), float(line)) for line in range(150) for i in range(2)]
+    points = spark.createDataFrame(rows, "route string, line_no int, seq int, lon double, lat double")
+    both = transit.cta_routes(other).unionByName(transit.shuttle_routes(points))
+    kept = transit.transit_routes(both).collect()
+    assert len(kept) == 1 and len(kept[0]["geometry"]) == (1 if kept[0]["type"] == "cta" else 150)
 
 
 def test_route_map_colours(spark):
@@ -81,7 +93,12 @@ def test_name_filter_keeps_missing_names(spark):
     assert [r[0] for r in transit.without_name(rows, "name", "CTA").collect()] == ["Drexel", None]
 
 
-def test_many_lines_come_in_parts(spark):
-    points = spark.createDataFrame([("r", i, 0, float(i), 0.0) for i in range(25)], "route string, line_no int, seq int, lon double, lat double")
-    parts = sorted(transit.shuttle_routes(points, lines_per_part=10).collect(), key=lambda r: r["first_line"])
-    assert [len(r["geometry"]) for r in parts] == [10, 10, 5]
+def test_answers_are_one_collection_per_request(spark):
+    routes = spark.createDataFrame([("171", "A", "cta"), ("55", "B", "cta")], "route_id string, name string, type string")
+    line = F.expr("array(array(named_struct('lon', 1d, 'lat', 2d), named_struct('lon', 3d, 'lat', 4d)))")
+    requests = spark.createDataFrame([(1, "55,171"), (2, "55")], "request_id int, routes string")
+    answers = transit.route_collections(transit.route_map(requests, routes.withColumn("geometry", line)))
+    found = {r["request_id"]: r["response"] for r in answers.collect()}
+    assert [f["properties"]["route_id"] for f in found[1]["features"]] == ["171", "55"]
+    assert found[2]["type"] == "FeatureCollection"
+    assert found[2]["features"][0]["geometry"]["coordinates"] == [[[1.0, 2.0], [3.0, 4.0]]]

@@ -1,3 +1,4 @@
+import re
 import datetime
 
 import pytest
@@ -85,13 +86,10 @@ def test_filters(rows):
     assert ids(filters.with_address_prefix(rows, "5%")) == []
 
 
-@pytest.mark.parametrize("rows_per_task, lines_per_part", [(1000, 1000), (1, 2)])
-def test_report(rows, rows_per_task, lines_per_part):
+@pytest.mark.parametrize("rows_per_task", [1000, 1])
+def test_report(rows, rows_per_task):
     lines = reports.report_lines(rows.where("address LIKE '5%'"), rows_per_task=rows_per_task)
-    parts = reports.report_text(lines, lines_per_part).collect()
-    texts = {}
-    for r in sorted(parts, key=lambda r: r["part_no"]):
-        texts[r["address"]] = texts.get(r["address"], "") + r["report"]
+    texts = {r["address"]: r["report"] for r in reports.report_text(lines).collect()}
     assert texts["5 S ELM ST"] == (
         "This building was cited on the following occasions: "
         "\n\nOn 2024-01-05, it was cited for the following 2 violations: "
@@ -105,6 +103,20 @@ def test_report(rows, rows_per_task, lines_per_part):
     assert all(r["prompt"].startswith("Do it.\nThis building") for r in prompts)
 
 
+def test_a_long_report_is_one_text(spark):
+    lines = spark.range(25_000).select(
+        F.lit("A").alias("head"),
+        F.expr("date_add(date'2020-01-01', int(id div 10000))").alias("violation_date"),
+        (F.col("id") % 10_000 + 1).alias("line_no"),
+        F.lit(10_000).alias("n_violations"),
+        F.concat(F.lit("<"), F.col("id"), F.lit(">")).alias("line"),
+    )
+    found = reports.prompt_table(reports.report_text(lines.repartition(5)), "Base").collect()
+    assert len(found) == 1 and found[0]["prompt"].startswith("Base\nThis building")
+    days = [range(20_000, 25_000), range(10_000, 20_000), range(10_000)]
+    assert [int(x) for x in re.findall("<([0-9]+)>", found[0]["prompt"])] == [i for d in days for i in d]
+
+
 def test_addresses_to_summarise(rows):
     got = [tuple(r) for r in v.addresses_to_summarise(rows).collect()]
     assert got[0] == ("5 S ELM ST", 3) and ("6 S OAK", 1) not in got

@@ -79,17 +79,21 @@ def test_responses_cover_every_property(town):
     assert [(r["name"], r["distance_min"]) for r in some.collect()] == [("Fresh", 1.7)]
 
 
-def test_pages_hold_everything_in_order(spark, town):
-    properties = town[0]
-    near = spark.createDataFrame(
-        [(1, i, f"n{i}", "a", float(100 - i), -87.0, 41.0, 1.0) for i in range(25)],
-        "property_id int, amenity_id int, name string, address string, distance_m double, "
-        "target_lon double, target_lat double, distance_min double",
+def test_a_response_holds_everything_in_order(spark, town):
+    """Also of a property with very many features there is one response."""
+    near = spark.range(7000).select(
+        F.lit(1).alias("property_id"),
+        F.col("id").cast("int").alias("amenity_id"),
+        F.concat(F.lit("n"), F.col("id")).alias("name"),
+        F.lit("a").alias("address"),
+        (7000 - F.col("id")).cast("double").alias("distance_m"),
+        F.lit(-87.0).alias("target_lon"),
+        F.lit(41.0).alias("target_lat"),
+        F.lit(1.0).alias("distance_min"),
     )
-    pages = walk.grocery_responses(near, properties, 15, page_size=10).where("property_id = 1")
-    rows = sorted(pages.collect(), key=lambda r: r["page"])
-    names = [f["properties"]["name"] for r in rows for f in r["response"]["grocery_geojson"]["features"]]
-    assert len(rows) == 3 and names == [f"n{i}" for i in reversed(range(25))]
+    answers = walk.grocery_responses(near, town[0], 15).where("property_id = 1").collect()
+    names = [f["properties"]["name"] for f in answers[0]["response"]["grocery_geojson"]["features"]]
+    assert len(answers) == 1 and names == [f"n{i}" for i in reversed(range(7000))]
 
 
 def feature(minutes=None, routes=(), **more):

@@ -24,7 +24,7 @@ def violations_stream(t: Given) -> DataFrame:
     # on the order of the files.
     writers.write_csv(raw_rows(t).repartitionByRange(4, "ID"), f"{base}/in")
     ingest_violations_stream(
-        t.spark, f"{base}/in", f"{base}/out", f"{base}/dead", f"{base}/progress", max_files=2
+        t.spark, f"{base}/in", f"{base}/out", f"{base}/dead", f"{base}/progress", max_files=2, divisions=4
     ).awaitTermination()
     return t.spark.read.parquet(f"{base}/out").select(VIOLATION_FIELDS)
 

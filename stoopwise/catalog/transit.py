@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stoopwise import schemas
 from stoopwise.catalog.expressions import LISTS
 from stoopwise.catalog.registry import Given, query
 from stoopwise.catalog.views import _shuttle
 from stoopwise.catalog.walk import kept_sql
-from stoopwise.params import EXCLUDED_ROUTES, SHUTTLES_KEPT
+from stoopwise.operators import quality
+from stoopwise.params import EXCLUDED_ROUTES, SHUTTLES_KEPT, TRANSIT_TYPES
 from stoopwise.plans import transit, walk
 
 QUOTED = ", ".join(f"'{r}'" for r in EXCLUDED_ROUTES)
@@ -145,14 +147,35 @@ def transit_rejects(t: Given) -> DataFrame:
 
 @query(
     "J4",
-    sql="""SELECT DISTINCT r.route_id, r.stop_id, CASE WHEN k.route_id IS NULL THEN 'route' ELSE 'stop'
-  END AS unknown
-FROM {v_route_stops} r LEFT JOIN {v_routes} k ON r.route_id = k.route_id
-LEFT JOIN (SELECT * FROM {v_stops} WHERE lat < 41.8) s ON r.stop_id = s.stop_id
-WHERE k.route_id IS NULL OR s.stop_id IS NULL""",
+    sql=f"""WITH {BUILD} SELECT route_id, stop_id, CASE WHEN route_id NOT IN (SELECT route_id FROM known)
+  THEN 'route' ELSE 'stop' END AS unknown FROM pairs
+WHERE route_id NOT IN (SELECT route_id FROM known) OR stop_id NOT IN (SELECT stop_id FROM stops)""",
 )
 def pair_problems(t: Given) -> DataFrame:
-    return transit.pair_problems(t.v_route_stops, t.v_routes, t.v_stops.where("lat < 41.8"))
+    rows, _ = feed_rows(t)
+    built = build(t)
+    return transit.pair_problems(rows, built.routes, built.stops)
+
+
+@query(
+    "D2 stops and routes",
+    sql=f"""WITH {BUILD}, bad AS (
+  SELECT 'stop type known' AS rule, count(*) FILTER (WHERE type NOT IN ('cta', 'metra', 'shuttle',
+    'divvy', 'other')) AS bad_rows FROM stops
+  UNION ALL SELECT 'route id fits', count(*) FILTER (WHERE length(route_id) > 20) FROM all_routes
+    WHERE n_lines IS NOT NULL
+  UNION ALL SELECT 'route name fits', count(*) FILTER (WHERE length(name) > 255) FROM all_routes
+    WHERE n_lines IS NOT NULL)
+SELECT * FROM bad""",
+)
+def transit_rules(t: Given) -> DataFrame:
+    built = build(t)
+    stops = quality.broken_rules(built.stops, {"stop type known": quality.allowed("type", TRANSIT_TYPES)})
+    fits = {
+        "route id fits": quality.fits("route_id", schemas.ROUTE_LENGTHS["route_id"]),
+        "route name fits": quality.fits("name", schemas.ROUTE_LENGTHS["name"]),
+    }
+    return stops.unionByName(quality.broken_rules(built.routes, fits))
 
 
 @query(

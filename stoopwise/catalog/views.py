@@ -7,6 +7,8 @@ suppliers, so more data means more towns and not denser ones.
 
 from __future__ import annotations
 
+from stoopwise.params import SHUTTLE_RENAMES, SHUTTLES_DROPPED, SHUTTLES_KEPT
+
 
 def _place(key: str, town: str, lat_step: int, lon_step: int) -> str:
     return f"""
@@ -27,11 +29,11 @@ def _street(key: str) -> str:
     )
 
 
-# Fixed values of the shuttle feed, by number.
+# The names in the shuttle feed, by number: kept ones as they are before renaming, dropped
+# ones, and one of another company.
+_BEFORE = {new: old for old, new in SHUTTLE_RENAMES.items()}
 SHUTTLE_NAMES = (
-    "53rd Street Express", "Apostolic", "Apostolic/Drexel", "Downtown Campus Connector",
-    "Drexel", "Friend Center/Metra", "Red Line/Arts Block", "Midway Metra",
-    "GE Gleacher Express", "MED Medical Shuttle", "North CTA 171",
+    *(_BEFORE.get(name, name) for name in SHUTTLES_KEPT), *SHUTTLES_DROPPED, "North CTA 171",
 )
 
 
@@ -100,12 +102,13 @@ JOIN (SELECT property_id, lat, lon FROM {{v_properties}}) p ON o_custkey = prope
 SELECT c_custkey AS id, {_street("c_custkey")} AS address,
   'Summary ' || CAST(c_custkey AS STRING) AS summary
 FROM {{customer}} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""",
-    # Addresses are typed in lower case at times; one in twenty is of no property.
+    # Each user deals with the addresses of three customers. They are typed in lower case at
+    # times; one in twenty is of no property.
     "v_saved_events": f"""
 SELECT event_id, ts, user_id,
   CASE WHEN event_id % 20 = 19 THEN 'UNKNOWN PLACE'
-    WHEN event_type = 'view' THEN lower({_street("event_id % 20")} || ', CHICAGO, IL, 60615')
-    ELSE {_street("event_id % 20")} || ', CHICAGO, IL, 60615' END AS address,
+    WHEN event_type = 'view' THEN lower({_street("(user_id + event_id % 3)")} || ', CHICAGO, IL, 60615')
+    ELSE {_street("(user_id + event_id % 3)")} || ', CHICAGO, IL, 60615' END AS address,
   CASE event_type WHEN 'signup' THEN 'save' WHEN 'purchase' THEN 'save'
     WHEN 'error' THEN 'delete' ELSE 'update' END AS action,
   CASE WHEN value < 10 THEN '' ELSE 'Home ' || CAST(event_id AS STRING) END AS custom_name,

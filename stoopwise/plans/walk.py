@@ -25,20 +25,16 @@ def stops_with_routes(stops: DataFrame, route_stops: DataFrame) -> DataFrame:
     return stops.join(routes, "stop_id", "left").withColumn("routes", F.coalesce("routes", empty))
 
 
-def _near_stops(
-    points: DataFrame,
-    stops: DataFrame,
-    route_stops: DataFrame,
-    radius_m: float | str,
-) -> DataFrame:
+def _near_stops(points: DataFrame, served: DataFrame, radius_m: float | str) -> DataFrame:
     """Every stop in reach of every point; the routes travel with the stop.
 
     So the pairs need no join of their own to find them, which would shuffle by far
-    the largest table of the job.
+    the largest table of the job. ``served`` are rows of ``stops_with_routes``, written,
+    for they are read to weigh the cells and to join them.
     """
     pairs = radius_join(
         points,
-        stops_with_routes(stops, route_stops).select("stop_id", "routes", "lat", "lon"),
+        served.select("stop_id", "routes", "lat", "lon"),
         radius_m,
         point_id="property_id",
         target_id="stop_id",
@@ -69,15 +65,13 @@ def new_route_stops(near: DataFrame) -> DataFrame:
     )
 
 
-def _described(
-    rows: DataFrame, stops: DataFrame, route_stops: DataFrame, m_per_min: float
-) -> DataFrame:
+def _described(rows: DataFrame, served: DataFrame, m_per_min: float) -> DataFrame:
     """Add name, place, routes and walking minutes to (property_id, stop_id, distance_m).
 
     A stop next to very many properties makes a skewed partition, which the adaptive
     join splits; counting the stops first would compute all the pairs twice.
     """
-    facts = stops_with_routes(stops, route_stops).select(
+    facts = served.select(
         "stop_id",
         "stop_name",
         "routes",
@@ -99,11 +93,10 @@ def stops_all(
 
     ``points`` has property_id, lat, lon.
     """
+    served = written(stops_with_routes(stops, route_stops), "served-stops")
     pairs = radius_join(
         points.select("property_id", "lat", "lon"),
-        stops_with_routes(stops, route_stops).select(
-            "stop_id", "stop_name", "routes", "lat", "lon"
-        ),
+        served.select("stop_id", "stop_name", "routes", "lat", "lon"),
         minutes * m_per_min,
         point_id="property_id",
         target_id="stop_id",
@@ -121,13 +114,9 @@ def walk_stops(
     m_per_min: float = METRES_PER_MINUTE,
 ) -> DataFrame:
     """Per property the stops within ``minutes`` that bring a new route."""
-    near = _near_stops(
-        properties.select("property_id", "lat", "lon"),
-        stops,
-        route_stops,
-        minutes * m_per_min,
-    )
-    return _described(new_route_stops(near), stops, route_stops, m_per_min)
+    served = written(stops_with_routes(stops, route_stops), "served-stops")
+    near = _near_stops(properties.select("property_id", "lat", "lon"), served, minutes * m_per_min)
+    return _described(new_route_stops(near), served, m_per_min)
 
 
 def walk_groceries(
@@ -283,7 +272,8 @@ def requested_stops(
         "lon",
         (F.col("walking_time") * F.lit(float(m_per_min))).alias("_radius"),
     )
-    near = _near_stops(points, stops, route_stops, "_radius")
+    served = written(stops_with_routes(stops, route_stops), "served-stops")
+    near = _near_stops(points, served, "_radius")
     kept = new_route_stops(near).select(
         F.col("property_id").alias("request_id"),
         "stop_id",

@@ -47,6 +47,8 @@ def ingest_violations_stream(
             touched = [row["division"] for row in fresh.select("division").distinct().collect()]
             known = stored.where((F.col("batch") != batch_id) & F.col("division").isin(touched))
             fresh = fresh.join(known.select("violation_id"), "violation_id", "left_anti")
+        # One file per division.
+        fresh = fresh.repartition("division")
         fresh.write.mode("overwrite").partitionBy("division").parquet(f"{target}/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
 

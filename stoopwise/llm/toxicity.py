@@ -36,14 +36,17 @@ MOST_LEARNT = 20_000
 FOLDS = 4
 # Beginnings of words that can be lexicon entries, by length.
 BEGINNINGS = (4, 5, 6)
-# An entry is in so many toxic rows at least, and so many times as likely in them.
+# An entry is in so many toxic rows, and in such a share of them, at least; words that only
+# a few copies of one text have are none. It is so many times as likely in toxic rows.
 LEAST_ROWS = 3
+LEAST_SHARE = 0.02
 LEAST_RATIO = 12.0
 MOST_CANDIDATES = 50_000
 MOST_ENTRIES = 2_000
-TREES = 20
+TREES = 30
 RAW_SHARE = 0.05
 DEPTH = 3
+BINS = 400
 MOST_WORDS_KNOWN = 300_000
 
 GIVEN = frozenset(
@@ -100,15 +103,20 @@ class Lexicon(dict):
 
     SHIFT = 40
 
-    def __init__(self, entries: frozenset[str]):
+    def __init__(self, entries: frozenset[str], given: frozenset[str] = GIVEN):
         super().__init__()
-        self.entries = entries
+        self.entries, self.given = entries, given
 
     def __missing__(self, word: str) -> int:
         if len(self) > MOST_WORDS_KNOWN:
             self.clear()
-        learnt = word in self.entries or any(word[:n] + "*" in self.entries for n in BEGINNINGS if len(word) >= n)
-        value = (word in GIVEN) | learnt << self.SHIFT | (word in SECOND_PERSON) << 2 * self.SHIFT
+        # Given words count as learnt ones too, so that one feature holds all of them.
+        learnt = (
+            word in self.given
+            or word in self.entries
+            or any(word[:n] + "*" in self.entries for n in BEGINNINGS if len(word) >= n)
+        )
+        value = (word in self.given) | learnt << self.SHIFT | (word in SECOND_PERSON) << 2 * self.SHIFT
         self[word] = value
         return value
 
@@ -134,7 +142,7 @@ def features(text: str, lexicon: Lexicon, kinds: dict[str, np.ndarray]) -> list[
         math.log1p(given),
         learnt / count,
         math.log1p(learnt),
-        math.log1p(shown[0] + shown[1]),
+        math.log1p(shown[1]),
         second / count,
         int(kinds["capital"][points].sum()) / letters,
         len(_SHOUTED.findall(text)) / count,
@@ -181,23 +189,33 @@ def _counted(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
     )
 
 
-def _entries(toxic: dict[str, np.ndarray], clean: dict[str, np.ndarray], rows: dict[int, np.ndarray], folds: list[int]) -> frozenset[str]:
-    """Terms of the folds that are so much likelier in toxic rows."""
+def _lexicon(
+    toxic: dict[str, np.ndarray], clean: dict[str, np.ndarray], rows: dict[int, np.ndarray], folds: list[int]
+) -> tuple[frozenset[str], frozenset[str]]:
+    """Terms of the folds that are so much likelier in toxic rows, and given words that are not refuted.
+
+    A given word is refuted by clean rows: it means something else in their language.
+    """
     all_toxic, all_clean = (int(rows[label][folds].sum()) for label in (1, 0))
     scored = []
     none = np.zeros(FOLDS, np.int64)
-    for term, counts in toxic.items():
-        hits, misses = int(counts[folds].sum()), int(clean.get(term, none)[folds].sum())
-        ratio = (hits / max(1, all_toxic)) / ((misses + 0.5) / max(1, all_clean))
-        if hits >= LEAST_ROWS and ratio >= LEAST_RATIO:
+
+    def seen(term: str) -> tuple[int, int, float]:
+        hits, misses = (int(t.get(term, none)[folds].sum()) for t in (toxic, clean))
+        return hits, misses, (hits / max(1, all_toxic)) / ((misses + 0.5) / max(1, all_clean))
+
+    refuted = {word for word in GIVEN if seen(word)[1] >= 2 and seen(word)[2] < LEAST_RATIO}
+    for term in toxic:
+        hits, _, ratio = seen(term)
+        if hits >= max(LEAST_ROWS, LEAST_SHARE * all_toxic) and ratio >= LEAST_RATIO:
             scored.append((-hits, term))
-    return frozenset(term for _, term in sorted(scored)[:MOST_ENTRIES])
+    return frozenset(term for _, term in sorted(scored)[:MOST_ENTRIES]), GIVEN - refuted
 
 
 class Scorer:
     """What was learnt: the lexicon, the trees and the calibration."""
 
-    def __init__(self, lexicon: frozenset[str], trees, calibration, constant: float | None):
+    def __init__(self, lexicon: tuple[frozenset[str], frozenset[str]], trees, calibration, constant: float | None):
         self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -217,7 +235,7 @@ class Scorer:
         return done.select("row", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
 
-def _measured(docs: DataFrame, text: str, name: str, lexicons: dict[int, frozenset[str]], fold: str | None = None) -> DataFrame:
+def _measured(docs: DataFrame, text: str, name: str, lexicons: dict[int, tuple[frozenset[str], frozenset[str]]], fold: str | None = None) -> DataFrame:
     """``docs`` with the features in the column ``name``; ``fold`` chooses the lexicon."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(lexicons)
@@ -228,7 +246,7 @@ def _measured(docs: DataFrame, text: str, name: str, lexicons: dict[int, frozens
     def run(batches):
         import pyarrow as pa
 
-        known = {k: Lexicon(v) for k, v in sent.value.items()}
+        known = {k: Lexicon(*v) for k, v in sent.value.items()}
         kinds = _kinds()
         for batch in batches:
             texts = batch.column(at).to_pylist()
@@ -271,7 +289,7 @@ def learn(
     total = sum(int(s.sum()) for s in sizes.values())
     if not all(sizes[k][training].sum() for k in (0, 1)):
         dropped(sample)
-        return Scorer(frozenset(), None, None, int(sizes[1].sum()) / total if total else 0.0)
+        return Scorer((frozenset(), GIVEN), None, None, int(sizes[1].sum()) / total if total else 0.0)
 
     def counts(rows: DataFrame, only: frozenset[str] | None, most: int | None) -> dict[str, np.ndarray]:
         summed = _counted(rows, only).groupBy("_term").pivot("_fold", list(range(FOLDS))).sum("_n").fillna(0)
@@ -282,9 +300,9 @@ def learn(
 
     in_training = sample.where(F.col("_fold").isin(training))
     toxic = counts(in_training.where("_label > 0"), None, MOST_CANDIDATES)
-    clean = counts(in_training.where("_label <= 0"), frozenset(toxic), None)
+    clean = counts(in_training.where("_label <= 0"), GIVEN.union(toxic), None)
     # The calibration fold is measured by the lexicon that will be used.
-    lexicons = {k: _entries(toxic, clean, sizes, [f for f in training if f != k]) for k in range(FOLDS)}
+    lexicons = {k: _lexicon(toxic, clean, sizes, [f for f in training if f != k]) for k in range(FOLDS)}
     rows = written(
         _measured(sample, "_text", "_dense", lexicons, "_fold").select(
             "_fold", (F.col("_label") > 0).cast("double").alias("label"), array_to_vector("_dense").alias("features")
@@ -293,7 +311,8 @@ def learn(
     )
     dropped(sample)
     few = rows.coalesce(4)
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, minInstancesPerNode=2)
+    # Few rows have any lexicon words; coarse bins would put the first of them with the zeros.
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, stepSize=0.3, seed=7, minInstancesPerNode=2)
     fitted = trees.fit(few.where(F.col("_fold") < FOLDS - 1))
     calibration = None
     if all(sizes[k][FOLDS - 1] for k in (0, 1)):

@@ -101,31 +101,56 @@ def _all_runs(docs: DataFrame, id: str, text: str, least_words: int, whole: bool
     return rows.mapInArrow(run, schema)
 
 
-def _merged(found: DataFrame, kind: str) -> DataFrame:
-    """Spans of each document, those that touch or overlap as one."""
+def _merged(late: DataFrame, kind: str) -> DataFrame:
+    """Spans of each document, those that touch or overlap as one, and where they are kept.
+
+    Rows come sorted by document and stream through; a document's spans are held while
+    its rows last.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            spans, sizes = [], []
-            for pairs in batch.column(1).to_pylist():
-                out: list[list[int]] = []
-                for start, end in sorted((p["_start"], p["_end"]) for p in pairs):
-                    if out and start <= out[-1][1] + 1:
-                        out[-1][1] = max(out[-1][1], end)
-                    else:
-                        out.append([start, end])
-                spans.append([{"start": a, "end": b} for a, b in out])
-                sizes.append(sum(b - a for a, b in out))
-            shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(spans, shape), pa.array(sizes, pa.int64()), batch.column(2)],
+        shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        now, spans, kept, done = None, [], set(), []
+
+        def closed():
+            if spans:
+                places = [{"start": a, "end": b} for a, b in spans]
+                done.append((now, places, sum(b - a for a, b in spans), sorted(kept, key=lambda k: (k is None, k))))
+
+        def sent(schema):
+            ids, places, sizes, keeps = zip(*done, strict=True)
+            done.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, schema.field(0).type), pa.array(places, shape), pa.array(sizes, pa.int64()),
+                 pa.array(keeps, pa.list_(schema.field(0).type))],
                 names=["_id", "spans", "removed_chars", "kept_in"],
-            )
+            )
 
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                document, start, end, first = row
+                if document != now or not spans:
+                    closed()
+                    now, spans, kept = document, [], set()
+                if spans and start <= spans[-1][1] + 1:
+                    spans[-1][1] = max(spans[-1][1], end)
+                else:
+                    spans.append([start, end])
+                kept.add(first)
+            if done:
+                yield sent(schema)
+        closed()
+        if done:
+            yield sent(schema)
+
+    rows = late.select("_id", "_start", "_end", F.col("_first.id").alias("_kept"))
+    rows = rows.repartition("_id").sortWithinPartitions("_id", "_start")
     schema = f"_id {kind}, spans array<struct<start:bigint,end:bigint>>, removed_chars bigint, kept_in array<{kind}>"
-    return found.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def repeats(
@@ -154,12 +179,7 @@ def repeats(
     )
     first = written(first, "runs-first")
     late = again.join(first, ["_d1", "_d2"]).where(~place.eqNullSafe(F.col("_first")))
-    # A document has at most as many of these as units.
-    found = late.groupBy("_id").agg(
-        F.collect_list(F.struct("_start", "_end")).alias("_spans"),
-        F.sort_array(F.collect_set("_first.id")).alias("_kept"),
-    )
-    return _merged(found, kind).withColumnRenamed("_id", id)
+    return _merged(late, kind).withColumnRenamed("_id", id)
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:  # noqa: A002

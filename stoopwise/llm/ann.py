@@ -39,7 +39,7 @@ HIDDEN = 64
 EPOCHS = 20
 BATCH = 512
 SEED = 5
-CANDIDATES_PER_BLOCK = 4096
+CANDIDATES_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 1024
 
 
@@ -170,8 +170,11 @@ def fit(sample: np.ndarray, nodes: int, k: int = K) -> tuple[Router, int]:
     return router, int(np.argmax(found >= AIMED)) + 1 if (found >= AIMED).any() else parts
 
 
-def _routed(nodes: DataFrame, router: Router, most: int) -> DataFrame:
-    """``nodes`` with the column ``_part``: one row for each of the ``most`` likeliest parts."""
+def _routed(nodes: DataFrame, router: Router, most: int, per_bin: int) -> DataFrame:
+    """``nodes`` sent to their ``most`` likeliest parts, by bins of ``per_bin`` parts each.
+
+    One row per node and bin: adds ``_bin`` and ``_parts``, the parts meant within the bin.
+    """
     sent = nodes.sparkSession.sparkContext.broadcast(router)
     names = nodes.columns
     at = names.index("_vector")
@@ -183,14 +186,22 @@ def _routed(nodes: DataFrame, router: Router, most: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             vectors = np.stack(batch.column(at).to_numpy(zero_copy_only=False)).astype(np.float64)
-            best = np.argsort(-sent.value.logits(vectors), axis=1, kind="stable")[:, :most]
-            rows = pa.array(np.repeat(np.arange(len(best)), best.shape[1]))
-            taken = batch.take(rows)
+            best = np.sort(np.argsort(-sent.value.logits(vectors), axis=1, kind="stable")[:, :most], axis=1)
+            rows, bins, parts = [], [], []
+            for row, chosen in enumerate(best):
+                own = chosen // per_bin
+                for one in np.unique(own).tolist():
+                    rows.append(row)
+                    bins.append(one)
+                    parts.append(chosen[own == one].tolist())
+            taken = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(best.ravel().astype(np.int32))], names=[*names, "_part"]
+                [*taken.columns, pa.array(bins, pa.int32()), pa.array(parts, pa.list_(pa.int32()))],
+                names=[*names, "_bin", "_parts"],
             )
 
-    return nodes.mapInArrow(run, nodes.withColumn("_part", F.lit(0)).schema)
+    added = nodes.select("*", F.lit(0).alias("_bin"), F.array().cast("array<int>").alias("_parts"))
+    return nodes.mapInArrow(run, added.schema)
 
 
 def _tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -201,11 +212,18 @@ def _tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFra
         q = np.stack(queries["_vector"].to_numpy()).astype(np.float64)
         c = np.stack(candidates["_vector"].to_numpy()).astype(np.float64)
         rough = q @ c.T
+        # A bin may hold parts that a query does not ask.
+        part = np.array([parts[0] for parts in candidates["_parts"]])
+        for row, asked in enumerate(queries["_parts"]):
+            rough[row, ~np.isin(part, asked)] = -np.inf
         chosen = min(k, len(c))
         edge = np.partition(rough, len(c) - chosen, axis=1)[:, len(c) - chosen]
         for row, node in enumerate(queries["_node"].to_numpy()):
             # Products of matrices may round otherwise than the measure: keep what may tie.
-            near = np.flatnonzero(rough[row] >= edge[row] - 1e-9 * (1 + abs(edge[row])))
+            least = edge[row] - 1e-9 * (1 + abs(edge[row])) if np.isfinite(edge[row]) else -np.inf
+            near = np.flatnonzero((rough[row] >= least) & (rough[row] > -np.inf))
+            if not len(near):
+                continue
             exact = (c[near] * q[row]).sum(axis=1)
             sizes = [len(ids[i]) for i in near]
             all_ids = np.concatenate([ids[i] for i in near])
@@ -259,24 +277,28 @@ def search(
     sample = nodes.select("_vector").orderBy(F.xxhash64("_vector"), "_vector").limit(most_fit).collect()
     router, most = fit(np.array([r["_vector"] for r in sample], float).reshape(len(sample), -1), nodes.count(), k)
 
-    filed = written(_routed(nodes.select("_node", "_vector", "_ids"), router, 1), "ann-filed")
-    sent = written(_routed(nodes.where("_asked").select("_node", "_vector"), router, most), "ann-sent")
+    # Small parts share a bin, so a query's answers from several parts are cut to k together.
+    parts = router.weights[-1].shape[0]
+    per_bin = max(1, CANDIDATES_PER_BLOCK * parts // max(1, nodes.count()))
+    filed = written(_routed(nodes.select("_node", "_vector", "_ids"), router, 1, per_bin), "ann-filed")
+    asking = nodes.where("_asked").select("_node", "_vector")
+    sent = written(_routed(asking, router, most, per_bin), "ann-sent")
     blocks = (
-        filed.groupBy("_part").agg(F.ceil(F.count("*") / CANDIDATES_PER_BLOCK).cast("int").alias("_c_blocks"))
-        .join(sent.groupBy("_part").agg(F.ceil(F.count("*") / QUERIES_PER_BLOCK).cast("int").alias("_q_blocks")), "_part")
+        filed.groupBy("_bin").agg(F.ceil(F.count("*") / CANDIDATES_PER_BLOCK).cast("int").alias("_c_blocks"))
+        .join(sent.groupBy("_bin").agg(F.ceil(F.count("*") / QUERIES_PER_BLOCK).cast("int").alias("_q_blocks")), "_bin")
     )
-    # One row per part, and parts are bounded.
+    # One row per bin, and parts are bounded.
     blocks = F.broadcast(written(blocks, "ann-blocks"))
 
     def dealt(table: DataFrame, mine: str, others: str) -> DataFrame:
         block = F.pmod(F.xxhash64("_node"), F.col(f"_{mine}_blocks")).cast("int")
         meets = F.explode(F.sequence(F.lit(0), F.col(f"_{others}_blocks") - 1))
-        return table.join(blocks, "_part").withColumn(f"_{mine}", block).withColumn(f"_{others}", meets)
+        return table.join(blocks, "_bin").withColumn(f"_{mine}", block).withColumn(f"_{others}", meets)
 
-    keys = ["_part", "_c", "_q"]
+    keys = ["_bin", "_c", "_q"]
     tiles = (
-        dealt(sent, "q", "c").select(*keys, "_node", "_vector").groupBy(*keys)
-        .cogroup(dealt(filed, "c", "q").select(*keys, "_vector", "_ids").groupBy(*keys))
+        dealt(sent, "q", "c").select(*keys, "_node", "_vector", "_parts").groupBy(*keys)
+        .cogroup(dealt(filed, "c", "q").select(*keys, "_vector", "_ids", "_parts").groupBy(*keys))
     )
 
     def nearest(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:

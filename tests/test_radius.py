@@ -100,9 +100,9 @@ def test_the_same_columns_however_cells_are_divided(spark):
 
 
 def test_more_crowded_cells_than_any_cap(spark):
-    places = [(float(lat), float(lon)) for lat in range(-60, 60, 3) for lon in range(-90, 90, 6)]
+    places = [(float(lat), float(lon)) for lat in range(-39, 39, 3) for lon in range(-120, 120, 6)]
     p, t = frames(spark, places * 2, places * 2)
-    near = radius_join(p, t, 500, point_id="p", target_id="t", pairs_per_task=2)
+    near = radius_join(p, t, 500, point_id="p", target_id="t", pairs_per_task=3)
     assert near.count() == 4 * len(places) and len(places) > 1024
 
 

@@ -37,9 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives the text back."""
-    coder = vocabulary(spark)
-    tokens = bpe.encode(docs.select("doc_id", "source", "text"), coder)
-    return bpe.checked(tokens, coder)
+    return bpe.encode_checked(docs.select("doc_id", "source", "text"), vocabulary(spark))
 
 
 STAGES = [

@@ -47,6 +47,7 @@ HELD_BACK = 512
 # Pieces of a text that are held at one time.
 PIECES_AT_ONCE = 100_000
 LONG_TEXT = 1_000_000
+ROWS_AT_ONCE = 128
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -491,6 +492,36 @@ def checked(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: s
     return tokens.mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+    """``docs`` with ids, n_tokens and ``restored`` in place of the text, a few rows at a time.
+
+    One Python process encodes and decodes, and holds the ids of ``ROWS_AT_ONCE`` texts.
+    """
+    ship(docs.sparkSession)
+    at = docs.columns.index(text)
+    kept = [i for i in range(len(docs.columns)) if i != at]
+    names = [docs.columns[i] for i in kept]
+    added = [free_name(docs, n) for n in ("ids", "n_tokens", "restored")]
+    kinds = ("array<int>", "bigint", "boolean")
+    nulls = [F.lit(None).cast(k).alias(n) for n, k in zip(added, kinds, strict=True)]
+    schema = docs.select(*[F.col(f"`{n}`") for n in names], *nulls).schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        encoder, decoder = vocabulary.coders()
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                texts = batch.column(at).to_pylist()
+                found = [list(chain.from_iterable(encoder.runs(t))) if t else [] for t in texts]
+                same = [decoder.text(ids) == (t or "") for ids, t in zip(found, texts, strict=True)]
+                columns = [pa.array(found, pa.list_(pa.int32())), pa.array(map(len, found), pa.int64()), pa.array(same)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*names, *added])
+
+    return docs.mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: A002
     """Per row the id, ``n_tokens``, and digests of the ids and of the text decoded from them.
 

@@ -1,13 +1,14 @@
-"""Substring dedup by hashing lines and parts of long lines.
-
-A text is cut into units at line breaks. Long lines are also cut inside: after the word
-with the smallest hash of every ``WINDOW`` words in a row, so that a passage is cut the
-same way wherever in a line it stands. From every unit on, the shortest run of units with
-``least_words`` words or more is normalised (lower case, white space as one space) and
-hashed. Inside of a line two cuts are at most ``WINDOW`` words apart, so texts that share
-2 * WINDOW + least_words words in a row share a run. Runs are grouped by digest over all
-texts; the occurrence that comes first by id, then by place, stays, and the others are
-removed, with their offsets in the original text.
+"""Substring dedup by hashing lines, and parts of texts cut where their words say.
+
+A text is cut into units twice: once after the word with the smallest hash of every
+``WINDOW`` words in a row, whatever line breaks are between them, so that a passage is cut
+the same way wherever it stands and however it is wrapped; and once at line breaks, and
+inside of long lines by the windows that stand in one line. In both, from every unit on,
+the shortest run of units with ``least_words`` words or more is normalised (lower case,
+white space as one space) and hashed. Two cuts of the first kind are at most ``WINDOW``
+words apart, so texts that share 2 * WINDOW + least_words words in a row share a run. Runs
+are grouped by digest over all texts; the occurrence that comes first by id, then by
+place, stays, and the others are removed, with their offsets in the original text.
 
 The first scan counts 64-bit digests. Only runs whose digest is there twice are built
 again, in a second scan, and grouped by 128 bits. Map tasks add up counts and minima
@@ -30,7 +31,7 @@ from stoopwise.llm.shingles import mixed, words_of
 from stoopwise.session import dropped, written
 
 LEAST_WORDS = 10
-# Of so many words in a row inside of a line one ends a unit.
+# Of so many words in a row one ends a unit.
 WINDOW = 12
 NEWLINE = 10
 # Odd multipliers of the two halves of a digest.
@@ -47,6 +48,19 @@ def _powers(base: int, count: int) -> np.ndarray:
     return np.multiply.accumulate(powers)
 
 
+def _shortest(after: np.ndarray, least_words: int) -> np.ndarray:
+    """The shortest run from every unit on, as one number: its first word times (words + 1) plus its end.
+
+    ``after`` marks the last words of units.
+    """
+    cuts = np.concatenate([[0], np.flatnonzero(after) + 1])
+    if cuts[-1] != len(after):
+        cuts = np.append(cuts, len(after))
+    stop_at = np.searchsorted(cuts, cuts[:-1] + least_words)
+    whole = stop_at < len(cuts)
+    return cuts[:-1][whole] * (len(after) + 1) + cuts[stop_at[whole]]
+
+
 def runs(text: str | None, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Both halves of the digest, start and end of every run of a text."""
     hashes, starts, ends, points = words_of(text or "")
@@ -55,17 +69,14 @@ def runs(text: str | None, least_words: int = LEAST_WORDS) -> tuple[np.ndarray,
         none = np.empty(0, np.int64)
         return none, none, none, none
     line = np.cumsum(points == NEWLINE)[starts]
-    after = np.zeros(count, bool)
+    after, inner = np.zeros(count, bool), np.zeros(count, bool)
     after[:-1] = line[1:] > line[:-1]
     if count >= WINDOW:
         least = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).argmin(axis=1) + np.arange(count - WINDOW + 1)
         after[least[line[: count - WINDOW + 1] == line[WINDOW - 1 :]]] = True
-    cuts = np.concatenate([[0], np.flatnonzero(after) + 1])
-    if cuts[-1] != count:
-        cuts = np.append(cuts, count)
-    stop_at = np.searchsorted(cuts, cuts[:-1] + least_words)
-    whole = stop_at < len(cuts)
-    first, last = cuts[:-1][whole], cuts[stop_at[whole]]
+        inner[least] = True
+    bounds = np.unique(np.concatenate([_shortest(after, least_words), _shortest(inner, least_words)]))
+    first, last = np.divmod(bounds, count + 1)
     halves = []
     for base in HALVES:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(base, count))])

@@ -186,6 +186,30 @@ def test_a_passage_inside_of_lines_is_found(spark):
     assert found == set(range(1, 400, 2))
 
 
+def test_a_passage_wrapped_anew_is_found(spark):
+    rng = random.Random(3)
+
+    def prose(n):
+        return ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(n)]
+
+    def wrapped(words, width):
+        return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+    rows, shared = [], 2 * passages.WINDOW + passages.LEAST_WORDS
+    for i, (one, other) in itertools.product(range(40), [(11, 1000), (11, 11), (10, 13), (5, 7), (1000, 11)]):
+        words = prose(shared + i)
+        for copy, width in enumerate((one, other)):
+            rows.append((len(rows), wrapped(prose(20 + i % 7 + 3 * copy) + words + prose(15), width)))
+    texts = dict(rows)
+    found = {r.doc_id: r for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(found) == set(range(1, len(rows), 2))
+    # A plain comparison: all that goes is a row of words of the text before.
+    for i, row in found.items():
+        before = f" {' '.join(WORD.findall(texts[i - 1]))} "
+        assert row.kept_in == [i - 1]
+        assert all(f" {' '.join(WORD.findall(texts[i][s.start : s.end]))} " in before for s in row.spans)
+
+
 def test_trigram_queries_hold_for_every_match(documents):
     scanner = secrets.Scanner(secrets.BASE + secrets.MORE)
     samples = [

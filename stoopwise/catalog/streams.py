@@ -53,8 +53,7 @@ def saved_state_streamed(t: Given) -> DataFrame:
 def grocery_refresh(t: Given) -> DataFrame:
     base = new_path(t.spark, "grocery-refresh")
     writers.replace_table(t.sql(amenity_queries.STORED), f"{base}/first")
-    # A listing is one file.
-    writers.write_features(amenity_queries.features(t).coalesce(1), f"{base}/in", F.col("feature"))
+    writers.write_listing(amenity_queries.features(t), f"{base}/listing", f"{base}/in", F.col("feature"))
     refresh_groceries_stream(
         t.spark, f"{base}/in", f"{base}/first", f"{base}/table", f"{base}/progress"
     ).awaitTermination()

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from stoopwise import schemas
 from stoopwise.functions import features as ft
 
+# Features of one document at most; a document is a single value.
+DOCUMENT_FEATURES = 8192
+
 
 def replace_table(df: DataFrame, path: str) -> None:
     """Write the table anew.
@@ -41,9 +44,24 @@ def write_features(df: DataFrame, path: str, feature: Column) -> None:
     df.select(feature.alias("f")).select("f.*").write.mode("overwrite").json(path)
 
 
-def write_collection(df: DataFrame, path: str, feature: Column, files: int = 4) -> None:
-    """Feature collections, one document per file; features are dealt to ``files`` documents."""
-    dealt = df.select(feature.alias("f")).withColumn("_file", F.pmod(F.xxhash64(F.to_json("f")), F.lit(files)))
+def write_listing(df: DataFrame, folder: str, source: str, feature: Column) -> None:
+    """A listing of the refresh: features in part files of a folder, then one file in ``source`` that names it."""
+    write_features(df, folder, feature)
+    df.sparkSession.range(0, 1, 1, 1).select(F.lit(folder).alias("folder")).write.mode("append").json(source)
+
+
+def write_collection(df: DataFrame, path: str, feature: Column, most: int = DOCUMENT_FEATURES) -> None:
+    """Feature collections, one document per file, of up to ``most`` features of one partition each.
+
+    Features are sorted in their partition, so that a task that runs again deals them alike.
+    """
+    made = df.select(feature.alias("f"))
+    sorted_ = made.withColumn("_json", F.to_json("f")).sortWithinPartitions("_json").drop("_json")
+    at = F.col("_at")
+    place = at.bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = sorted_.withColumn("_at", F.monotonically_increasing_id()).select(
+        "f", (at - place + F.floor(place / most)).alias("_file")
+    )
     document = F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))
     whole = dealt.groupBy("_file").agg(F.to_json(document).alias("value"))
     whole.write.mode("overwrite").partitionBy("_file").text(path)

@@ -17,23 +17,33 @@ COLUMNS = ["address", "type", "name", "lon", "lat"]
 def refresh_groceries_stream(
     spark: SparkSession, source: str, first: str, table: str, checkpoint: str
 ) -> StreamingQuery:
-    """Stage each feed file that landed since the last run, synchronise, then stop.
+    """Stage each listing that landed since the last run, synchronise, then stop.
 
-    A file has one feature per line and is a full listing; files are taken in one by one
-    in the order they landed, so that a store missing in the last one is gone. ``first`` is the table before the first refresh; each refresh writes
-    its own snapshot and change log below ``table`` and builds on the one before it.
+    A file in ``source`` is a full listing, with one feature per line; or it names, as
+    ``folder``, a folder with the listing's part files, which many tasks read. Listings
+    are taken in one by one in the order their files landed, so that a store missing in
+    the last one is gone. ``first`` is the table before the first refresh; each refresh
+    writes its own snapshot and change log below ``table`` and builds on the one before it.
     """
     feature = schemas.GROCERY_FEED.replace(": struct", " struct")
     feed = (
-        spark.readStream.schema(f"type string, {feature}")
+        spark.readStream.schema(f"type string, {feature}, folder string")
         .option("maxFilesPerTrigger", 1)
         .json(source)
-        .select(F.struct("geometry", "properties").alias("feature"))
+        .select(F.struct("geometry", "properties").alias("feature"), "folder")
     )
 
+    def listed(batch: DataFrame) -> DataFrame:
+        rows = batch.where("folder IS NULL").select("feature")
+        folders = [row["folder"] for row in batch.where("folder IS NOT NULL").select("folder").distinct().collect()]
+        if not folders:
+            return rows
+        parts = spark.read.schema(f"type string, {feature}").json(folders)
+        return rows.unionAll(parts.select(F.struct("geometry", "properties").alias("feature")))
+
     def take_in(batch: DataFrame, batch_id: int) -> None:
         before = latest_snapshot(spark, first, table, before=batch_id)
-        merged = grocery_sync(before, stage_groceries(batch))
+        merged = grocery_sync(before, stage_groceries(listed(batch)))
         # Both outputs come from the same join: it is written once and read twice.
         path = f"{table}/merged/batch={batch_id}"
         merged.write.mode("overwrite").parquet(path)

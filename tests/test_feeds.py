@@ -2,6 +2,7 @@ import json
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from stoopwise import schemas
 from stoopwise.sources import readers, writers
@@ -120,6 +121,45 @@ def test_groceries_take_in_one_listing_after_the_other(spark, tmp_path):
     assert names == {"Two", "Three"}
 
 
+def test_documents_hold_a_bounded_number_of_features(spark, tmp_path):
+    # Equal rows as well: no part of a feature may decide on its document alone.
+    rows = spark.range(0, 50_000, 1, 2).select(
+        F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).cast("string").alias("stop_id"),
+        F.lit("a").alias("stop_name"), F.lit("Drexel").alias("route_name"), F.lit(-87.6).alias("x"), F.lit(41.8).alias("y"),
+    )
+    path = str(tmp_path / "documents")
+    writers.write_collection(rows, path, writers.shuttle_stop_feature())
+    sizes = [len(json.loads(r["value"])["features"]) for r in spark.read.text(path, wholetext=True).collect()]
+    assert sum(sizes) == 50_000 and max(sizes) <= 8192
+    found = readers.shuttle_points(spark, path, lines=False)
+    assert found.exceptAll(rows).count() == rows.exceptAll(found).count() == 0
+
+
+def test_a_listing_may_be_a_folder_of_many_files(spark, tmp_path):
+    def listing(numbers, folder):
+        store = F.col("id").cast("string")
+        properties = F.struct(
+            store.alias("store_name"), F.concat(store, F.lit(" Road")).alias("address"), F.lit("1").alias("zip"),
+            F.lit("OPEN").alias("new_status"), F.lit("2025-01-01T00:00:00.000").alias("last_updated"),
+        )
+        geometry = F.struct(F.lit("Point").alias("type"), F.array(F.lit(-87.6), F.lit(41.8)).alias("coordinates"))
+        feature = F.struct(geometry.alias("geometry"), properties.alias("properties"))
+        writers.write_listing(numbers.select(feature.alias("f")), str(tmp_path / folder), source, F.col("f"))
+
+    source, first = str(tmp_path / "in"), str(tmp_path / "first")
+    none = "address string, type string, name string, lon double, lat double"
+    spark.createDataFrame([], none).write.parquet(first)
+    listing(spark.range(0, 30, 1, 5), "one")
+    time.sleep(1.1)  # files are taken in by their time
+    listing(spark.range(20, 50, 1, 5), "two")
+    assert len(list((tmp_path / "two").glob("part-*"))) == 5
+    table = str(tmp_path / "t")
+    refresh_groceries_stream(spark, source, first, table, str(tmp_path / "p")).awaitTermination()
+    names = {r["name"] for r in latest_snapshot(spark, first, table).collect()}
+    assert names == {str(n) for n in range(20, 50)}
+    assert spark.read.parquet(f"{table}/snapshot").select("batch").distinct().count() == 2
+
+
 def test_saved_stream_equals_batch(spark, tmp_path):
     schema = "event_id int, ts timestamp_ntz, user_id int, address string, action string, custom_name string, remarks string, rent string"
     actions = ["save", "update", "delete", "save", "delete", "update"]

@@ -8,8 +8,9 @@ nearly all learnt texts of that centroid are is marked as rejected.
 
 Document frequencies are counted over all learnt rows. Centroids and their radii come
 from a bounded sample: per language the ``most_learnt`` first rows by a hash of the id.
-Languages are clustered apart from each other, each in a task of its own, and the texts of
-a sample count by at most ``LEARNT_CHARS`` characters; predictions read whole texts.
+Languages are clustered apart from each other, each in a task of its own. Whole texts count,
+in the sample as in predictions; n-grams are counted where a text is read, and the clusters
+get the counts.
 
 A text that is null or has no letters is ``und`` with score 0. Equal cosines go to the
 language first by code point. Without learnt rows every text is ``und``.
@@ -22,14 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stoopwise.llm.common import free_name, ship
+from stoopwise.llm.common import bounded, free_name, ship
 from stoopwise.llm.shingles import mixed
+from stoopwise.session import dropped, written
 
 UNDETERMINED = "und"
 NGRAMS = (1, 2, 3)
 FEATURES = 1 << 13
 MOST_LEARNT = 400
-LEARNT_CHARS = 20_000
 CENTROIDS = 4
 ROUNDS = 12
 # The share of a centroid's learnt texts that its radius covers.
@@ -166,17 +167,39 @@ def learn(
     holds, count = document_frequencies(rows, "_text")
     idf = np.log((1 + count) / (1 + holds)) + 1
 
-    window = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id", "_text")
+    keyed = rows.withColumns({"_hash": F.xxhash64("_id"), "_digest": F.xxhash64("_text")})
+    key = ["_lang", "_hash", "_digest"]
+    window = Window.partitionBy("_lang").orderBy("_hash", "_digest")
     # Map tasks keep the first rows of each language, so a large language stays small.
-    sample = (
-        rows.select("_id", "_lang", F.substring("_text", 1, LEARNT_CHARS).alias("_text"))
-        .withColumn("_nth", F.row_number().over(window))
-        .where(F.col("_nth") <= most_learnt)
-        .select("_lang", "_text")
-    )
+    chosen = keyed.select(*key).withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") <= most_learnt)
+    chosen = written(chosen.groupBy(*key).agg(F.count("*").alias("_copies")), "language-sample")
+    texts = keyed.join(bounded(chosen), key).select(*key, "_copies", "_text")
+
+    def count_grams(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                counts = gram_counts(batch.column(4)[row].as_py())
+                if counts is not None:
+                    at = np.flatnonzero(counts)
+                    grams = [pa.array([a.tolist()], pa.list_(pa.int64())) for a in (at, counts[at])]
+                    columns = [*(batch.column(k).slice(row, 1) for k in range(4)), *grams]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*key, "_copies", "_at", "_counts"])
+
+    schema = "_lang string, _hash bigint, _digest bigint, _copies bigint, _at array<bigint>, _counts array<bigint>"
+    # Rows that repeat an id and its text come as one, with the number that the sample has of them.
+    sample = texts.mapInArrow(count_grams, schema).groupBy(*key).agg(
+        F.first("_copies").alias("_copies"), F.first(F.struct("_at", "_counts")).alias("_grams")
+    ).select(*key, "_copies", "_grams.*")
 
     def centers_of(frame: pd.DataFrame) -> pd.DataFrame:
-        counted = [c for c in map(gram_counts, frame["_text"]) if c is not None]
+        frame = frame.sort_values(["_hash", "_digest"])
+        counted = []
+        for copies, at, counts in zip(frame["_copies"], frame["_at"], frame["_counts"], strict=True):
+            whole = np.zeros(FEATURES, np.int64)
+            whole[at] = counts
+            counted += [whole] * int(copies)
         out = {"_lang": [], "center": [], "radius": []}
         if counted:
             vectors = np.stack([vector(c, idf) for c in counted])
@@ -193,6 +216,7 @@ def learn(
     found = sample.groupBy("_lang").applyInPandas(centers_of, "_lang string, center array<double>, radius double")
     # A few centroids per language, however many rows there are.
     centers = sorted(found.collect(), key=lambda r: (r["_lang"], tuple(r["center"])))
+    dropped(chosen)
     return Model(
         idf,
         np.array([r["center"] for r in centers], np.float32).reshape(len(centers), FEATURES),

@@ -150,6 +150,16 @@ def test_toxicity(spark, messy, nothing):
     assert scorer.score(nothing).count() == 0
 
 
+def test_language_is_learnt_from_whole_texts(spark):
+    # The first 25,000 characters are the same text in both languages.
+    head = "the same words in front of all of them " * 640
+    tails = {"xx": "zorka mupilo wexa ", "yy": "brennig stahlfe dochtu "}
+    rows = [(n, lang, head + tail * (3000 + n)) for lang, tail in tails.items() for n in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = langid.identify(docs, langid.learn(docs)).collect()
+    assert all(r.lang_pred == r.lang for r in found)
+
+
 def test_passages(messy, nothing):
     found = {r.doc_id: r for r in passages.repeats(messy).collect()}
     assert 5 in found and 6 in found  # the long text repeats itself

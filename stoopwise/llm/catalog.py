@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoopwise.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, passages, pseudonyms, secrets, toxicity
+from stoopwise.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, packing, passages, pseudonyms, secrets, toxicity
 from stoopwise.llm.common import crc_remainder
 
 SQL: dict[str, str] = {}
@@ -115,6 +115,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scanned(_table(spark, sf_dir, "documents")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its sequence of 4096 tokens."""
+    import public_tokenizers
+
+    tokenizer = packing.tokenizer_source(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.digests(packing.packed(_table(spark, sf_dir, "documents"), tokenizer))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the corpus pipeline's last stage."""
     import corpus_pipeline
@@ -123,7 +131,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op2_nearest, op3_language, op4_passages, op5_mix, op6_exact_dedup, op7_pseudonyms, op8_toxicity, op9_ngram_join, op10_secrets, pipeline]
+    found = [op1_bpe, op2_nearest, op3_language, op4_passages, op5_mix, op6_exact_dedup, op7_pseudonyms, op8_toxicity, op9_ngram_join, op10_secrets, op11_packing, pipeline]
     return {f.__name__: f for f in found}
 
 

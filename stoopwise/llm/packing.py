@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 import zlib
 from bisect import bisect_right
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stoopwise.llm.common import ship
-from stoopwise.session import dropped, new_path, written
+from stoopwise.session import new_path, written
 
 CAPACITY = 4096
 END_ID = 2
@@ -85,52 +86,53 @@ class WordEncoder:
         self.whole = Tokenizer.from_str(source)
         parts = json.loads(source)
         self.by_words = all(parts.get(k) == v for k, v in BY_WORDS.items())
-        if self.by_words:
-            import regex
-
-            self.split = regex.compile(BY_WORDS["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-            self.model = self.whole.model
-            self.marks = _byte_marks()
-            self.words: dict[bytes, bytes] = {}
-            self.pieces: dict[str, bytes] = {}
+        self.words = _Words(self.whole) if self.by_words else None
 
     def ids(self, text: bytes) -> bytes:
-        if not self.by_words:
+        if self.words is None:
             return _packed(self.whole.encode(text.decode(), add_special_tokens=False).ids)
+        self.words.forget()
         # bytes.split() cuts at ASCII white space alone.
-        words = text.split()
-        known = self.words
-        if len(known) > MOST_WORDS:
-            known.clear()
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+class _Words(dict):
+    """The ids of words, found out when a word is first met."""
+
+    def __init__(self, whole):
+        import regex
+
+        super().__init__()
+        self.whole = whole
+        self.split = regex.compile(BY_WORDS["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.marks = _byte_marks()
+        self.pieces: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        if len(self) > MOST_WORDS:
+            self.clear()
         if len(self.pieces) > MOST_PIECES:
             self.pieces.clear()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            for word in words:
-                if word not in known:
-                    known[word] = self._word(word)
-            return b"".join([known[w] for w in words])
-
-    def _word(self, word: bytes) -> bytes:
+
+    def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if not PLAIN.fullmatch(text):
-            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
-        lower = text.lower()
-        return b"".join([self._piece(p) for p in ([lower] if lower.isalpha() else self.split(lower))])
+        if PLAIN.fullmatch(text):
+            lower = text.lower()
+            pieces = [lower] if lower.isalpha() else self.split(lower)
+            found = b"".join([self.pieces.get(p) or self._piece(p) for p in pieces])
+        else:
+            found = _packed(self.whole.encode(text, add_special_tokens=False).ids)
+        self[word] = found
+        return found
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            marked = piece.encode().decode("latin-1").translate(self.marks)
-            found = self.pieces[piece] = _packed([t.id for t in self.model.tokenize(marked)])
+        marked = piece.encode().decode("latin-1").translate(self.marks)
+        found = self.pieces[piece] = _packed([t.id for t in self.whole.model.tokenize(marked)])
         return found
 
 
 def _packed(ids: list[int]) -> bytes:
-    import numpy as np
-
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _byte_marks() -> dict[int, str]:
@@ -314,13 +316,17 @@ def _items(docs: DataFrame, source: str, id: str, text: str, capacity: int, end_
     return rows.mapInArrow(run, schema)
 
 
-def _bucketed(df: DataFrame, by: str) -> tuple[DataFrame, str, str]:
+def _bucketed(df: DataFrame, by: str) -> DataFrame:
     """``df`` written in buckets of ``by`` without a shuffle; a task has one value of it."""
     spark = df.sparkSession
     path, name = new_path(spark, "items"), f"items_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.bucketBy(buckets, by).option("path", path).saveAsTable(name)
-    return spark.table(name), path, name
+    write = df.write.bucketBy(buckets, by).option("path", path).option("compression", "zstd")
+    write.saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # noqa: B018 - resolved, so that the name is not needed any more
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def packed(
@@ -339,14 +345,16 @@ def packed(
     every sequence has ``capacity`` ids but for the last few, which have a power of two.
     """
     spark = docs.sparkSession
-    items, path, name = _bucketed(_items(docs, tokenizer, id, text, capacity, end_id), "_task")
+    items = _bucketed(_items(docs, tokenizer, id, text, capacity, end_id), "_task")
     sizes = written(items.groupBy("_task", "_class").count(), "sizes")
     histogram = {r["_class"]: r["n"] for r in sizes.groupBy("_class").agg(F.sum("count").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(Plan(histogram, capacity))
     before = Window.partitionBy("_class").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("_task", "_class", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
-    ranked = items.join(first.hint("shuffle_hash"), ["_task", "_class"]).select(
-        id, "_start", "_tokens", "_ids", "_class", (F.col("_rank") + F.col("_first")).alias("_rank")
+    # One row per task, so that the join is on the column that the buckets go by.
+    first = first.groupBy("_task").agg(F.map_from_entries(F.collect_list(F.struct("_class", "_first"))).alias("_firsts"))
+    ranked = items.join(first.hint("shuffle_hash"), "_task").select(
+        id, "_start", "_tokens", "_ids", "_class", (F.col("_rank") + F.col("_firsts")[F.col("_class")]).alias("_rank")
     )
     fields = [("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()),
               ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType())]
@@ -371,13 +379,7 @@ def packed(
                     [batch.column(0).take(pa.array(at)), *(pa.array(c, f.type) for c, f in columns)], schema=target
                 )
 
-    pieces = written(ranked.mapInArrow(run, schema), "pieces")
-    plan.unpersist()
-    spark.sql(f"DROP TABLE {name}")
-    dropped(sizes)
-    items.written_path = path
-    dropped(items)
-    return pieces
+    return ranked.mapInArrow(run, schema)
 
 
 def digests(pieces: DataFrame, id: str = "doc_id") -> DataFrame:  # noqa: A002

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoopwise.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, packing, passages, pseudonyms, secrets, toxicity
+from stoopwise.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, packing, passages, pseudonyms, repair, secrets, toxicity
 from stoopwise.llm.common import crc_remainder
 
 SQL: dict[str, str] = {}
@@ -123,6 +123,96 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.packed(_table(spark, sf_dir, "documents"), tokenizer))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, the cheapest edits, the repaired turns' digest."""
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair.summaries(conversations, repair.damaged(repair.messages(conversations)))
+
+
+def _step(state: int, cost: str, letter: str, more: str = "") -> str:
+    """An edit of the twin: a state's cheapest edits with one more."""
+    said = f"(s{state}).r || chr(10) || {more}" if more else f"(s{state}).r"
+    return f"{{'c': (s{state}).c + {cost}, 'a': (s{state}).a || '{letter}', 'r': {said}}}"
+
+
+def _op12_sql() -> str:
+    """A recursive twin: per row and state the least (cost, initials), inserts closed after each row."""
+    never = "{'c': 1000000000, 'a': 'Z', 'r': ''}"
+    dropped = [_step(q, "3", "D") for q in range(4)]
+    reroled = [f"CASE WHEN gone THEN {never} ELSE {_step(q, '2 + open_end', 'R', who)} END" for q, who in enumerate(["'user:' || text"] * 2 + ["'assistant:' || text", "'user:' || text"])]
+    kept = [f"CASE WHEN gone OR initial <> '{{}}' THEN {never} ELSE {_step(q, 'open_end', 'K', 'role || chr(58) || text')} END" for q in range(4)]
+    rows = {
+        0: dropped[0],
+        1: f"least({dropped[1]}, {kept[0].replace('{}', 's')})",
+        2: f"least({', '.join([dropped[2], *(reroled[q] for q in (0, 1, 3)), *(kept[q].replace('{}', 'u') for q in (0, 1, 3))])})",
+        3: f"least({dropped[3]}, {reroled[2]}, {kept[2].replace('{}', 'a')})",
+    }
+    user, assistant = "'user:'", "'assistant:'"
+    to_user = ", ".join(["s2", *(_step(q, "2", "I", user) for q in (0, 1, 3))])
+    return rf"""
+WITH RECURSIVE read AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+    FROM conversations
+), sums AS (
+    SELECT *, xor(list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda acc, b: list_reduce(list_prepend(xor(acc, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+            lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)
+    ), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM read
+), damaged AS (
+    SELECT conv_id, turn,
+           CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM sums WHERE kind <> 0
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM damaged
+), faults AS (
+    SELECT conv_id, turn, role, text, i, left(role, 1) AS initial,
+           NOT regexp_matches(text, '[^ 	-]') AS blank,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+           regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS cut,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+    FROM numbered
+), marked AS (
+    SELECT *, blank OR again AS gone, CAST(NOT blank AND NOT again AND cut AS BIGINT) AS open_end FROM faults
+), walked AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 'r': ''}} AS s0, {never} AS s1,
+           {{'c': 2, 'a': 'I', 'r': chr(10) || 'user:'}} AS s2,
+           {{'c': 4, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3
+    FROM (SELECT DISTINCT conv_id FROM marked)
+    UNION ALL
+    SELECT conv_id, i, s0, s1, s2, least(s3, {_step(2, "2", "I", assistant)}) FROM (
+        SELECT conv_id, i, s0, s1, least({to_user}) AS s2, s3 FROM (
+            SELECT w.conv_id, m.i, {rows[0]} AS s0, {rows[1]} AS s1, {rows[2]} AS s2, {rows[3]} AS s3
+            FROM walked w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1
+        )
+    )
+), ended AS (
+    SELECT conv_id, arg_max(least(s0, s3), i) AS best FROM walked GROUP BY conv_id
+), counted AS (
+    SELECT conv_id,
+           coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (blank) AS blank,
+           count(*) FILTER (again AND NOT blank) AS duplicate,
+           CAST(sum(open_end) AS BIGINT) AS truncated,
+           count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM marked GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce((best).c, 0) AS BIGINT) AS cost, coalesce((best).a, '') AS audit,
+       sha256(coalesce(substr((best).r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+SQL["op12_repair"] = _op12_sql()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the corpus pipeline's last stage."""
     import corpus_pipeline
@@ -131,7 +221,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op2_nearest, op3_language, op4_passages, op5_mix, op6_exact_dedup, op7_pseudonyms, op8_toxicity, op9_ngram_join, op10_secrets, op11_packing, pipeline]
+    found = [op1_bpe, op2_nearest, op3_language, op4_passages, op5_mix, op6_exact_dedup, op7_pseudonyms, op8_toxicity, op9_ngram_join, op10_secrets, op11_packing, op12_repair, pipeline]
     return {f.__name__: f for f in found}
 
 

@@ -43,8 +43,8 @@ CAPACITY = 4096
 END_ID = 2
 
 # Entries that a worker remembers before it forgets them all: about 100 MB.
-MOST_WORDS = 600_000
-MOST_PIECES = 300_000
+MOST_WORDS = 400_000
+MOST_PIECES = 700_000
 # Ids in a batch of rows, four bytes each.
 IDS_AT_ONCE = 1_000_000
 
@@ -103,7 +103,7 @@ class _Words(dict):
         import regex
 
         super().__init__()
-        self.whole = whole
+        self.whole, self.model = whole, whole.model
         self.split = regex.compile(BY_WORDS["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.marks = _byte_marks()
         self.pieces: dict[str, bytes] = {}
@@ -118,8 +118,10 @@ class _Words(dict):
         text = word.decode()
         if PLAIN.fullmatch(text):
             lower = text.lower()
-            pieces = [lower] if lower.isalpha() else self.split(lower)
-            found = b"".join([self.pieces.get(p) or self._piece(p) for p in pieces])
+            if lower.isalpha():
+                found = self.pieces.get(lower) or self._piece(lower)
+            else:
+                found = b"".join([self.pieces.get(p) or self._piece(p) for p in self.split(lower)])
         else:
             found = _packed(self.whole.encode(text, add_special_tokens=False).ids)
         self[word] = found
@@ -127,7 +129,7 @@ class _Words(dict):
 
     def _piece(self, piece: str) -> bytes:
         marked = piece.encode().decode("latin-1").translate(self.marks)
-        found = self.pieces[piece] = _packed([t.id for t in self.whole.model.tokenize(marked)])
+        found = self.pieces[piece] = _packed([t.id for t in self.model.tokenize(marked)])
         return found
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoopwise.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, packing, passages, pseudonyms, repair, secrets, toxicity
+from stoopwise.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, packing, passages, phrases, pseudonyms, repair, secrets, toxicity
 from stoopwise.llm.common import crc_remainder
 
 SQL: dict[str, str] = {}
@@ -170,9 +170,12 @@ WITH RECURSIVE read AS (
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM damaged
 ), faults AS (
     SELECT conv_id, turn, role, text, i, left(role, 1) AS initial,
-           NOT regexp_matches(text, '[^ 	-]') AS blank,
+           NOT regexp_matches(text, '[^ 	-
+]') AS blank,
            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
-           regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS cut,
+           regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') AS cut,
            lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
     FROM numbered
 ), marked AS (
@@ -213,6 +216,53 @@ LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 SQL["op12_repair"] = _op12_sql()
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best scoring phrases of each language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+SQL["op13_phrases"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
+), totals AS (
+    SELECT lang, CAST(sum(len(words)) AS HUGEINT) AS n FROM words GROUP BY lang
+), places AS (
+    SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i
+    FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+), counts AS (
+    SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f
+    FROM places GROUP BY ALL
+), candidates AS (
+    SELECT lang, k, phrase, f AS a FROM counts WHERE k >= 2 AND f >= 100
+), kept AS (
+    SELECT * FROM candidates c WHERE NOT EXISTS (
+        SELECT 1 FROM candidates d
+        WHERE d.lang = c.lang AND d.k > c.k AND 100 * d.a >= 100 * c.a
+          AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))
+), cuts AS (
+    SELECT lang, k, phrase, a, string_split(phrase, ' ') AS words, unnest(range(1, k)) AS cut FROM kept
+), scores AS (
+    SELECT c.lang, c.phrase, c.a, cut, h.f AS l, t.f AS r, n, (1000 * c.a * n) // (h.f * t.f) AS score
+    FROM cuts c JOIN totals USING (lang)
+    JOIN counts h ON h.lang = c.lang AND h.k = cut AND h.phrase = array_to_string(words[1:cut], ' ')
+    JOIN counts t ON t.lang = c.lang AND t.k = c.k - cut AND t.phrase = array_to_string(words[cut + 1:], ' ')
+), least AS (
+    SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the corpus pipeline's last stage."""
     import corpus_pipeline
@@ -221,7 +271,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op2_nearest, op3_language, op4_passages, op5_mix, op6_exact_dedup, op7_pseudonyms, op8_toxicity, op9_ngram_join, op10_secrets, op11_packing, op12_repair, pipeline]
+    found = [op1_bpe, op2_nearest, op3_language, op4_passages, op5_mix, op6_exact_dedup, op7_pseudonyms, op8_toxicity, op9_ngram_join, op10_secrets, op11_packing, op12_repair, op13_phrases, pipeline]
     return {f.__name__: f for f in found}
 
 

@@ -29,8 +29,9 @@ REFERENCE = f"""SELECT address AS matched_address, lon, lat,
   CASE WHEN lat > 41.815 THEN 'Elsewhere' ELSE '{URBAN_AREA}' END AS urban_area
 FROM {{v_properties}}"""
 
-EXISTING = """SELECT property_id, address, lon, lat FROM {v_properties}
-JOIN {customer} ON property_id = c_custkey WHERE c_mktsegment <> 'BUILDING'"""
+# Some properties have a number but are not stored yet.
+EXISTING = """SELECT property_id, address, lon, lat, c_mktsegment <> 'BUILDING' AS stored
+FROM {v_properties} JOIN {customer} ON property_id = c_custkey"""
 
 NORMAL = """regexp_replace(regexp_replace(regexp_replace(
   trim(split_part(upper({0}), ',', 1)), '\\s+', ' ', 'g'), '\\bSOUTH\\b', 'S', 'g'),
@@ -54,7 +55,7 @@ wanted AS (SELECT matched_address AS address, lon, lat FROM (SELECT *, row_numbe
   WHERE nth = 1),
 created AS (SELECT (SELECT max(property_id) FROM existing) + row_number() OVER (ORDER BY address)
     AS property_id, address, lon, lat
-  FROM wanted WHERE address NOT IN (SELECT address FROM existing))"""
+  FROM wanted WHERE address NOT IN (SELECT address FROM existing WHERE stored))"""
 
 
 @query("J9 X9", sql=f"WITH {MATCHED} SELECT * FROM matched")
@@ -77,7 +78,7 @@ INSIDE = (
 @query(
     "Q13 J9 P4 U7",
     sql=f"""WITH {MATCHED},
-ids AS (SELECT address, min(property_id) AS property_id FROM existing GROUP BY address
+ids AS (SELECT address, min(property_id) AS property_id FROM existing WHERE stored GROUP BY address
   UNION ALL SELECT address, property_id FROM created)
 SELECT request_id, CASE WHEN error IS NULL THEN matched_address END AS cleaned_address,
   CASE WHEN error IS NULL THEN property_id END AS property_id,
@@ -120,7 +121,8 @@ near AS (SELECT * FROM (SELECT request_id, walking_time, stop_id, {METRES} AS m
       ON b.lat BETWEEN a.lat - 0.1 AND a.lat + 0.1 AND b.lon BETWEEN a.lon - 0.2 AND a.lon + 0.2) d
   WHERE m <= walking_time * 70),
 firsts AS (SELECT request_id, n.stop_id, m, row_number() OVER (PARTITION BY request_id, route_id
-    ORDER BY m, n.stop_id) AS nth FROM near n JOIN {{v_route_stops}} r ON n.stop_id = r.stop_id),
+    ORDER BY m, n.stop_id) AS nth FROM near n JOIN {{v_route_stops}} r ON n.stop_id = r.stop_id
+  WHERE route_id IS NOT NULL),
 kept AS (SELECT DISTINCT request_id, stop_id, CAST(round_even(m / 70, 0) AS INT) AS distance_min
   FROM firsts WHERE nth = 1),
 answers AS (SELECT c.request_id, c.property_id, walking_time, stop_id, distance_min,
@@ -171,7 +173,7 @@ parsed AS (SELECT address, response, CASE
 
 def _existing(t: Given) -> DataFrame:
     """Stored summaries, one per address."""
-    first = first_per_key(t.v_summaries, ["address"], [F.col("id")])
+    first = first_per_key(summaries.stored(t.v_summaries), ["address"], [F.col("id")])
     empty = F.lit(None).cast(summaries.ISSUES)
     return first.select(
         "address", F.struct("summary", empty.alias("summarized_issues")).alias("summary")
@@ -181,7 +183,8 @@ def _existing(t: Given) -> DataFrame:
 @query(
     "Q15 X13 X14 U6",
     sql=f"""{LATEST},
-existing AS (SELECT address, arg_min(summary, id) AS summary FROM {{v_summaries}} GROUP BY address)
+existing AS (SELECT address, arg_min(summary, id) AS summary FROM {{v_summaries}}
+  WHERE summary IS NOT NULL GROUP BY address)
 SELECT address, summary, n_issues FROM parsed WHERE summary IS NOT NULL
 UNION ALL SELECT address, summary, NULL FROM existing
 WHERE address NOT IN (SELECT address FROM parsed WHERE summary IS NOT NULL)""",
@@ -207,12 +210,13 @@ def summary_dead_letters(t: Given) -> DataFrame:
 @query(
     "U6",
     sql="""SELECT coalesce(b.address, a.address) AS address, coalesce(b.summary, a.summary) AS summary
-FROM (SELECT address, arg_min(summary, id) AS summary FROM {v_summaries} GROUP BY address) a
+FROM (SELECT address, arg_min(summary, id) AS summary FROM {v_summaries}
+  WHERE summary IS NOT NULL GROUP BY address) a
 FULL OUTER JOIN (SELECT address, 'seen ' || CAST(count(*) AS STRING) AS summary
   FROM {v_violations} GROUP BY address) b ON a.address = b.address""",
 )
 def summaries_upserted(t: Given) -> DataFrame:
-    existing = first_per_key(t.v_summaries, ["address"], [F.col("id")]).select(
+    existing = first_per_key(summaries.stored(t.v_summaries), ["address"], [F.col("id")]).select(
         "address", "summary"
     )
     incoming = t.v_violations.groupBy("address").agg(

@@ -48,7 +48,8 @@ SHUTTLE_ROWS = f"""SELECT CAST(CAST(stop_id AS BIGINT) * 1000 AS STRING) AS stop
 FROM ({SHUTTLE_POINTS}) p WHERE CASE WHEN route_name = 'Downtown Campus Connector'
   THEN 'Downtown Connector' ELSE route_name END IN ({KEPT})"""
 
-CTA_ROWS = f"""SELECT *, 'cta' AS type FROM ({STOP_ROWS}) r WHERE route_id NOT IN ({QUOTED})"""
+CTA_ROWS = f"""SELECT *, 'cta' AS type FROM ({STOP_ROWS}) r 
+  WHERE route_id IS NULL OR route_id NOT IN ({QUOTED})"""
 
 BUILD = f"""cta AS ({CTA_ROWS}), shuttle AS ({SHUTTLE_ROWS}),
 stop_rows AS (SELECT stop_id, route_id, stop_name, TRY_CAST(latitude AS DOUBLE) AS lat,
@@ -135,7 +136,7 @@ def transit_route_stops(t: Given) -> DataFrame:
 @query(
     "Q10 J4 S13",
     sql=f"""WITH {BUILD} SELECT route_id, stop_id, 'unknown route' AS reason FROM pairs
-WHERE route_id NOT IN (SELECT route_id FROM known)
+WHERE (route_id IS NULL OR route_id NOT IN (SELECT route_id FROM known))
 UNION ALL SELECT route_id, stop_id, 'unknown stop' FROM pairs
 WHERE route_id IN (SELECT route_id FROM known) AND stop_id NOT IN (SELECT stop_id FROM stops)
 UNION ALL SELECT NULL, stop_id, 'no valid point' FROM stop_rows WHERE lat IS NULL OR lon IS NULL
@@ -147,9 +148,9 @@ def transit_rejects(t: Given) -> DataFrame:
 
 @query(
     "J4",
-    sql=f"""WITH {BUILD} SELECT route_id, stop_id, CASE WHEN route_id NOT IN (SELECT route_id FROM known)
+    sql=f"""WITH {BUILD} SELECT route_id, stop_id, CASE WHEN (route_id IS NULL OR route_id NOT IN (SELECT route_id FROM known))
   THEN 'route' ELSE 'stop' END AS unknown FROM pairs
-WHERE route_id NOT IN (SELECT route_id FROM known) OR stop_id NOT IN (SELECT stop_id FROM stops)""",
+WHERE (route_id IS NULL OR route_id NOT IN (SELECT route_id FROM known)) OR stop_id NOT IN (SELECT stop_id FROM stops)""",
 )
 def pair_problems(t: Given) -> DataFrame:
     rows, _ = feed_rows(t)

@@ -55,13 +55,13 @@ FROM {{part}}""",
     # Small parts are stops without a route; the largest go with routes nobody knows.
     "v_route_stops": f"""
 SELECT p_partkey AS stop_id,
-  CASE WHEN p_size = 50 THEN '992' WHEN p_size = 49 THEN 'X' || CAST(p_partkey AS STRING)
+  CASE WHEN p_size <= 4 THEN NULL WHEN p_size = 50 THEN '992' WHEN p_size = 49 THEN 'X' || CAST(p_partkey AS STRING)
     ELSE 'R' || CAST({_town("p_partkey", 2000)} * 100 + p_size % 23 AS STRING) END AS route_id
-FROM {{part}} WHERE p_size > 4
+FROM {{part}}
 UNION
-SELECT p_partkey AS stop_id,
-  'R' || CAST({_town("p_partkey", 2000)} * 100 + p_partkey % 17 AS STRING) AS route_id
-FROM {{part}} WHERE p_size > 4""",
+SELECT p_partkey AS stop_id, CASE WHEN p_size > 4
+    THEN 'R' || CAST({_town("p_partkey", 2000)} * 100 + p_partkey % 17 AS STRING) END AS route_id
+FROM {{part}}""",
     "v_routes": """
 SELECT 'R' || CAST(s_suppkey AS STRING) AS route_id, s_name AS name, 'cta' AS type
 FROM {supplier}""",
@@ -98,10 +98,12 @@ SELECT CAST(l_orderkey * 10 + l_linenumber AS STRING) AS violation_id,
   lat AS latitude, lon AS longitude
 FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
 JOIN (SELECT property_id, lat, lon FROM {{v_properties}}) p ON o_custkey = property_id""",
+    # Of most places no summary is stored yet.
     "v_summaries": f"""
 SELECT c_custkey AS id, {_street("c_custkey")} AS address,
-  'Summary ' || CAST(c_custkey AS STRING) AS summary
-FROM {{customer}} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""",
+  CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY')
+    THEN 'Summary ' || CAST(c_custkey AS STRING) END AS summary
+FROM {{customer}}""",
     # Each user deals with the addresses of three customers. They are typed in lower case at
     # times; one in twenty is of no property.
     "v_saved_events": f"""

@@ -11,7 +11,7 @@ from stoopwise.functions import text
 from stoopwise.operators import filters, merge
 from stoopwise.operators.prefix import prefix_join
 from stoopwise.params import NEIGHBOURHOOD, TRIVIAL_CODES
-from stoopwise.plans import reports
+from stoopwise.plans import reports, summaries
 from stoopwise.plans import violations as v
 
 # The given data spans 1995 to 2001.
@@ -135,7 +135,7 @@ counts AS (SELECT head, count(*) AS n, count(DISTINCT violation_date) AS occasio
   FROM heads JOIN recent ON split_part(upper(address), ' ', 1) = token
     AND starts_with(upper(address), head) GROUP BY head),
 stored AS (SELECT head, arg_min(summary, id) AS stored FROM heads JOIN {{v_summaries}} s
-    ON split_part(upper(s.address), ' ', 1) = token AND starts_with(upper(s.address), head)
+    ON summary IS NOT NULL AND split_part(upper(s.address), ' ', 1) = token AND starts_with(upper(s.address), head)
   GROUP BY head)
 SELECT property_id, l.head AS address, DATE '{START}' AS start_date,
   CASE WHEN n IS NULL THEN 'no_violations' WHEN stored IS NULL THEN 'trivial_only'
@@ -163,7 +163,7 @@ def violation_status(t: Given) -> DataFrame:
     "W8 J5",
     sql=f"""WITH heads AS (SELECT DISTINCT {HEAD} AS head FROM {{v_properties}})
 SELECT head, arg_min(summary, id) AS summary FROM heads JOIN {{v_summaries}} s
-  ON split_part(upper(s.address), ' ', 1) = split_part(head, ' ', 1)
+  ON summary IS NOT NULL AND split_part(upper(s.address), ' ', 1) = split_part(head, ' ', 1)
   AND starts_with(upper(s.address), head) GROUP BY head""",
 )
 def first_summary_per_address(t: Given) -> DataFrame:
@@ -321,12 +321,13 @@ def violations_inserted(t: Given) -> DataFrame:
     "U10",
     sql=f"""SELECT p.address, coalesce(s.summary, 'none stored') AS summary, p.n
 FROM (SELECT address, count(*) AS n FROM {{v_violations}} GROUP BY address) p
-LEFT JOIN (SELECT address, arg_min(summary, id) AS summary FROM {{v_summaries}} GROUP BY address) s
+LEFT JOIN (SELECT address, arg_min(summary, id) AS summary FROM {{v_summaries}}
+  WHERE summary IS NOT NULL GROUP BY address) s
   ON p.address = s.address""",
 )
 def merged_status(t: Given) -> DataFrame:
     content = t.v_violations.groupBy("address").agg(
         F.lit("none stored").alias("summary"), F.count("*").alias("n")
     )
-    stored = t.v_summaries.groupBy("address").agg(F.min_by("summary", "id").alias("summary"))
+    stored = summaries.stored(t.v_summaries).groupBy("address").agg(F.min_by("summary", "id").alias("summary"))
     return merge.shallow_merge(content, stored, ["address"])

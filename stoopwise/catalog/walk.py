@@ -15,13 +15,14 @@ METRES = """2 * CAST(6371008.8 AS DOUBLE) * asin(least(CAST(1 AS DOUBLE), sqrt(
 
 
 def near_sql(targets: str, minutes: str, columns: str, points: str = "{v_properties}") -> str:
-    """Pairs in walking distance, by comparing each point with the targets around it."""
+    """Pairs in walking distance, by comparing each point with the targets in its band of
+    latitude and the next ones; within it a box that is wider the farther north it lies."""
     return f"""
 SELECT * FROM (
   SELECT a.property_id, {columns}, {METRES} AS distance_m
-  FROM {points} a JOIN {targets} b
-    ON b.lat BETWEEN a.lat - 0.012 AND a.lat + 0.012
-      AND b.lon BETWEEN a.lon - 0.02 AND a.lon + 0.02)
+  FROM (SELECT *, floor(lat / 0.012) + unnest([-1, 0, 1]) AS band FROM {points}) a
+  JOIN (SELECT *, floor(lat / 0.012) AS band FROM {targets}) b ON a.band = b.band
+  WHERE b.lon BETWEEN a.lon - 0.0105 / cos(radians(a.lat)) AND a.lon + 0.0105 / cos(radians(a.lat)))
 WHERE distance_m <= {minutes} * 70"""
 
 
@@ -32,7 +33,8 @@ near AS ({near_sql("{v_stops}", str(minutes), "b.stop_id, b.stop_name, b.lat, b.
 first AS (
   SELECT property_id, near.stop_id, row_number() OVER (
     PARTITION BY property_id, route_id ORDER BY distance_m, near.stop_id) AS nth
-  FROM near JOIN {{v_route_stops}} r ON near.stop_id = r.stop_id),
+  FROM near JOIN {{v_route_stops}} r ON near.stop_id = r.stop_id
+  WHERE route_id IS NOT NULL),
 served AS (SELECT stop_id, string_agg(route_id, ',' ORDER BY route_id) AS routes
   FROM {{v_route_stops}} GROUP BY stop_id),
 kept AS (

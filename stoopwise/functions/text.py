@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns.
-TRAILING_CITATION = r"\s*\([^()]*(?:\([^()]*\)[^()]*)*\)?\s*$"
+# What stands behind an opening bracket, last character first: whole brackets and text.
+FROM_THE_END = r"^[^()]*+(?:\)[^()]*+\([^()]*+)*+\("
+BLANKS = " \t\n\x0b\x0c\r"
 FENCED_JSON = r"(?is)```json\s*(.*?)\s*```"
 CSV_DATE = "M/d/yyyy"
 
@@ -95,9 +97,22 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def strip_citation(text: Column) -> Column:
-    """Drop the building-code citation at the end of an ordinance text."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), TRAILING_CITATION, "")
-    return F.regexp_replace(cut, r"\s+$", "")
+    """Drop the building-code citation at the end of an ordinance text.
+
+    A citation is the last bracket that only whole brackets follow inside of it, and its
+    closing bracket may be missing. Read from the end, each whole bracket is passed over
+    once and the first opening one that is left begins the citation, so a text is read
+    once whatever its length.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    unclosed = F.regexp_extract(F.reverse(whole), FROM_THE_END, 0)
+    # Else the last bracket closes the citation.
+    inside = F.regexp_replace(whole, r"\)\s*+$", "")
+    closed = F.regexp_extract(F.reverse(inside), FROM_THE_END, 0)
+    kept = F.when(F.length(unclosed) > 0, F.left(whole, F.length(whole) - F.length(unclosed))).otherwise(
+        F.when(F.length(closed) > 0, F.left(inside, F.length(inside) - F.length(closed))).otherwise(whole)
+    )
+    return F.rtrim(kept, F.lit(BLANKS))
 
 
 def unfence_json(text: Column) -> Column:

@@ -103,12 +103,15 @@ def get_or_create(
     key: str,
     id_name: str,
     rows_per_task: int = ROWS_PER_TASK,
+    there: Column | None = None,
 ) -> DataFrame:
     """Rows for the wanted keys that are not there yet, with ids after the highest one.
 
-    ``wanted`` must be unique by ``key``; ids follow the order of the key.
+    ``wanted`` must be unique by ``key``; ids follow the order of the key. Rows of
+    ``existing`` for which ``there`` does not hold only take up an id.
     """
-    fresh = wanted.join(existing.select(key), key, "left_anti")
+    keys = existing.select(key) if there is None else existing.where(there).select(key)
+    fresh = wanted.join(keys, key, "left_anti")
     highest = existing.agg(F.max(id_name)).first()[0] or 0
     numbered = number_within(fresh, [], [F.col(key)], name="_n", rows_per_task=rows_per_task)
     return numbered.withColumn(id_name, F.lit(highest) + F.col("_n")).drop("_n")

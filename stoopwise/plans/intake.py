@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stoopwise.functions import geo, text
@@ -65,10 +65,18 @@ def match_addresses(
     )
 
 
+def _stored(properties: DataFrame) -> Column:
+    return F.col("stored") if "stored" in properties.columns else F.lit(True)
+
+
 def new_properties(
     matched: DataFrame, properties: DataFrame, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Properties for matched addresses that are not there yet, with new ids."""
+    """Properties for matched addresses that are not there yet, with new ids.
+
+    Where ``properties`` has a flag ``stored``, rows without it have a number that is
+    taken, but are not there yet.
+    """
     wanted = first_per_key(
         matched.where("error IS NULL").select(
             F.col("matched_address").alias("address"), "lon", "lat"
@@ -76,7 +84,9 @@ def new_properties(
         ["address"],
         [F.col("lon"), F.col("lat")],
     )
-    return merge.get_or_create(wanted, properties, "address", "property_id", rows_per_task).select(
+    return merge.get_or_create(
+        wanted, properties, "address", "property_id", rows_per_task, there=_stored(properties)
+    ).select(
         "property_id", "address", "lon", "lat"
     )
 
@@ -91,7 +101,7 @@ def property_intake(
     """Answer each search with its matched address, property id and box flag."""
     # The ids of new properties and the answers both need the matches.
     matched = written(match_addresses(requests, address_ref, rows_per_task), "matched")
-    lowest = properties.groupBy("address").agg(F.min("property_id").alias("property_id"))
+    lowest = properties.where(_stored(properties)).groupBy("address").agg(F.min("property_id").alias("property_id"))
     created = new_properties(matched, properties, rows_per_task).select("address", "property_id")
     ids = lowest.unionByName(created).withColumnRenamed("address", "matched_address")
     located = matched.join(ids, "matched_address", "left")

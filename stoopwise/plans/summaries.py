@@ -13,6 +13,11 @@ ISSUES = "array<struct<date: string, issues: array<struct<emoji: string, descrip
 SUMMARY = f"struct<summary: string, summarized_issues: {ISSUES}>"
 
 
+def stored(summaries: DataFrame) -> DataFrame:
+    """The rows that hold a summary; a row without one only says that none is stored yet."""
+    return summaries.where("summary IS NOT NULL")
+
+
 def parse_summaries(responses: DataFrame) -> DataFrame:
     """Add ``summary`` to responses (address, response) and ``error`` where it is no JSON.
 

@@ -14,6 +14,7 @@ from stoopwise.operators.numbering import first_per_key, total_order
 from stoopwise.operators.prefix import prefix_join
 from stoopwise.operators.quality import step_counts
 from stoopwise.operators.skew import salted_join
+from stoopwise.plans.summaries import stored
 from stoopwise.params import (
     CATEGORIES,
     ROWS_PER_TASK,
@@ -135,7 +136,12 @@ def counts_per_head(
 
 
 def first_summary(heads: DataFrame, summaries: DataFrame) -> DataFrame:
-    """The summary with the lowest id among those whose address starts with the head."""
+    """The summary with the lowest id among those whose address starts with the head.
+
+    Rows whose summary is null hold none.
+    """
+    if "summary" in summaries.columns:
+        summaries = stored(summaries)
     lowest = summaries.groupBy(F.upper("address").alias("_text")).agg(F.min("id").alias("id"))
     chosen = (
         prefix_join(heads, lowest, "head", "_text")
@@ -178,11 +184,11 @@ def violation_status(
     )
     heads = located.select("head").distinct()
     counts = counts_per_head(heads, recent, codes)
-    stored = first_summary(heads, summaries.withColumnRenamed("summary", "_stored"))
+    first = first_summary(heads, stored(summaries).withColumnRenamed("summary", "_stored"))
     # Joined per head first, so that the properties meet a single table of one row per
     # head; many properties may share an address.
     per_head = counts.join(
-        stored.withColumn("_has_summary", F.lit(True)), "head", "left"
+        first.withColumn("_has_summary", F.lit(True)), "head", "left"
     )
     joined = salted_join(
         located, per_head, ["head"], salt_by=["property_id"], how="left",

@@ -46,12 +46,20 @@ def test_strip_citation(spark):
         "Mend gutters   (9-1-2(c), 9-1-7)  ": "Mend gutters",
         "Fit a lamp (at least 60 watts) on each floor.": "Fit a lamp (at least 60 watts) on each floor.",
         "(11-4-20) Sweep the yard": "(11-4-20) Sweep the yard",
+        "Close (a) both (b) doors (1-2 (c) (d": "Close (a) both (b) doors (1-2 (c)",
+        "Close the gate (1-2 (c) ": "Close the gate",
+        "Keep (a (b (c)))": "Keep (a (b (c)))",
         "": "",
         None: "",
     }
     assert values(spark, text.strip_citation, list(cases)) == list(cases.values())
 
 
+def test_strip_citation_of_very_long_texts(spark):
+    long = ["Intro (" + "(b) " * 250_000, "a" * 1_000_000, "(" * 500_000, " " * 1_000_000 + "x"]
+    assert [len(v) for v in values(spark, text.strip_citation, long)] == [5, 1_000_000, 499_999, 1_000_001]
+
+
 def test_unfence_json(spark):
     two = '```json\n[1]\n```\nand\n```json\n[2]\n```'
     cases = [

@@ -9,6 +9,8 @@ from stoopwise.catalog.registry import Given, query
 from stoopwise.operators import merge
 from stoopwise.params import PLACE_TYPES
 from stoopwise.plans import amenities
+from stoopwise.session import new_path
+from stoopwise.sources.bucketed import BucketedTable
 
 # Customers as the stores of the feed: some closed, some without a point or an address,
 # some listed twice at one address.
@@ -111,6 +113,29 @@ def grocery_upsert(t: Given) -> DataFrame:
     )
 
 
+def bucketed(t: Given, root: str, buckets: int = 64) -> BucketedTable:
+    table = BucketedTable(
+        t.spark, root, ["address", "type"], ["name", "lon", "lat"], F.col("type") == "grocery", buckets
+    )
+    table.create(t.sql(STORED).select("address", "type", "name", "lon", "lat"))
+    return table
+
+
+@query(
+    "U4 U5 T2 only the buckets that change",
+    sql=f"WITH {SYNC} SELECT * EXCLUDE (action) FROM merged WHERE action <> 'delete'",
+)
+def grocery_sync_buckets(t: Given) -> DataFrame:
+    table = bucketed(t, new_path(t.spark, "grocery-buckets"))
+    table.sync(amenities.as_amenities(staging(t)))
+    return table.read()
+
+
+@query("U5 change log of the buckets", sql=f"WITH {SYNC} SELECT * FROM merged WHERE action <> 'unchanged'")
+def grocery_bucket_changes(t: Given) -> DataFrame:
+    return bucketed(t, new_path(t.spark, "grocery-buckets")).sync(amenities.as_amenities(staging(t)))
+
+
 @query(
     "J7",
     sql=f"""WITH {STAGED}, stored AS ({STORED})

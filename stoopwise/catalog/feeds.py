@@ -20,6 +20,7 @@ from stoopwise.params import CATEGORIES
 from stoopwise.plans import amenities, transit
 from stoopwise.session import new_path
 from stoopwise.sources import readers, writers
+from stoopwise.sources.versions import Versions
 
 VIOLATION_FIELDS = [
     "violation_id", "violation_date", "violation_code", "violation_status",
@@ -287,6 +288,40 @@ def transit_reload(t: Given) -> DataFrame:
     return out
 
 
+@query(
+    "U9 S10 S11 tables published together",
+    sql=f"""WITH {transit_queries.BUILD}, loads AS (SELECT unnest(['before', 'during', 'after']) AS reader)
+SELECT reader, 'stops' AS table_name, (SELECT count(*) FROM stops) AS n FROM loads WHERE reader <> 'before'
+UNION ALL SELECT reader, 'routes', (SELECT count(*) FROM all_routes WHERE n_lines IS NOT NULL) FROM loads
+  WHERE reader <> 'before'
+UNION ALL SELECT reader, 'route_stops', (SELECT count(*) FROM pairs
+    WHERE route_id IN (SELECT route_id FROM known) AND stop_id IN (SELECT stop_id FROM stops)) FROM loads
+  WHERE reader <> 'before'
+UNION ALL SELECT 'before', t, 0 FROM (SELECT unnest(['stops', 'routes', 'route_stops']) AS t)""",
+)
+def transit_published(t: Given) -> DataFrame:
+    """What readers see before a load, while the next one is under way, and after it."""
+    base = new_path(t.spark, "transit-versions")
+    stops, routes = transit_queries.feed_rows(t)
+    shelf = Versions(t.spark, base)
+    transit.transit_publish(stops.limit(0), routes.limit(0), shelf)
+    before = shelf.read(*transit.TABLES)
+    transit.transit_publish(stops, routes, shelf)
+    # A third load has written one of its tables, and is not published.
+    stops.limit(5).write.parquet(f"{base}/versions/unfinished/stops")
+    during = shelf.read(*transit.TABLES)
+    transit.transit_publish(stops, routes, shelf)
+    readers_of = {"before": before, "during": during, "after": shelf.read(*transit.TABLES)}
+    out = None
+    for reader, tables in readers_of.items():
+        for name, table in tables.items():
+            one = table.agg(F.count("*").alias("n")).select(
+                F.lit(reader).alias("reader"), F.lit(name).alias("table_name"), "n"
+            )
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "S14 feature lines",
     sql="""SELECT 'Feature' AS type, 'Point' AS geometry_type, lon, lat, stop_name FROM {v_stops}""",

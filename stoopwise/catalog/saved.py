@@ -9,7 +9,7 @@ from stoopwise.catalog.registry import Given, query
 from stoopwise.catalog.walk import GROCERY_ROLLUPS, ROLLUPS, stored_groceries, stored_stops
 from stoopwise.functions import features as ft
 from stoopwise.operators import merge
-from stoopwise.plans import saved
+from stoopwise.plans import outcomes, saved
 from stoopwise.session import written
 
 STATE = """known AS (SELECT DISTINCT upper(address) AS address FROM {v_properties}),
@@ -44,6 +44,41 @@ def saved_state(t: Given) -> DataFrame:
     return state(t)
 
 
+# Some requests come without a user, some without an address.
+ASKED = """SELECT event_id, ts, action, CASE WHEN event_id % 97 = 0 THEN NULL ELSE user_id END AS user_id,
+  CASE WHEN event_id % 89 = 0 THEN '' WHEN event_id % 83 = 0 THEN NULL ELSE address END AS address
+FROM {v_saved_events}"""
+
+
+@query(
+    "T3 outcome of each request",
+    sql=f"""WITH known AS (SELECT DISTINCT upper(address) AS address FROM {{v_properties}}),
+asked AS (SELECT event_id, ts, user_id, upper(address) AS address, action, user_id IS NOT NULL
+    AND upper(address) IN (SELECT address FROM known) IS TRUE AS valid FROM ({ASKED}) a),
+ran AS (SELECT *, max(CASE WHEN valid AND action = 'save' THEN 1 END) OVER earlier AS saves,
+    last_value(CASE WHEN valid AND action IN ('save', 'delete') THEN action END IGNORE NULLS) OVER earlier AS change
+  FROM asked WINDOW earlier AS (PARTITION BY user_id, address ORDER BY ts, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+begun AS (SELECT *, CASE WHEN saves IS NULL THEN 'absent' WHEN change = 'save' THEN 'active' ELSE 'deleted' END
+    AS state_before FROM ran),
+told AS (SELECT *, CASE WHEN user_id IS NULL THEN 'sign-in required'
+    WHEN action = 'delete' AND coalesce(address, '') = '' THEN 'address required'
+    WHEN action = 'save' AND NOT valid THEN 'unknown property'
+    WHEN action = 'delete' AND state_before <> 'active' THEN 'not saved'
+    WHEN action = 'update' AND state_before = 'absent' THEN 'not saved'
+    WHEN action = 'update' THEN 'updated' WHEN action = 'delete' THEN 'deleted'
+    WHEN state_before = 'absent' THEN 'saved' WHEN state_before = 'deleted' THEN 'restored'
+    ELSE 'nothing to do' END AS outcome FROM begun)
+SELECT event_id, user_id, address, action, state_before,
+  CASE WHEN outcome IN ('saved', 'restored') THEN 'active' WHEN outcome = 'deleted' THEN 'deleted'
+    ELSE state_before END AS state_after, outcome,
+  CASE outcome WHEN 'sign-in required' THEN 401 WHEN 'not saved' THEN 404 WHEN 'unknown property' THEN 400
+    WHEN 'address required' THEN 400 ELSE 200 END AS status FROM told""",
+)
+def saved_outcomes(t: Given) -> DataFrame:
+    return outcomes.event_outcomes(t.sql(ASKED), t.v_properties)
+
+
 CHECKS = """SELECT event_id AS request_id, user_id,
   CASE WHEN event_type = 'error' AND value < 20 THEN ''
     WHEN event_type = 'error' THEN NULL ELSE address END AS address

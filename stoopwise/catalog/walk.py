@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stoopwise.catalog.registry import Given, query
 from stoopwise.functions import features as ft
 from stoopwise.plans import walk
+from stoopwise.plans.answers import Answers
+from stoopwise.session import new_path
 
 METRES = """2 * CAST(6371008.8 AS DOUBLE) * asin(least(CAST(1 AS DOUBLE), sqrt(
   pow(sin(radians(b.lat - a.lat) / 2), 2)
@@ -205,6 +207,34 @@ def stored_groceries(t: Given, properties: DataFrame) -> DataFrame:
     return _stored(walk.grocery_responses(near, properties, 15), "grocery_geojson", "groceries")
 
 
+@query(
+    "U8 Q2 stored answers",
+    sql=f"""WITH near AS ({GROCERIES}),
+counts AS (SELECT property_id, count(*) AS n FROM near GROUP BY property_id)
+SELECT p.property_id, 15 AS walking_time, address, coalesce(n, 0) AS n_stores,
+  p.property_id % 3 = 0 AS fresh
+FROM {{v_properties}} p LEFT JOIN counts c ON p.property_id = c.property_id""",
+)
+def stored_answers(t: Given) -> DataFrame:
+    """Answers of two visits, the second of which finds those of the first."""
+
+    def work_out(properties: DataFrame, minutes: int) -> DataFrame:
+        near = walk.walk_groceries(properties, t.v_amenities, minutes=minutes, keep_cells=True)
+        return walk.grocery_responses(near, properties, minutes)
+
+    answers = Answers(t.spark, new_path(t.spark, "answers"))
+    answers.ask(t.v_properties.where("property_id % 3 <> 0"), 15, work_out)
+    found = answers.ask(t.v_properties, 15, work_out)
+    features = ft.stored_features(F.col("response"), "grocery_geojson", ft.GROCERY_FEATURE)
+    return found.select(
+        "property_id",
+        "walking_time",
+        F.get_json_object("response", "$.address").alias("address"),
+        F.size(features).cast("long").alias("n_stores"),
+        "fresh",
+    )
+
+
 def _routes_sql(limit: int) -> str:
     return f"""SELECT k.property_id, count(DISTINCT route_id) AS n,
   string_agg(DISTINCT route_id, ', ' ORDER BY route_id) AS routes

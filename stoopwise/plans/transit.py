@@ -17,6 +17,7 @@ from stoopwise.params import (
     SHUTTLES_DROPPED,
     SHUTTLES_KEPT,
 )
+from stoopwise.sources.versions import Versions
 from stoopwise.sources.writers import replace_table
 
 
@@ -153,6 +154,19 @@ def transit_build(stop_rows: DataFrame, route_rows: DataFrame) -> Transit:
     return Transit(stops, routes, *link(stop_rows, route_rows, stops, routes))
 
 
+TABLES = ("stops", "routes", "route_stops")
+
+
+def transit_publish(stop_rows: DataFrame, route_rows: DataFrame, shelf: Versions) -> int:
+    """Build the three tables anew and publish them as one version.
+
+    Unlike ``transit_reload`` a reader never meets tables of two loads, and a load that
+    fails changes nothing.
+    """
+    built = transit_build(stop_rows, route_rows)
+    return shelf.publish({name: getattr(built, name) for name in TABLES}, after=shelf.latest())
+
+
 def transit_reload(stop_rows: DataFrame, route_rows: DataFrame, base: str) -> None:
     """Replace the stored tables: routes, then stops, then the pairs of what was stored."""
     spark = stop_rows.sparkSession

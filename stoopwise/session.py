@@ -73,14 +73,14 @@ def drop_all(spark: SparkSession) -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder once.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The same rows, written to the shared folder once; ``options`` are those of the Parquet writer.
 
     For a result that several later steps read: it is computed a single time, and a
     lost executor costs a read instead of a recomputation.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_path = path
     return table

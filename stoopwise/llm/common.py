@@ -45,6 +45,34 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+# Rows that Python operators take from a record batch at once.
+ROWS_AT_ONCE = 512
+
+
+def few_at_a_time(batches, most: int = ROWS_AT_ONCE):
+    """Record batches of few rows; memory that is free at the end goes back to the machine.
+
+    Python workers are used again by later stages, which would find it taken.
+    """
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
+    give_back()
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _SHIPPED: set[str] = set()
 
 

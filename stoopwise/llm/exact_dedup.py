@@ -133,7 +133,7 @@ def without_copies(
     whole = F.struct(*columns).alias("_doc")
     rows = _shaped(docs, text, prefix, whole).join(marked, ["_length", "_head"], "left")
     alone = rows.where("_shared is null").select("_doc.*")
-    order = [F.col(f"_doc.`{id}`").asc_nulls_last(), F.col("_doc").cast("string")]
+    order = [F.col(f"_doc.`{id}`").asc_nulls_last(), F.xxhash64(F.col("_doc").cast("string"))]
     window = Window.partitionBy("_length", "_sha").orderBy(*order)
     first = (
         rows.where("_shared")

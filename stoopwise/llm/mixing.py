@@ -45,7 +45,9 @@ BIG = "decimal(38,0)"
 
 
 def _key(id: str, text: str, source: str) -> Column:  # noqa: A002
-    return F.xxhash64(F.col(id), F.col(source), text_of(text))
+    """128 bits that tell apart rows that differ in id, source or text."""
+    columns = [F.col(id), F.col(source), text_of(text)]
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *reversed(columns)).alias("b"))
 
 
 def sized(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:  # noqa: A002
@@ -177,7 +179,8 @@ def _rounded(rated: DataFrame, rows: int) -> DataFrame:
     """Copies by systematic rounding of ``_units``, in buckets that fit a task."""
     buckets = max(1, -(-rows // ROWS_PER_BUCKET))
     # One bucket per source would be one task for a source of any size.
-    bucket = F.pmod(F.xxhash64("_id", "_row"), F.lit(buckets)).cast("int")
+    # What a row holds says its bucket and its place, so the layout of files decides nothing.
+    bucket = F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int")
     parts = rated.withColumn("_bucket", bucket).withColumn("_part", F.pmod("_units", F.lit(UNIT)))
     sums = parts.groupBy("_source", "_bucket").agg(F.sum("_part").alias("_sum"))
     running = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -186,7 +189,7 @@ def _rounded(rated: DataFrame, rows: int) -> DataFrame:
         F.col("_bucket").alias("_start_bucket"),
         F.pmod(F.coalesce(F.sum("_sum").over(running), F.lit(0)) + UNIT // 2, F.lit(UNIT)).alias("_start"),
     )
-    order = Window.partitionBy("_source", "_bucket").orderBy("_size", "_id", "_row")
+    order = Window.partitionBy("_source", "_bucket").orderBy("_size", "_id", "_key", "_row")
     upto = F.sum("_part").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_start")
     same = F.col("_source").eqNullSafe(F.col("_start_source")) & (F.col("_bucket") == F.col("_start_bucket"))
     more = F.floor(F.col("_upto") / UNIT) - F.floor((F.col("_upto") - F.col("_part")) / UNIT)
@@ -202,7 +205,7 @@ def _corrections(copied: DataFrame, targets: DataFrame, cap: int, rounds: int =
     cells = written(
         copied.where("_size > 0")
         .groupBy(F.col("_source").alias("_cell_source"), "_size", "_copies")
-        .agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_row")).alias("_first")),
+        .agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_key", "_row")).alias("_first")),
         "mix-rounded",
     )
     got = cells.groupBy(F.col("_cell_source").alias("_got_source")).agg(

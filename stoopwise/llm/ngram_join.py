@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stoopwise.llm.common import BROADCAST_ROWS, bounded, ship, text_of
+from stoopwise.llm.common import BROADCAST_ROWS, bounded, few_at_a_time, give_back, ship, text_of
 from stoopwise.llm.components import components
 from stoopwise.llm.shingles import mixed, shingles
 from stoopwise.session import dropped, written
@@ -43,6 +43,8 @@ SLACK = 0.3
 SEED = 20
 NODES_PER_BLOCK = 256
 SETS_PER_BLOCK = 128
+# A block of longer texts has fewer of them: so many n-grams a set on average.
+GRAMS_PER_SET = 4096
 HASHES_AT_ONCE = 4096
 
 
@@ -85,7 +87,7 @@ def marked(docs: DataFrame, id: str, text: str, size: int, bands: int, rows: int
 
         multipliers = _multipliers(bands * rows)
         places = np.arange(bands, dtype=np.uint64)
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             counts, marks, keys = [], [], []
             for text in batch.column(2).to_pylist():
                 grams = shingles(text, size)
@@ -155,6 +157,7 @@ def _runs(batches, keys: int) -> Iterator:
         held.append(batch.slice(start))
     if held:
         yield joined(held)
+    give_back()
 
 
 def _roots(near: np.ndarray) -> np.ndarray:
@@ -239,7 +242,7 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
         import pyarrow as pa
 
         seen: set[int] = set()
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             keep = []
             for i, node in enumerate(batch.column(at).to_pylist()):
                 if node not in seen:
@@ -332,12 +335,13 @@ def classified(
     likely = _likely_edges(_tiles(members, "_band", "_node", "_count", NODES_PER_BLOCK), bands * per_band, threshold)
     parts = written(components(likely), "ngram-parts")
 
-    sizes = parts.groupBy("root").agg(F.count("*").alias("_count"))
+    placed = parts.join(nodes, F.col("node") == F.col("_node"))
+    grams = F.ceil(F.sum("_grams") / GRAMS_PER_SET)
+    sizes = placed.groupBy("root").agg(F.greatest(F.count("*"), grams).alias("_count"))
     chosen = written(
-        parts.join(sizes, "root").join(nodes, F.col("node") == F.col("_node"))
-        .select("_digest", "_node", F.col("root").alias("_part"), "_count", "_rows"),
+        placed.join(sizes, "root").select("_digest", "_node", F.col("root").alias("_part"), "_count", "_rows"),
         "ngram-chosen",
-    )
+    )
     dropped(parts)
     texts = docs.select(_digest(text).alias("_digest"), text_of(text).alias("_text"))
     found = texts.join(bounded(chosen, broadcast_rows), "_digest")
@@ -410,6 +414,7 @@ def one_of_each_class(
         bounded(decided, broadcast_rows), "_digest", "left"
     )
     alone = kept.where("_stays is null").select("_doc.*")
-    window = Window.partitionBy("_digest").orderBy(F.col(f"_doc.`{id}`").asc_nulls_last(), F.col("_doc").cast("string"))
+    tie = F.xxhash64(F.col("_doc").cast("string"))
+    window = Window.partitionBy("_digest").orderBy(F.col(f"_doc.`{id}`").asc_nulls_last(), tie)
     first = kept.where("_stays").withColumn("_nth", F.row_number().over(window)).where("_nth = 1")
     return alone.unionByName(first.select("_doc.*"))

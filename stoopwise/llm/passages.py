@@ -16,14 +16,15 @@ before a shuffle, so a line of every document is a single row per task there; it
 occurrences meet the kept one in a join that the adaptive engine splits.
 
 What is removed is always left somewhere: a removed run has an earlier occurrence.
-Null and empty texts have no units. Rows that repeat an id count as one document. A null
-id comes after all others. Offsets count code points, ends are exclusive.
+Null and empty texts have no units. Rows that agree in id and text count as one document;
+texts that share an id, or have none, are documents of their own. A null id comes after
+all others. Offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stoopwise.llm.common import BROADCAST_ROWS, bounded, free_name, ship, text_of
@@ -85,6 +86,11 @@ def runs(text: str | None, least_words: int = LEAST_WORDS) -> tuple[np.ndarray,
     return halves[0], halves[1], starts[first], ends[last - 1]
 
 
+def _key(text: str) -> Column:
+    """With the id it tells documents apart; rows that agree in both are copies of one."""
+    return F.xxhash64(text_of(text))
+
+
 def _all_runs(docs: DataFrame, id: str, text: str, least_words: int, whole: bool) -> DataFrame:  # noqa: A002
     """All runs; the first half of their digests alone, or whole rows."""
     ship(docs.sparkSession)
@@ -103,12 +109,12 @@ def _all_runs(docs: DataFrame, id: str, text: str, least_words: int, whole: bool
                     continue
                 rows = np.repeat(np.arange(len(found), dtype=np.int32), [len(f[0]) for f in found])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows)), *(pa.array(c.astype(np.int64)) for c in columns)],
-                    names=["_id", "_d1", "_d2", "_start", "_end"],
+                    [*(part.column(c).take(pa.array(rows)) for c in (0, 2)), *(pa.array(c.astype(np.int64)) for c in columns)],
+                    names=["_id", "_key", "_d1", "_d2", "_start", "_end"],
                 )
 
-    rows = docs.select(F.col(id).alias("_id"), text_of(text).alias("_text"))
-    schema = f"_id {kind}, _d1 bigint, _d2 bigint, _start bigint, _end bigint" if whole else "_d1 bigint"
+    rows = docs.select(F.col(id).alias("_id"), text_of(text).alias("_text"), _key(text).alias("_key"))
+    schema = f"_id {kind}, _key bigint, _d1 bigint, _d2 bigint, _start bigint, _end bigint" if whole else "_d1 bigint"
     return rows.mapInArrow(run, schema)
 
 
@@ -128,22 +134,22 @@ def _merged(late: DataFrame, kind: str) -> DataFrame:
         def closed():
             if spans:
                 places = [{"start": a, "end": b} for a, b in spans]
-                done.append((now, places, sum(b - a for a, b in spans), sorted(kept, key=lambda k: (k is None, k))))
+                done.append((*now, places, sum(b - a for a, b in spans), sorted(kept, key=lambda k: (k is None, k))))
 
         def sent(schema):
-            ids, places, sizes, keeps = zip(*done, strict=True)
+            ids, keys, places, sizes, keeps = zip(*done, strict=True)
             done.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, schema.field(0).type), pa.array(places, shape), pa.array(sizes, pa.int64()),
-                 pa.array(keeps, pa.list_(schema.field(0).type))],
-                names=["_id", "spans", "removed_chars", "kept_in"],
+                [pa.array(ids, schema.field(0).type), pa.array(keys, pa.int64()), pa.array(places, shape),
+                 pa.array(sizes, pa.int64()), pa.array(keeps, pa.list_(schema.field(0).type))],
+                names=["_id", "_key", "spans", "removed_chars", "kept_in"],
             )
 
         schema = None
         for batch in batches:
             schema = batch.schema
             for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                document, start, end, first = row
+                *document, start, end, first = row
                 if document != now or not spans:
                     closed()
                     now, spans, kept = document, [], set()
@@ -158,9 +164,9 @@ def _merged(late: DataFrame, kind: str) -> DataFrame:
         if done:
             yield sent(schema)
 
-    rows = late.select("_id", "_start", "_end", F.col("_first.id").alias("_kept"))
-    rows = rows.repartition("_id").sortWithinPartitions("_id", "_start")
-    schema = f"_id {kind}, spans array<struct<start:bigint,end:bigint>>, removed_chars bigint, kept_in array<{kind}>"
+    rows = late.select("_id", "_key", "_start", "_end", F.col("_first.id").alias("_kept"))
+    rows = rows.repartition("_id", "_key").sortWithinPartitions("_id", "_key", "_start")
+    schema = f"_id {kind}, _key bigint, spans array<struct<start:bigint,end:bigint>>, removed_chars bigint, kept_in array<{kind}>"
     return rows.mapInArrow(run, schema)
 
 
@@ -173,15 +179,21 @@ def repeats(
 ) -> DataFrame:
     """A row per document that loses something: id, spans, removed_chars, kept_in.
 
-    ``kept_in`` holds the ids of the documents where the first occurrences are.
+    ``kept_in`` holds the ids of the documents where the first occurrences are. An id that
+    several texts have gives a row for each that loses something.
     """
+    return _repeats(docs, id, text, least_words, broadcast_rows).drop("_key").withColumnRenamed("_id", id)
+
+
+def _repeats(docs: DataFrame, id: str, text: str, least_words: int = LEAST_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:  # noqa: A002
+    """The rows of ``repeats`` with the key of the text beside the id, ``_id``."""
     kind = docs.schema[id].dataType.simpleString()
     digests = _all_runs(docs, id, text, least_words, whole=False)
     twice = written(digests.groupBy("_d1").count().where("count > 1").select("_d1"), "runs-twice")
     again = _all_runs(docs, id, text, least_words, whole=True).join(bounded(twice, broadcast_rows), "_d1")
     again = written(again, "runs-again")
     dropped(twice)
-    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_start").alias("at"))
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_key", F.col("_start").alias("at"))
     first = (
         again.groupBy("_d1", "_d2")
         .agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
@@ -190,7 +202,7 @@ def repeats(
     )
     first = written(first, "runs-first")
     late = again.join(first, ["_d1", "_d2"]).where(~place.eqNullSafe(F.col("_first")))
-    return _merged(late, kind).withColumnRenamed("_id", id)
+    return _merged(late, kind)
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:  # noqa: A002
@@ -198,10 +210,13 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", **o
 
     ``removed`` holds the spans of the original text that are gone, null for none.
     """
-    removed, of = free_name(docs, "removed"), free_name(docs, "_of")
-    spans = repeats(docs, id, text, **options)
-    found = written(spans.select(F.col(id).alias(of), F.col("spans").alias(removed)), "repeats")
-    joined = docs.join(found, F.col(id).eqNullSafe(F.col(of)), "left").drop(of)
+    removed, of, key = free_name(docs, "removed"), free_name(docs, "_of"), free_name(docs, "_key_of")
+    spans = _repeats(docs, id, text, **options)
+    found = written(
+        spans.select(F.col("_id").alias(of), F.col("_key").alias(key), F.col("spans").alias(removed)), "repeats"
+    )
+    same = F.col(id).eqNullSafe(F.col(of)) & (_key(text) == F.col(key))
+    joined = docs.join(found, same, "left").drop(of, key)
     names = joined.columns
     text_at, spans_at = names.index(text), names.index(removed)
 

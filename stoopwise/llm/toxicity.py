@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stoopwise.llm.common import ship, text_of
+from stoopwise.llm.common import few_at_a_time, free_name, ship, text_of
 from stoopwise.session import dropped, written
 
 MOST_LEARNT = 20_000
@@ -79,7 +79,8 @@ NAMES = (
 )
 
 _WORD = re.compile(r"\w+")
-_HIDDEN = re.compile(r"[a-z]+[@$*|!0-9]+[a-z][a-z@$*|!0-9]*")
+# Possessive and from a border on, so that long runs of letters are read once.
+_HIDDEN = re.compile(r"(?<![a-z])[a-z]++[@$*|!0-9]++[a-z][a-z@$*|!0-9]*+")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _SPELLED = re.compile(r"(?<!\w)(?:\w[ .*_-]){3,}\w(?!\w)")
 _SHOUTED = re.compile(r"\b[^\W\d_a-z]{2,}\b")
@@ -220,11 +221,13 @@ class Scorer:
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Each row as the struct ``row``, and its ``score``."""
-        whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_text"))
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
         if self.constant is not None:
-            return whole.select("row", F.lit(float(self.constant)).alias("score"))
-        vectors = _measured(whole, "_text", "_dense", {0: self.lexicon}).drop("_text")
-        vectors = vectors.withColumn("_vector", array_to_vector("_dense"))
+            return docs.select(row, F.lit(float(self.constant)).alias("score"))
+        # A text goes to Python and back once.
+        dense = free_name(docs, "_dense")
+        measured = _measured(docs, text, dense, {0: self.lexicon})
+        vectors = measured.select(row, array_to_vector(F.col(dense)).alias("_vector"))
         raw = self.trees.setFeaturesCol("_vector").transform(vectors)
         raw = raw.withColumn("_raw", vector_to_array("probability")[1])
         if self.calibration is None:
@@ -248,7 +251,7 @@ def _measured(docs: DataFrame, text: str, name: str, lexicons: dict[int, tuple[f
 
         known = {k: Lexicon(*v) for k, v in sent.value.items()}
         kinds = _kinds()
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             texts = batch.column(at).to_pylist()
             which = batch.column(fold_at).to_pylist() if fold else [0] * len(texts)
             rows = [features(t or "", known[k], kinds) for t, k in zip(texts, which, strict=True)]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stoopwise.llm.common import free_name, ship
+from stoopwise.llm.common import free_name, give_back, ship
 
 NONE = -1
 # What a Python process remembers at most. Of pieces there may be two such generations:
@@ -410,6 +410,12 @@ class Vocabulary:
             gc.set_threshold(200_000, 20, 50)
         return self._made[self.name]
 
+    def forget(self) -> None:
+        """Free what this Python process remembers, for stages that come after."""
+        self._made.clear()
+        gc.unfreeze()
+        give_back()
+
 
 def _kept(docs: DataFrame, *added: T.StructField) -> T.StructType:
     return T.StructType([*docs.schema.fields, *added])
@@ -518,6 +524,8 @@ def encode_checked(docs: DataFrame, vocabulary: Vocabulary, text: str = "text")
                 same = [decoder.text(ids) == (t or "") for ids, t in zip(found, texts, strict=True)]
                 columns = [pa.array(found, pa.list_(pa.int32())), pa.array(map(len, found), pa.int64()), pa.array(same)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*names, *added])
+        del encoder, decoder
+        vocabulary.forget()
 
     return docs.mapInArrow(run, schema)
 

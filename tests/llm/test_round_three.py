@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from stoopwise.llm import mixing, ngram_join, passages, pseudonyms, toxicity
+from stoopwise.llm import bpe, mixing, ngram_join, passages, pseudonyms, toxicity
 
 PASSAGE = " ".join(f"shared{i}" for i in range(40))
 OTHER = " ".join(f"only{i}" for i in range(60))
@@ -93,6 +93,22 @@ def test_tiles_of_long_texts_hold_fewer_of_them(spark, monkeypatch):
     assert {r[2] for r in whole} == {40}
 
 
+def test_encoding_with_a_check(spark):
+    from stoopwise.llm.catalog import vocabulary
+
+    known = vocabulary(spark)
+    rows = [(1, "Grüße, two words", "a"), (None, None, "b"), (3, "", None), (1, "x " * 3000, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(2)
+    found = bpe.encode_checked(docs, known).collect()
+    assert len(found) == 4 and all(r.restored for r in found)
+    decoder = known.coders()[1]
+    assert sorted(decoder.text(r["_ids"]) for r in found) == sorted(t or "" for _, t, _ in rows)
+    assert all(r.n_tokens == len(r["_ids"]) for r in found)
+    known.forget()
+    assert not known._made
+    assert sorted(r.ids for r in found if r.ids) == ["a", "b", "c"]
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = [(2, PASSAGE, "b"), (2, PASSAGE, "a"), (None, PASSAGE, "c"), (5, OTHER, "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, more string").withColumn("_doc", F.lit(1))

@@ -48,6 +48,8 @@ HELD_BACK = 512
 PIECES_AT_ONCE = 100_000
 LONG_TEXT = 1_000_000
 ROWS_AT_ONCE = 128
+# Of the bounds above, what the encoder remembers where whole documents go along.
+CHECKED_SHARE = 0.2
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -263,6 +265,15 @@ class Encoder(dict):
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.old_pieces: dict[str, tuple[int, ...]] = {}
 
+    def bound(self, share: float) -> None:
+        """Forget what is more than a share of the usual bounds."""
+        if len(self) > share * MOST_CHUNKS:
+            self.clear()
+        if len(self.pieces) + len(self.old_pieces) > share * MOST_PIECES:
+            self.pieces, self.old_pieces = {}, {}
+        if len(self.machine.states) > share * MOST_STATES:
+            self.machine.forget()
+
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise Apart
@@ -524,6 +535,7 @@ def encode_checked(docs: DataFrame, vocabulary: Vocabulary, text: str = "text")
                 same = [decoder.text(ids) == (t or "") for ids, t in zip(found, texts, strict=True)]
                 columns = [pa.array(found, pa.list_(pa.int32())), pa.array(map(len, found), pa.int64()), pa.array(same)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*names, *added])
+                encoder.bound(CHECKED_SHARE)
         del encoder, decoder
         vocabulary.forget()
 

@@ -70,7 +70,8 @@ def test_sql_twins(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     for name, sql in oracle_sql().items():
         df = queries()[name](spark, FOLDER)
         cursor = con.execute(sql)

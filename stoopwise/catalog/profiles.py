@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stoopwise import schemas
 from stoopwise.catalog.registry import TABLES, Given, query
-from stoopwise.operators import profile, quality
+from stoopwise.operators import profile, quality, sketches
 from stoopwise.operators.filters import mentions
 from stoopwise.params import AMENITY_TYPES
 
@@ -182,3 +182,26 @@ def amenity_rules(t: Given) -> DataFrame:
 def source_and_target_counts(t: Given) -> DataFrame:
     target = t.v_violations.select("violation_id").distinct()
     return quality.compare_counts(t.v_violations, target)
+
+
+@query(
+    "A6 D1 mergeable sketches",
+    sql="""SELECT date_trunc('month', violation_date)::DATE AS month, count(*) AS n_rows,
+  count(DISTINCT address) AS n_exact, TRUE AS within_bound
+FROM {v_violations} GROUP BY 1""",
+)
+def addresses_sketched_by_month(t: Given) -> DataFrame:
+    """Sketches per day, merged by month, beside the exact counts."""
+    month = F.trunc(F.col("day"), "month").alias("month")
+    days = sketches.sketched(t.v_violations.withColumnRenamed("violation_date", "day"), ["day"], "address")
+    by_month = sketches.merged(days.select(month, "n_rows", "sketch"), ["month"])
+    exact = t.v_violations.groupBy(F.trunc("violation_date", "month").alias("_month")).agg(
+        F.count_distinct("address").alias("n_exact")
+    )
+    # Six standard errors: one month in half a billion is outside by chance.
+    slack = 1 + 6 * sketches.standard_error() * F.col("n_exact")
+    return (
+        sketches.estimated(by_month, "_estimate")
+        .join(exact, F.col("month").eqNullSafe(F.col("_month")))
+        .select("month", "n_rows", "n_exact", (F.abs(F.col("_estimate") - F.col("n_exact")) <= slack).alias("within_bound"))
+    )

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stoopwise.catalog import amenities as amenity_queries
+from stoopwise.catalog import profiles
 from stoopwise.catalog.feeds import VIOLATION_FIELDS
 from stoopwise.catalog.registry import Given, query
 from stoopwise.catalog.saved import STATE
 from stoopwise.catalog.violations import UNIQUE, raw_rows
 from stoopwise.session import new_path
+from stoopwise.operators import profile
+from stoopwise.operators.counts import CountStore, distinct_from
 from stoopwise.sources import writers
+from stoopwise.streaming.counts import PROFILES, count_stream
 from stoopwise.streaming.refresh import latest_snapshot, refresh_groceries_stream
 from stoopwise.streaming.saved import current_state, saved_state_stream
 from stoopwise.streaming.violations import ingest_violations_stream
@@ -58,3 +62,32 @@ def grocery_refresh(t: Given) -> DataFrame:
         t.spark, f"{base}/in", f"{base}/first", f"{base}/table", f"{base}/progress"
     ).awaitTermination()
     return latest_snapshot(t.spark, f"{base}/first", f"{base}/table")
+
+
+def _kept_counts(t: Given) -> CountStore:
+    """The counts after three batches of violations."""
+    base = new_path(t.spark, "counts-stream")
+    rows = t.v_violations.select(*sorted({c for columns in PROFILES.values() for c in columns}))
+    rows.repartition(3).write.parquet(f"{base}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    count_stream(stream, f"{base}/counts", f"{base}/progress", batches_per_copy=2).awaitTermination()
+    return CountStore(t.spark, f"{base}/counts", PROFILES, batches_per_copy=2)
+
+
+@query("Q6 W2 W3 W4 W5 W6 kept up to date", sql=f"{profiles.CATALOGUE} SELECT * FROM catalogue")
+def code_catalogue_kept_up(t: Given) -> DataFrame:
+    pairs = _kept_counts(t).read("codes").withColumnRenamed("n", "n_violations")
+    return profile.catalogue_of(pairs, *PROFILES["codes"])
+
+
+@query("A4 Q16 kept up to date", sql="""SELECT inspection_number, count(DISTINCT violation_status) AS n_status
+FROM {v_violations} GROUP BY inspection_number""")
+def statuses_kept_up(t: Given) -> DataFrame:
+    return distinct_from(_kept_counts(t).read("statuses"), "inspection_number", "violation_status", "n_status")
+
+
+@query("A5 Q16 kept up to date", sql="""SELECT inspection_number, count(DISTINCT violation_date) AS n_days,
+  count(DISTINCT strftime(violation_date, '%Y-%m')) AS n_months
+FROM {v_violations} GROUP BY inspection_number HAVING n_months > 1""")
+def months_kept_up(t: Given) -> DataFrame:
+    return profile.days_and_months(_kept_counts(t).read("days"), "inspection_number", "violation_date")

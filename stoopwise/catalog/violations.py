@@ -13,6 +13,8 @@ from stoopwise.operators.prefix import prefix_join
 from stoopwise.params import NEIGHBOURHOOD, TRIVIAL_CODES
 from stoopwise.plans import reports, summaries
 from stoopwise.plans import violations as v
+from stoopwise.session import new_path, written
+from stoopwise.sources import layout
 
 # The given data spans 1995 to 2001.
 START = "2000-06-01"
@@ -282,6 +284,22 @@ def report_text(t: Given) -> DataFrame:
     return reports.report_text(_lines(t))
 
 
+@query("Q5 A15 reports of changed addresses only", sql=f"WITH {REPORTS} SELECT * FROM whole")
+def reports_kept_up(t: Given) -> DataFrame:
+    whole = written(v.unique_violations(t.v_violations), "unique-violations")
+    day = F.lit("2001-06-01").cast("date")
+    added = F.coalesce(F.col("violation_date") >= day, F.lit(True))
+    stored = written(reports.report_text(reports.report_lines(whole.where(~added))), "stored-reports")
+    return reports.updated_reports(stored, whole, whole.where(added))
+
+
+@query("P1 P3 P4 P5 Q7 S9 stored layout", sql=f"{SELECTED} WHERE {SCREENED}")
+def violations_screened_from_layout(t: Given) -> DataFrame:
+    path = new_path(t.spark, "violations-layout")
+    layout.write_violations(t.v_violations, path)
+    return v.screened(t.spark.read.parquet(path), **SCREEN).select(COLUMNS)
+
+
 BASE_PROMPT = "Summarise the violations of this building."
 
 

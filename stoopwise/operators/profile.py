@@ -62,7 +62,11 @@ def code_catalogue(
     alone: d different counts need at least d * (d + 1) / 2 rows, so even a trillion
     rows leave about a million values for its single task.
     """
-    pairs = df.groupBy(description, code).agg(F.count("*").alias("n_violations"))
+    return catalogue_of(df.groupBy(description, code).agg(F.count("*").alias("n_violations")), description, code)
+
+
+def catalogue_of(pairs: DataFrame, description: str, code: str) -> DataFrame:
+    """The catalogue from rows per description and code, ``n_violations``."""
     groups = pairs.groupBy(description).agg(
         F.count(code).alias("n_code_per_desc"), F.max("n_violations").alias("_largest")
     )

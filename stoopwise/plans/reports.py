@@ -44,8 +44,9 @@ def report_lines(
     violations: DataFrame,
     codes: Iterable[str] = TRIVIAL_CODES,
     rows_per_task: int = ROWS_PER_TASK,
+    heads: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per report line.
+    """One row per report line, of all addresses or of those in ``heads`` (head).
 
     ``head`` is the address of the report, ``line_no`` counts within an occasion (a
     day) of ``n_violations`` lines, ``place`` within the whole report, latest occasion
@@ -76,7 +77,8 @@ def report_lines(
     rows = kept.where("NOT _trivial AND violation_date IS NOT NULL").drop("_trivial")
     # Every listed address is a head, also one that has trivial violations only: it gets
     # a report when a longer address that starts with it has a serious one.
-    pairs = prefix_join(kept.select(F.col("_text").alias("head")), rows, "head", "_text")
+    wanted = kept.select(F.col("_text").alias("head")) if heads is None else heads
+    pairs = prefix_join(wanted, rows, "head", "_text")
     days = pairs.join(
         rows.groupBy("_text", "violation_date").agg(F.count("*").alias("_n")), "_text"
     )
@@ -138,6 +140,41 @@ def report_text(lines: DataFrame) -> DataFrame:
     return days.groupBy(F.col("head").alias("address")).agg(F.concat(F.lit(OPENING), body).alias("report"))
 
 
+def touched_heads(violations: DataFrame, changed: DataFrame) -> DataFrame:
+    """Heads whose report a change reaches: addresses that changed addresses start with, or are.
+
+    ``violations`` are all rows after the change, ``changed`` the rows added, changed or gone.
+    """
+    addresses = changed.select(F.upper("address").alias("_text")).distinct()
+    listed = violations.select(F.upper("address").alias("head")).distinct().unionByName(
+        addresses.withColumnRenamed("_text", "head")
+    )
+    return prefix_join(listed, addresses, "head", "_text").select("head").distinct()
+
+
+def updated_reports(
+    reports: DataFrame,
+    violations: DataFrame,
+    changed: DataFrame,
+    codes: Iterable[str] = TRIVIAL_CODES,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """``reports`` (address, report) after a change, with only the reports it reaches built again.
+
+    ``violations`` are all rows after the change, unique by id; ``changed`` has the address
+    of every row that was added, changed or taken away. Rows of addresses under no touched
+    head are left out before lines are made. A touched address that has no line any more
+    loses its report.
+    """
+    touched = written(touched_heads(violations, changed), "touched-heads")
+    addresses = violations.select(F.upper("address").alias("_text")).distinct()
+    under = prefix_join(touched, addresses, "head", "_text").select("_text").distinct()
+    concerned = violations.join(under, F.upper("address") == F.col("_text"), "left_semi")
+    rebuilt = report_text(report_lines(concerned, codes, rows_per_task, heads=touched))
+    gone = touched.select(F.col("head").alias("address"))
+    return reports.select("address", "report").join(gone, "address", "left_anti").unionByName(rebuilt)
+
+
 def prompt_table(reports: DataFrame, base_prompt: str) -> DataFrame:
     """The base prompt, a line break and the report, per address."""
     return reports.select("address", F.concat(F.lit(base_prompt + "\n"), "report").alias("prompt"))

@@ -49,7 +49,7 @@ PIECES_AT_ONCE = 100_000
 LONG_TEXT = 1_000_000
 ROWS_AT_ONCE = 128
 # Of the bounds above, what the encoder remembers where whole documents go along.
-CHECKED_SHARE = 0.2
+CHECKED_SHARE = 0.5
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -17,6 +17,7 @@ from stoopwise.operators.counts import CountStore, distinct_from
 from stoopwise.sources import writers
 from stoopwise.streaming.counts import PROFILES, count_stream
 from stoopwise.streaming.refresh import latest_snapshot, refresh_groceries_stream
+from stoopwise.streaming.seen import ingest_unseen
 from stoopwise.streaming.saved import current_state, saved_state_stream
 from stoopwise.streaming.violations import ingest_violations_stream
 
@@ -33,6 +34,23 @@ def violations_stream(t: Given) -> DataFrame:
     return t.spark.read.parquet(f"{base}/out").select(VIOLATION_FIELDS)
 
 
+STORED = "SELECT violation_id FROM {v_violations} WHERE inspection_category = 'PERIODIC'"
+
+
+@query(
+    "T1 U3 seen ids in a state store",
+    sql=f"SELECT {', '.join(VIOLATION_FIELDS)} FROM ({UNIQUE}) u WHERE violation_id NOT IN ({STORED})",
+)
+def violations_unseen(t: Given) -> DataFrame:
+    base = new_path(t.spark, "violations-unseen")
+    writers.write_csv(raw_rows(t).repartitionByRange(4, "ID"), f"{base}/in")
+    for begun in ingest_unseen(
+        t.spark, f"{base}/in", t.sql(STORED), f"{base}/out", f"{base}/dead", f"{base}/progress", max_files=2
+    ):
+        begun.awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").select(VIOLATION_FIELDS)
+
+
 @query("T3", sql=f"WITH {STATE} SELECT * FROM state")
 def saved_state_streamed(t: Given) -> DataFrame:
     base = new_path(t.spark, "saved-stream")

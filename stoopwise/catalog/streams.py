@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from stoopwise.operators import profile
 from stoopwise.operators.counts import CountStore, distinct_from
 from stoopwise.sources import writers
 from stoopwise.streaming.counts import PROFILES, count_stream
+from stoopwise.streaming.listings import DELAY, keep_listings, listings_now
 from stoopwise.streaming.refresh import latest_snapshot, refresh_groceries_stream
 from stoopwise.streaming.seen import ingest_unseen
 from stoopwise.streaming.saved import current_state, saved_state_stream
@@ -68,6 +71,25 @@ def saved_state_streamed(t: Given) -> DataFrame:
     return current_state(t.spark, f"{base}/state")
 
 
+@query("T3 state store", sql=f"WITH {STATE} SELECT * FROM state")
+def saved_state_stored(t: Given) -> DataFrame:
+    base = new_path(t.spark, "saved-store")
+    events = t.v_saved_events
+    # Three spans of time land one after the other, events up to two days late, and each is a
+    # start of its own.
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        first = last = datetime.datetime(2000, 1, 1)
+    second, third = first + (last - first) / 3, first + (last - first) / 3 * 2
+    landed = F.col("ts") + F.make_dt_interval(days=F.pmod(F.hash("event_id"), F.lit(3)))
+    span = F.coalesce((landed >= second).cast("int") + (landed >= third).cast("int"), F.lit(0))
+    for i in range(3):
+        events.where(span == i).write.mode("append").parquet(f"{base}/in")
+        stream = t.spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        keep_listings(stream, t.v_properties, f"{base}/out", f"{base}/progress", DELAY).awaitTermination()
+    return listings_now(t.spark, f"{base}/out")
+
+
 @query(
     "T2 Q9 U5",
     sql=f"WITH {amenity_queries.SYNC} SELECT * EXCLUDE (action) FROM merged WHERE action <> 'delete'",

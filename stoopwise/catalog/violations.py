@@ -9,7 +9,7 @@ from stoopwise import schemas
 from stoopwise.catalog.registry import Given, query
 from stoopwise.functions import text
 from stoopwise.operators import filters, merge
-from stoopwise.operators.prefix import prefix_join
+from stoopwise.operators.prefix import prefix_join, prefix_merge
 from stoopwise.params import NEIGHBOURHOOD, TRIVIAL_CODES
 from stoopwise.plans import reports, summaries
 from stoopwise.plans import violations as v
@@ -111,20 +111,26 @@ def violations_mentioning_reinspection(t: Given) -> DataFrame:
     ).select("violation_id", "violation_description")
 
 
-@query(
-    "J5 P8",
-    sql=f"""WITH heads AS (SELECT DISTINCT {HEAD} AS head FROM {{v_properties}}),
+PREFIX_PAIRS = f"""WITH heads AS (SELECT DISTINCT {HEAD} AS head FROM {{v_properties}}),
 texts AS (SELECT DISTINCT upper(address) AS address FROM {{v_violations}})
 SELECT head, address FROM heads JOIN texts
   ON starts_with(address, head)
   AND split_part(address, ' ', 1) = split_part(head, ' ', 1)
-WHERE head <> ''""",
-)
+WHERE head <> ''"""
+
+
+@query("J5 P8", sql=PREFIX_PAIRS)
 def address_prefix_pairs(t: Given) -> DataFrame:
     heads = t.v_properties.select(text.address_head(F.col("address")).alias("head"))
     return prefix_join(heads, t.v_violations, "head", "address")
 
 
+@query("J5 P8 sorted merge", sql=PREFIX_PAIRS)
+def address_prefix_pairs_merged(t: Given) -> DataFrame:
+    heads = t.v_properties.select(text.address_head(F.col("address")).alias("head"))
+    return prefix_merge(heads, t.v_violations, "head", "address")
+
+
 STATUS_VIOLATIONS = f"""SELECT * FROM {{v_violations}}
   WHERE violation_date > DATE '{START}' AND inspection_category IN ('COMPLAINT', 'PERIODIC')"""
 

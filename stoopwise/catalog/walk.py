@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stoopwise.catalog.registry import Given, query
 from stoopwise.functions import features as ft
+from stoopwise.operators.stored_grid import StoredGrid
+from stoopwise.params import METRES_PER_MINUTE
 from stoopwise.plans import walk
 from stoopwise.plans.answers import Answers
 from stoopwise.session import new_path
@@ -69,6 +71,14 @@ def walk_stops(t: Given) -> DataFrame:
     return _stop_rows(walk.walk_stops(t.v_properties, t.v_stops, t.v_route_stops, minutes=5))
 
 
+@query("Q1 J1 J2 stored grid", sql=f"WITH {kept_sql(5)} SELECT {STOP_COLUMNS} FROM kept")
+def walk_stops_stored(t: Given) -> DataFrame:
+    served = walk.stops_with_routes(t.v_stops, t.v_route_stops)
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    grid = StoredGrid.write(served, new_path(t.spark, "stop-grid"), 15 * METRES_PER_MINUTE, buckets)
+    return _stop_rows(walk.walk_stops_stored(grid, t.v_properties, minutes=5))
+
+
 @query(
     "Q1 at the longer walking time",
     sql=f"WITH {kept_sql(15)} SELECT {STOP_COLUMNS} FROM kept",

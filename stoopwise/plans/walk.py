@@ -9,6 +9,7 @@ from stoopwise.functions import features as ft
 from stoopwise.functions import geo
 from stoopwise.operators.radius import CELL, cell_columns, radius_join
 from stoopwise.operators.skew import salted_join
+from stoopwise.operators.stored_grid import StoredGrid
 from stoopwise.params import METRES_PER_MINUTE, ROWS_PER_TASK, TIME_BUCKETS
 from stoopwise.session import written
 
@@ -119,6 +120,14 @@ def walk_stops(
     return _described(new_route_stops(near), served, m_per_min)
 
 
+def walk_stops_stored(
+    grid: StoredGrid, properties: DataFrame, minutes: float = 5, m_per_min: float = METRES_PER_MINUTE
+) -> DataFrame:
+    """``walk_stops`` on stored rows of ``stops_with_routes``: only properties are shuffled to meet them."""
+    near = grid.near(properties.select("property_id", "lat", "lon"), minutes * m_per_min, "property_id")
+    return _described(new_route_stops(near), grid.targets, m_per_min)
+
+
 def walk_groceries(
     properties: DataFrame,
     amenities: DataFrame,

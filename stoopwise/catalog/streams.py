@@ -13,7 +13,7 @@ from stoopwise.catalog.feeds import VIOLATION_FIELDS
 from stoopwise.catalog.registry import Given, query
 from stoopwise.catalog.saved import STATE
 from stoopwise.catalog.violations import UNIQUE, raw_rows
-from stoopwise.session import new_path
+from stoopwise.session import dropped, new_path, written
 from stoopwise.operators import profile
 from stoopwise.operators.counts import CountStore, distinct_from
 from stoopwise.sources import writers
@@ -25,14 +25,31 @@ from stoopwise.streaming.saved import current_state, saved_state_stream
 from stoopwise.streaming.violations import ingest_violations_stream
 
 
+# Rows of one landed file; files are read whole, one per task.
+LANDED_ROWS = 250_000
+
+
+def _land(t: Given, path: str) -> int:
+    """Violations as files of a bounded number of rows, four at least; returns how many files.
+
+    Rows of one id land in one file, so that which of them is first does not depend on the
+    order of the files.
+    """
+    # The ranges are sampled from the written rows, not from their join once more.
+    rows = written(raw_rows(t), "raw-violations")
+    files = max(4, -(-rows.count() // LANDED_ROWS))
+    writers.write_csv(rows.repartitionByRange(files, "ID"), path)
+    dropped(rows)
+    return files
+
+
 @query("T1 U3 S1 S13", sql=f"SELECT {', '.join(VIOLATION_FIELDS)} FROM ({UNIQUE}) u")
 def violations_stream(t: Given) -> DataFrame:
     base = new_path(t.spark, "violations-stream")
-    # Rows of one id land in one file, so that which of them is first does not depend
-    # on the order of the files.
-    writers.write_csv(raw_rows(t).repartitionByRange(4, "ID"), f"{base}/in")
+    files = _land(t, f"{base}/in")
     ingest_violations_stream(
-        t.spark, f"{base}/in", f"{base}/out", f"{base}/dead", f"{base}/progress", max_files=2, divisions=4
+        t.spark, f"{base}/in", f"{base}/out", f"{base}/dead", f"{base}/progress",
+        max_files=-(-files // 2), divisions=files,
     ).awaitTermination()
     return t.spark.read.parquet(f"{base}/out").select(VIOLATION_FIELDS)
 
@@ -46,9 +63,9 @@ STORED = "SELECT violation_id FROM {v_violations} WHERE inspection_category = 'P
 )
 def violations_unseen(t: Given) -> DataFrame:
     base = new_path(t.spark, "violations-unseen")
-    writers.write_csv(raw_rows(t).repartitionByRange(4, "ID"), f"{base}/in")
+    files = _land(t, f"{base}/in")
     for begun in ingest_unseen(
-        t.spark, f"{base}/in", t.sql(STORED), f"{base}/out", f"{base}/dead", f"{base}/progress", max_files=2
+        t.spark, f"{base}/in", t.sql(STORED), f"{base}/out", f"{base}/dead", f"{base}/progress", max_files=-(-files // 2)
     ):
         begun.awaitTermination()
     return t.spark.read.parquet(f"{base}/out").select(VIOLATION_FIELDS)

@@ -1,6 +1,8 @@
 """Ingest with the seen ids in a state store."""
 
 from stoopwise import schemas
+from stoopwise.catalog import streams
+from stoopwise.catalog.registry import Given
 from stoopwise.session import new_path
 from stoopwise.streaming.seen import ingest_unseen
 
@@ -34,3 +36,26 @@ def test_an_id_is_taken_in_once_over_restarts(spark):
     assert run([("6", "1/2/2020", "again")]) == found
     errors = sorted((r.violation_id or "", r.error) for r in spark.read.parquet(f"{base}/dead").collect())
     assert errors == [("", "unreadable: violation_id"), ("5", "unreadable: violation_date")]
+
+
+def test_rows_of_one_text_order_differ_in_type_only_once(spark):
+    """Many ids in one batch, each with two rows, pass without a call per id; of equal texts one stays."""
+    base = new_path(spark, "seen")
+    existing = spark.createDataFrame([(str(i),) for i in range(0, 3000, 3)], "violation_id string")
+    land(spark, f"{base}/in", [(str(i), "1/2/2020", a) for i in range(3000) for a in ("b", "a!", "a")])
+    for query in ingest_unseen(spark, f"{base}/in", existing, f"{base}/out", f"{base}/dead", f"{base}/progress"):
+        query.awaitTermination()
+    found = spark.read.parquet(f"{base}/out").collect()
+    assert sorted(int(r.violation_id) for r in found) == [i for i in range(3000) if i % 3]
+    assert {r.address for r in found} == {"a!"}  # as texts the quote comes after the exclamation mark
+
+
+def test_landed_files_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(streams, "LANDED_ROWS", 1000)
+    base = new_path(spark, "landed")
+    given = Given(spark, "/root/testdata/sf0.001")
+    files = streams._land(given, f"{base}/in")
+    rows = given.v_violations.count()
+    assert files == -(-rows // 1000) > 4
+    parts = [len(p) for p in spark.read.option("header", "true").csv(f"{base}/in").rdd.glom().collect()]
+    assert sum(parts) == rows

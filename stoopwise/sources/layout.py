@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Rows of a file at most, and bytes of a row group.
 ROWS_PER_FILE = 4_000_000
+# Rows that a task sorts at most, so that it need not spill; a task writes a file.
+ROWS_PER_SORT = 1_000_000
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 # Side of a cell in degrees.
 CELL = 0.01
@@ -28,7 +30,7 @@ def write_violations(
     bloom filters. Rows are dealt by date, place and id, so that a month or a cell with a
     large share of the rows is cut into many files. Null dates and places come first.
     """
-    files = max(1, -(-df.count() // rows_per_file))
+    files = max(1, -(-df.count() // min(rows_per_file, ROWS_PER_SORT)))
     by = [
         F.trunc("violation_date", "month"),
         F.floor(F.col("latitude") / CELL),

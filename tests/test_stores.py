@@ -9,6 +9,7 @@ from stoopwise.operators.running import running_before
 from stoopwise.plans.answers import Answers
 from stoopwise.plans.outcomes import event_outcomes
 from stoopwise.session import new_path
+from stoopwise.sources import layout
 from stoopwise.sources.bucketed import BucketedTable
 from stoopwise.sources.versions import Versions
 
@@ -168,3 +169,15 @@ def test_answers_are_worked_out_once(spark):
     with pytest.raises(ValueError):
         answers.ask(ids(9), 5, fails)
     assert len(answers.fills.numbers()) == 1
+
+
+def test_layout_sorts_no_more_rows_in_a_task_than_it_holds(spark, monkeypatch):
+    monkeypatch.setattr(layout, "ROWS_PER_SORT", 100)
+    rows = spark.range(1000).selectExpr(
+        "CAST(id AS STRING) AS violation_id", "date_add(DATE '2020-01-01', CAST(id % 300 AS INT)) AS violation_date",
+        "'a' AS address", "41.78 + id % 7 / 100 AS latitude", "-87.6 AS longitude",
+    )
+    path = new_path(spark, "sorted-layout")
+    layout.write_violations(rows, path)
+    parts = [n for n in spark.read.parquet(path).groupBy("_metadata.file_name").count().collect()]
+    assert len(parts) >= 8 and sum(p["count"] for p in parts) == 1000

@@ -43,6 +43,17 @@ def _land(t: Given, path: str) -> int:
     return files
 
 
+# Rows of one landed table file; three batches take them in.
+FILE_ROWS = 1_000_000
+
+
+def _landed(rows: DataFrame, path: str, *by: str) -> int:
+    """Rows as files of a bounded number of rows, three at least; returns the files of a third."""
+    files = 3 * max(1, -(-rows.count() // (3 * FILE_ROWS)))
+    rows.repartition(files, *by).write.parquet(path)
+    return files // 3
+
+
 @query("T1 U3 S1 S13", sql=f"SELECT {', '.join(VIOLATION_FIELDS)} FROM ({UNIQUE}) u")
 def violations_stream(t: Given) -> DataFrame:
     base = new_path(t.spark, "violations-stream")
@@ -75,11 +86,11 @@ def violations_unseen(t: Given) -> DataFrame:
 def saved_state_streamed(t: Given) -> DataFrame:
     base = new_path(t.spark, "saved-stream")
     events = t.v_saved_events
-    # Three files, so that the keys are touched by several batches.
-    events.repartition(3, "event_id").write.parquet(f"{base}/in")
+    # Three batches, so that the keys are touched by several.
+    files = _landed(events, f"{base}/in", "event_id")
     stream = (
         t.spark.readStream.schema(events.schema)
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", files)
         .parquet(f"{base}/in")
     )
     saved_state_stream(
@@ -125,8 +136,8 @@ def _kept_counts(t: Given) -> CountStore:
     """The counts after three batches of violations."""
     base = new_path(t.spark, "counts-stream")
     rows = t.v_violations.select(*sorted({c for columns in PROFILES.values() for c in columns}))
-    rows.repartition(3).write.parquet(f"{base}/in")
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    files = _landed(rows, f"{base}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     count_stream(stream, f"{base}/counts", f"{base}/progress", batches_per_copy=2).awaitTermination()
     return CountStore(t.spark, f"{base}/counts", PROFILES, batches_per_copy=2)
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stoopwise.catalog import streams
 from stoopwise.operators import profile, sketches
 from stoopwise.operators.counts import CountStore, distinct_from
 from stoopwise.plans import reports
@@ -157,3 +158,13 @@ def test_an_empty_table_has_a_layout(spark):
     path = new_path(spark, "layout")
     layout.write_violations(spark.createDataFrame([], VIOLATION + ", latitude double, longitude double"), path)
     assert spark.read.parquet(path).count() == 0
+
+
+def test_landed_tables_come_in_files_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    path = new_path(spark, "landed-table")
+    assert streams._landed(spark.range(301), path) == 11
+    parts = spark.read.parquet(path).groupBy("_metadata.file_name").count().collect()
+    assert len(parts) == 33 and sum(p["count"] for p in parts) == 301
+    assert max(p["count"] for p in parts) <= 15
+    assert streams._landed(spark.range(0), new_path(spark, "landed-table")) == 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stoopwise.operators.merge import insert_ignore, insert_new
+from stoopwise.session import dropped, written
 from stoopwise.sources.readers import VIOLATION_OPTIONS, VIOLATION_RECORD, typed_violations
 from stoopwise.sources.writers import split_dead_letters
 
@@ -38,10 +39,11 @@ def ingest_violations_stream(
     division = F.pmod(F.xxhash64("violation_id"), F.lit(divisions)).cast("int")
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_dead_letters(typed_violations(batch, strict=False))
-        fresh = insert_ignore(good, ["violation_id"])
-        stored = read_if_there(spark, target)
-        fresh = fresh.withColumn("division", division)
+        # The landed files are parsed once, and the new ids found once.
+        typed = written(typed_violations(batch, strict=False), "typed-violations")
+        good, bad = split_dead_letters(typed)
+        candidates = written(insert_ignore(good, ["violation_id"]).withColumn("division", division), "new-violations")
+        stored, fresh = read_if_there(spark, target), candidates
         if stored is not None:
             # At most ``divisions`` numbers, so that the scan skips all other folders.
             touched = [row["division"] for row in fresh.select("division").distinct().collect()]
@@ -51,6 +53,7 @@ def ingest_violations_stream(
         fresh = fresh.repartition("division")
         fresh.write.mode("overwrite").partitionBy("division").parquet(f"{target}/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
+        dropped(typed, candidates)
 
     return (
         raw.writeStream.foreachBatch(take_in)

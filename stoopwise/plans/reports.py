@@ -18,6 +18,14 @@ from stoopwise.session import written
 # Fixed value: the opening of every report.
 OPENING = "This building was cited on the following occasions: "
 
+# Lines of one task, which sorts them by head.
+LINES_PER_TASK = 1_000_000
+
+
+def _order() -> list[Column]:
+    """Order of the lines of a day."""
+    return [F.desc("inspection_number"), F.asc("inspection_category"), F.asc("violation_id")]
+
 
 def _occasion_opening(day: Column, n: Column) -> Column:
     return F.concat(
@@ -35,7 +43,7 @@ def _line(number: Column, comment: Column, ordinance: Column) -> Column:
         F.lit(") Inspector noted issue(s) with '"),
         F.coalesce(comment, F.lit("")),
         F.lit("' -- which allegedly violated city ordinance '"),
-        text.strip_citation(ordinance),
+        ordinance,
         F.lit("'; "),
     )
 
@@ -53,32 +61,67 @@ def report_lines(
     first. ``violations`` must be unique by violation_id. Every address gets a report,
     and by the prefix rule it also covers longer addresses that start with its own.
 
-    Everything about addresses and days is settled on tables of one row per address
-    and day; the violations themselves only look up their day, spread by their id
-    where a day is very large, and are numbered across tasks.
+    What belongs to which head is settled on a table of one row per address. The
+    violations then look up their heads and are sorted once per head, which numbers and
+    counts their lines; a report made from them needs no further shuffle. Where a head
+    has more lines than one task should handle, days are placed by tables of one row per
+    address and day, and lines numbered across tasks.
     """
-    columns = [
-        "violation_id",
-        "violation_date",
-        "inspection_number",
-        "inspection_category",
-        "violation_inspector_comments",
-        "violation_ordinance",
-    ]
-    # Read several times below, and usually the outcome of a deduplication.
+    columns = ["violation_id", "violation_date", "inspection_number", "inspection_category", "violation_inspector_comments"]
+    # Read several times below, and usually the outcome of a deduplication. A citation is
+    # dropped once per violation, which may have lines in many reports.
     kept = written(
         violations.select(
             F.upper("address").alias("_text"),
             *columns,
+            text.strip_citation(F.col("violation_ordinance")).alias("_ordinance"),
             filters.one_of(F.col("violation_code"), codes).alias("_trivial"),
         ),
         "report-rows",
     )
-    rows = kept.where("NOT _trivial AND violation_date IS NOT NULL").drop("_trivial")
+    serious = ~F.col("_trivial") & F.col("violation_date").isNotNull()
+    rows = kept.where(serious).drop("_trivial")
+    addresses = written(kept.groupBy("_text").agg(F.count_if(serious).alias("_n")), "report-addresses")
     # Every listed address is a head, also one that has trivial violations only: it gets
     # a report when a longer address that starts with it has a serious one.
-    wanted = kept.select(F.col("_text").alias("head")) if heads is None else heads
-    pairs = prefix_join(wanted, rows, "head", "_text")
+    wanted = addresses.select(F.col("_text").alias("head")) if heads is None else heads
+    texts = addresses.where("_n > 0")
+    pairs = written(prefix_join(wanted, texts, "head", "_text").join(texts, "_text"), "report-pairs")
+    # The busiest address may be under none of the given heads.
+    busiest = addresses.agg(F.max("_n")).first()[0] or 0
+    total, largest = pairs.groupBy("head").agg(F.sum("_n").alias("_n")).agg(F.sum("_n"), F.max("_n")).first()
+    if max(busiest, largest or 0) > rows_per_task:
+        numbered = _numbered_by_days(rows, pairs.drop("_n"), rows_per_task)
+    else:
+        numbered = _numbered_by_heads(rows, pairs.drop("_n"), total or 0)
+    return numbered.select(
+        "head",
+        "violation_date",
+        "line_no",
+        "n_violations",
+        "place",
+        _line(F.col("line_no"), F.col("violation_inspector_comments"), F.col("_ordinance")).alias("line"),
+    )
+
+
+def _numbered_by_heads(rows: DataFrame, pairs: DataFrame, lines: int) -> DataFrame:
+    """The rows of each head with their numbers; one task holds all rows of a head."""
+    joined = rows.join(pairs, "_text").drop("_text")
+    parts = -(-lines // LINES_PER_TASK)
+    if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        joined = joined.repartition(parts, "head")
+    day = Window.partitionBy("head").orderBy(F.desc("violation_date"))
+    # The order of the days begins that of the lines, so one sort does for all three.
+    numbers = {
+        "place": F.row_number().over(Window.partitionBy("head").orderBy(F.desc("violation_date"), *_order())).cast("long"),
+        "_first": F.rank().over(day),
+        "n_violations": F.count("*").over(day.rangeBetween(Window.currentRow, Window.currentRow)),
+    }
+    return joined.withColumns(numbers).withColumn("line_no", F.col("place") - F.col("_first") + 1)
+
+
+def _numbered_by_days(rows: DataFrame, pairs: DataFrame, rows_per_task: int) -> DataFrame:
+    """The same numbers where a head, or even a day of it, is too large for one task."""
     days = pairs.join(
         rows.groupBy("_text", "violation_date").agg(F.count("*").alias("_n")), "_text"
     )
@@ -104,40 +147,32 @@ def report_lines(
     numbered = number_within(
         joined,
         ["head", "violation_date"],
-        [F.desc("inspection_number"), F.asc("inspection_category"), F.asc("violation_id")],
+        _order(),
         name="line_no",
         rows_per_task=rows_per_task,
         largest=largest,
     )
-    return numbered.select(
-        "head",
-        "violation_date",
-        "line_no",
-        "n_violations",
-        (F.col("_before") + F.col("line_no")).alias("place"),
-        _line(
-            F.col("line_no"),
-            F.col("violation_inspector_comments"),
-            F.col("violation_ordinance"),
-        ).alias("line"),
-    )
+    return numbered.withColumn("place", F.col("_before") + F.col("line_no"))
 
 
 def report_text(lines: DataFrame) -> DataFrame:
     """Whole report per address, from the rows of ``report_lines``, latest occasion first.
 
-    Lines become the text of a day and days the report, in two steps. A report is one
-    value; one beyond what a row can hold fails and is not cut.
+    The first line of a day is opened by its date. A report is one value; one beyond what
+    a row can hold fails and is not cut.
     """
-    opening = F.concat(
-        F.lit("\n\n"), _occasion_opening(F.col("violation_date"), F.max("n_violations"))
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-    day = F.concat(opening, F.array_join(F.transform(ordered, lambda x: x["line"]), ""))
-    days = lines.groupBy("head", "violation_date").agg(day.alias("_day"))
-    latest = F.sort_array(F.collect_list(F.struct("violation_date", "_day")), asc=False)
-    body = F.array_join(F.transform(latest, lambda x: x["_day"]), "")
-    return days.groupBy(F.col("head").alias("address")).agg(F.concat(F.lit(OPENING), body).alias("report"))
+    # Days back from a fixed one sort the latest first.
+    back = -F.unix_date("violation_date")
+    ordered = F.sort_array(F.collect_list(F.struct(back.alias("back"), "line_no", "line", "n_violations")))
+
+    def opened(x: Column) -> Column:
+        opening = F.concat(
+            F.lit("\n\n"), _occasion_opening(F.date_from_unix_date(-x["back"]), x["n_violations"])
+        )
+        return F.when(x["line_no"] == 1, F.concat(opening, x["line"])).otherwise(x["line"])
+
+    body = F.array_join(F.transform(ordered, opened), "")
+    return lines.groupBy(F.col("head").alias("address")).agg(F.concat(F.lit(OPENING), body).alias("report"))
 
 
 def touched_heads(violations: DataFrame, changed: DataFrame) -> DataFrame:
@@ -162,15 +197,11 @@ def updated_reports(
     """``reports`` (address, report) after a change, with only the reports it reaches built again.
 
     ``violations`` are all rows after the change, unique by id; ``changed`` has the address
-    of every row that was added, changed or taken away. Rows of addresses under no touched
-    head are left out before lines are made. A touched address that has no line any more
-    loses its report.
+    of every row that was added, changed or taken away. Only rows of addresses under a
+    touched head become lines. A touched address that has no line any more loses its report.
     """
     touched = written(touched_heads(violations, changed), "touched-heads")
-    addresses = violations.select(F.upper("address").alias("_text")).distinct()
-    under = prefix_join(touched, addresses, "head", "_text").select("_text").distinct()
-    concerned = violations.join(under, F.upper("address") == F.col("_text"), "left_semi")
-    rebuilt = report_text(report_lines(concerned, codes, rows_per_task, heads=touched))
+    rebuilt = report_text(report_lines(violations, codes, rows_per_task, heads=touched))
     gone = touched.select(F.col("head").alias("address"))
     return reports.select("address", "report").join(gone, "address", "left_anti").unionByName(rebuilt)
 

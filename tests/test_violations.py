@@ -153,3 +153,15 @@ def test_a_busy_address_is_counted_by_day_before_the_join(spark, rows):
     heads = spark.createDataFrame([("5 S ELM ST",)], "head string")
     plan = v.counts_per_head(heads, rows)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_report_is_sorted_once_per_head(spark, rows):
+    more = rows.unionByName(
+        rows.withColumns({"violation_id": F.concat("violation_id", F.lit("x")), "violation_date": F.lit(DAY).cast("date")})
+    )
+    by_heads, by_days = (reports.report_lines(more, rows_per_task=n) for n in (1000, 1))
+    assert sorted(map(str, by_heads.collect())) == sorted(map(str, by_days.collect()))
+    plan = reports.report_text(by_heads)._jdf.queryExecution().executedPlan().toString()
+    # The violations and their heads meet, and then lie by head until the report is whole.
+    assert plan.count("Exchange hashpartitioning(head") == 1 and "hashpartitioning(head#" in plan
+    assert "report-days" not in plan

@@ -165,3 +165,14 @@ def test_a_report_is_sorted_once_per_head(spark, rows):
     # The violations and their heads meet, and then lie by head until the report is whole.
     assert plan.count("Exchange hashpartitioning(head") == 1 and "hashpartitioning(head#" in plan
     assert "report-days" not in plan
+
+
+def test_changed_reports_look_prefixes_up_twice(spark, rows, monkeypatch):
+    stored = reports.report_text(reports.report_lines(rows.where("violation_id <> '6'")))
+    join, calls = reports.prefix_join, []
+    monkeypatch.setattr(reports, "prefix_join", lambda *a: calls.append(a) or join(*a))
+    # Only 7 S OAK is touched; with one row a task, 5 S ELM ST is a busy address under no touched head.
+    found = [reports.updated_reports(stored, rows, rows.where("violation_id = '6'"), rows_per_task=n).collect() for n in (1000, 1)]
+    assert len(calls) == 4
+    whole = sorted(map(str, reports.report_text(reports.report_lines(rows)).collect()))
+    assert [sorted(map(str, f)) for f in found] == [whole, whole]

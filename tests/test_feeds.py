@@ -187,3 +187,26 @@ def test_saved_stream_equals_batch(spark, tmp_path):
         ).awaitTermination()
     expected = sorted(map(str, saved_state(events, properties).collect()))
     assert sorted(map(str, current_state(spark, state).select(saved_state(events, properties).columns).collect())) == expected
+
+
+def test_loads_of_a_publication_read_landed_feeds(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from stoopwise.catalog import feeds
+
+    stops = spark.createDataFrame(
+        [("1", "R1", "a", "41.8", "-87.6", "cta"), ("2", "R9", "b", "41.8", "-87.6", "cta")],
+        "stop_id string, route_id string, stop_name string, latitude string, longitude string, type string",
+    )
+    routes = spark.createDataFrame(
+        [("R1", "one", "cta", [[(-87.6, 41.8), (-87.5, 41.9)]])],
+        "route_id string, name string, type string, geometry array<array<struct<lon: double, lat: double>>>",
+    )
+    publish, loads = feeds.transit.transit_publish, []
+    monkeypatch.setattr(feeds.transit_queries, "feed_rows", lambda t: (stops, routes))
+    monkeypatch.setattr(feeds.transit, "transit_publish", lambda s, r, shelf: loads.append((s, r)) or publish(s, r, shelf))
+    found = {(r.reader, r.table_name): r.n for r in feeds.transit_published(SimpleNamespace(spark=spark)).collect()}
+    counts = {"stops": 2, "routes": 1, "route_stops": 1}
+    assert found == {(w, t): n * (w != "before") for w in ("before", "during", "after") for t, n in counts.items()}
+    # The two full loads read files, and not the joins that made the feeds.
+    assert len(loads) == 3 and all(df.inputFiles() for load in loads[1:] for df in load)

@@ -295,7 +295,7 @@ def reports_kept_up(t: Given) -> DataFrame:
     whole = written(v.unique_violations(t.v_violations), "unique-violations")
     day = F.lit("2001-06-01").cast("date")
     added = F.coalesce(F.col("violation_date") >= day, F.lit(True))
-    stored = written(reports.report_text(reports.report_lines(whole.where(~added))), "stored-reports")
+    stored = written(reports.report_text(reports.report_lines(whole.where(~added), stored=True)), "stored-reports")
     return reports.updated_reports(stored, whole, whole.where(added))
 
 

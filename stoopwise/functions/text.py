@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # Patterns.
 # What stands behind an opening bracket, last character first: whole brackets and text.
-FROM_THE_END = r"^[^()]*+(?:\)[^()]*+\([^()]*+)*+\("
+FROM_THE_END = r"[^()]*+(?:\)[^()]*+\([^()]*+)*+\("
+# A citation, last character first: never closed, or closed by the last bracket, behind which
+# may stand blanks and one line separator.
+CITATION = rf"^(?:{FROM_THE_END}|[\u0085\u2028\u2029]?+\s*+\){FROM_THE_END})"
 BLANKS = " \t\n\x0b\x0c\r"
 FENCED_JSON = r"(?is)```json\s*(.*?)\s*```"
 CSV_DATE = "M/d/yyyy"
@@ -102,17 +105,10 @@ def strip_citation(text: Column) -> Column:
     A citation is the last bracket that only whole brackets follow inside of it, and its
     closing bracket may be missing. Read from the end, each whole bracket is passed over
     once and the first opening one that is left begins the citation, so a text is read
-    once whatever its length.
+    once whatever its length. One expression finds both kinds, so none is worked out twice.
     """
-    whole = F.coalesce(text, F.lit(""))
-    unclosed = F.regexp_extract(F.reverse(whole), FROM_THE_END, 0)
-    # Else the last bracket closes the citation.
-    inside = F.regexp_replace(whole, r"\)\s*+$", "")
-    closed = F.regexp_extract(F.reverse(inside), FROM_THE_END, 0)
-    kept = F.when(F.length(unclosed) > 0, F.left(whole, F.length(whole) - F.length(unclosed))).otherwise(
-        F.when(F.length(closed) > 0, F.left(inside, F.length(inside) - F.length(closed))).otherwise(whole)
-    )
-    return F.rtrim(kept, F.lit(BLANKS))
+    cut = F.regexp_replace(F.reverse(F.coalesce(text, F.lit(""))), CITATION, "")
+    return F.reverse(F.ltrim(cut, F.lit(BLANKS)))
 
 
 def unfence_json(text: Column) -> Column:

@@ -53,9 +53,13 @@ def report_lines(
     codes: Iterable[str] = TRIVIAL_CODES,
     rows_per_task: int = ROWS_PER_TASK,
     heads: DataFrame | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """One row per report line, of all addresses or of those in ``heads`` (head).
 
+    ``stored`` says that ``violations`` are a table at rest, or rows filtered from one:
+    they are read where they lie and not written once more.
+
     ``head`` is the address of the report, ``line_no`` counts within an occasion (a
     day) of ``n_violations`` lines, ``place`` within the whole report, latest occasion
     first. ``violations`` must be unique by violation_id. Every address gets a report,
@@ -68,19 +72,19 @@ def report_lines(
     address and day, and lines numbered across tasks.
     """
     columns = ["violation_id", "violation_date", "inspection_number", "inspection_category", "violation_inspector_comments"]
-    # Read several times below, and usually the outcome of a deduplication. A citation is
-    # dropped once per violation, which may have lines in many reports.
-    kept = written(
-        violations.select(
-            F.upper("address").alias("_text"),
-            *columns,
-            text.strip_citation(F.col("violation_ordinance")).alias("_ordinance"),
-            filters.one_of(F.col("violation_code"), codes).alias("_trivial"),
-        ),
-        "report-rows",
+    kept = violations.select(
+        F.upper("address").alias("_text"),
+        *columns,
+        "violation_ordinance",
+        filters.one_of(F.col("violation_code"), codes).alias("_trivial"),
     )
+    # Read several times below, and usually the outcome of a deduplication.
+    kept = kept if stored else written(kept, "report-rows")
     serious = ~F.col("_trivial") & F.col("violation_date").isNotNull()
-    rows = kept.where(serious).drop("_trivial")
+    # A citation is dropped once per violation that is shown, which may have lines in many reports.
+    rows = kept.where(serious).select(
+        "_text", *columns, text.strip_citation(F.col("violation_ordinance")).alias("_ordinance")
+    )
     addresses = written(kept.groupBy("_text").agg(F.count_if(serious).alias("_n")), "report-addresses")
     # Every listed address is a head, also one that has trivial violations only: it gets
     # a report when a longer address that starts with it has a serious one.
@@ -196,12 +200,12 @@ def updated_reports(
 ) -> DataFrame:
     """``reports`` (address, report) after a change, with only the reports it reaches built again.
 
-    ``violations`` are all rows after the change, unique by id; ``changed`` has the address
-    of every row that was added, changed or taken away. Only rows of addresses under a
+    ``violations`` are all rows after the change, unique by id, and best a stored table, for
+    they are read where they lie; ``changed`` has the address of every row that was added, changed or taken away. Only rows of addresses under a
     touched head become lines. A touched address that has no line any more loses its report.
     """
     touched = written(touched_heads(violations, changed), "touched-heads")
-    rebuilt = report_text(report_lines(violations, codes, rows_per_task, heads=touched))
+    rebuilt = report_text(report_lines(violations, codes, rows_per_task, heads=touched, stored=True))
     gone = touched.select(F.col("head").alias("address"))
     return reports.select("address", "report").join(gone, "address", "left_anti").unionByName(rebuilt)
 

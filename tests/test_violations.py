@@ -176,3 +176,16 @@ def test_changed_reports_look_prefixes_up_twice(spark, rows, monkeypatch):
     assert len(calls) == 4
     whole = sorted(map(str, reports.report_text(reports.report_lines(rows)).collect()))
     assert [sorted(map(str, f)) for f in found] == [whole, whole]
+
+
+def test_changed_reports_read_the_stored_violations_where_they_lie(spark, rows, monkeypatch):
+    stored = reports.report_text(reports.report_lines(rows.where("violation_id <> '6'")))
+    keep, names = reports.written, []
+    monkeypatch.setattr(reports, "written", lambda df, name: names.append(name) or keep(df, name))
+    found = reports.updated_reports(stored, rows, rows.where("violation_id = '6'"))
+    assert "report-rows" not in names
+    whole = sorted(map(str, reports.report_text(reports.report_lines(rows)).collect()))
+    assert sorted(map(str, found.collect())) == whole and "report-rows" in names
+    # A citation is looked for once per violation that is shown.
+    plan = reports.report_lines(rows, stored=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") == 1

@@ -88,7 +88,7 @@ def parse_date(text: Column, strict: bool = True) -> Column:
 
     Any other text that is no date raises, or gives null when not ``strict``.
     """
-    filled = F.nullif(strip(text), F.lit(""))
+    filled = F.nullif(F.btrim(text, F.lit(BLANKS)), F.lit(""))
     if strict:
         return F.to_date(filled, CSV_DATE)
     return F.try_to_timestamp(filled, F.lit(CSV_DATE)).cast("date")

@@ -50,7 +50,14 @@ def typed_violations(raw: DataFrame, strict: bool = True) -> DataFrame:
         new: _violation_field(old, kind, strict)
         for old, (new, kind) in schemas.VIOLATION_COLUMNS.items()
     }
-    typed = raw.select(*[c.alias(n) for n, c in fields.items()], *_errors(fields, strict, whole))
+    errors = []
+    if not strict:
+        # The one element of an array that is exploded: what reads the names, such as a
+        # condition on the error, then does not parse every field once more.
+        raw = raw.select("*", F.explode(F.array(_broken_fields(fields))).alias("_names"))
+        named = F.when(F.col("_names") != "", F.concat(F.lit("unreadable: "), F.col("_names")))
+        errors = [F.when(whole, named).otherwise(F.lit("unreadable: record")).alias("error")]
+    typed = raw.select(*[c.alias(n) for n, c in fields.items()], *errors)
     point = F.when(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull(),
         F.struct(F.col("longitude").alias("lon"), F.col("latitude").alias("lat")),
@@ -58,18 +65,18 @@ def typed_violations(raw: DataFrame, strict: bool = True) -> DataFrame:
     return typed.withColumn("location", point)
 
 
-def _errors(fields: dict[str, Column], strict: bool, whole: Column) -> list[Column]:
-    if strict:
-        return []
+def _broken_fields(fields: dict[str, Column]) -> Column:
+    """Names of the fields whose text could not be read; empty if there is none.
+
+    Joined as text, not filtered as an array: functions on lambdas are evaluated tree by
+    tree, and with them every field.
+    """
     broken = [F.when(F.nullif(F.trim(F.col("`ID`")), F.lit("")).isNull(), F.lit("violation_id"))]
     for old, (new, kind) in schemas.VIOLATION_COLUMNS.items():
         if kind != "string":
             filled = F.trim(F.col(f"`{old}`")) != ""
             broken.append(F.when(filled & fields[new].isNull(), F.lit(new)))
-    names = F.array_compact(F.array(*broken))
-    message = F.concat(F.lit("unreadable: "), F.array_join(names, ", "))
-    broken_record = F.lit("unreadable: record")
-    return [F.when(~whole, broken_record).when(F.size(names) > 0, message).alias("error")]
+    return F.concat_ws(", ", *broken)
 
 
 def violations(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

@@ -210,3 +210,16 @@ def test_loads_of_a_publication_read_landed_feeds(spark, monkeypatch):
     assert found == {(w, t): n * (w != "before") for w in ("before", "during", "after") for t, n in counts.items()}
     # The two full loads read files, and not the joins that made the feeds.
     assert len(loads) == 3 and all(df.inputFiles() for load in loads[1:] for df in load)
+
+
+def test_broken_fields_are_looked_for_once_per_record(spark):
+    fields = {name: "x" for name in schemas.VIOLATION_COLUMNS}
+    good = fields | dict.fromkeys([n for n, (_, kind) in schemas.VIOLATION_COLUMNS.items() if kind != "string"], " ")
+    bad = good | {"ID": None, "VIOLATION DATE": "31/31/1999", "LATITUDE": "north"}
+    raw = spark.createDataFrame([tuple(r.values()) for r in (good, bad)], schemas.VIOLATIONS_CSV)
+    kept, dead = writers.split_dead_letters(readers.typed_violations(raw, strict=False))
+    assert [r["violation_id"] for r in kept.collect()] == ["x"]
+    assert [r["error"] for r in dead.collect()] == ["unreadable: violation_id, violation_date, latitude"]
+    plan = dead.select("violation_id", "error")._jdf.queryExecution().optimizedPlan().toString()
+    # Once for each of the three dates, and never as a condition or inside of a lambda.
+    assert plan.count("gettimestamp") == 3 and "lambda" not in plan

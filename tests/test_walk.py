@@ -175,3 +175,14 @@ def test_requests(spark, town):
         7: "Invalid property_id",
         8: "No bus stops found within the walking distance",
     }
+
+
+def test_routes_are_not_sorted_to_find_the_stops_that_bring_them(spark):
+    near = spark.createDataFrame(
+        [(1, 12, 5.0, ["a", "b"]), (1, 11, 5.0, ["b"]), (1, 13, 9.0, ["a"]), (1, 14, 9.5, ["c"]), (1, 15, 1.0, []), (2, 13, 0.0, ["a", "d"])],
+        "property_id long, stop_id long, distance_m double, routes array<string>",
+    )
+    kept = walk.new_route_stops(near)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, 11, 5.0), (1, 12, 5.0), (1, 14, 9.5), (2, 13, 0.0)]
+    assert "SortAggregate" not in plan and plan.count("Sort [") == 1

@@ -6,6 +6,7 @@ import random
 from test_saved import START, replay
 
 from stoopwise.session import new_path
+from stoopwise.streaming import listings
 from stoopwise.streaming.listings import keep_listings, late_events, listings_now
 
 COLUMNS = (
@@ -81,3 +82,30 @@ def test_nulls_and_other_actions(spark):
     store.run([(1, None, 1, "save", None, None), (None, hour(1), None, "save", "x", None), (2, hour(1), 3, "view", None, None), (3, hour(1), 4, None, None, None), (4, hour(1), 5, "delete", None, None)])
     none = {"is_deleted": False, "deleted_at": None, "custom_name": None, "rent_price": None}
     assert store.now() == {1: none | {"date_saved": None}, None: none | {"date_saved": hour(1)}}
+
+
+def test_listings_share_the_groups_of_the_state_store(spark, monkeypatch):
+    monkeypatch.setattr(listings, "BUCKETS", 3, raising=False)
+    rng = random.Random(7)
+    store = Store(spark, datetime.timedelta(hours=9))
+    events, batches = {}, [[], []]
+    for user in [None, *range(40)]:
+        for i in range(rng.randint(1, 6)):
+            at, action = rng.randint(0, 19), rng.choice(["save", "delete", "update"])
+            event = (hour(at), (user or 0) * 100 + i + (user is None) * 50, action, rng.choice([None, f"n{i}"]), None)
+            events.setdefault(user, []).append(event)
+            # Some listings are touched by one batch only.
+            batches[min(1, at // 10)].append((user, *event))
+    for batch in batches:
+        rng.shuffle(batch)
+        store.run(batch)
+    # One no later than the latest delay of a listing that shares its bucket with others.
+    store.run([(100, hour(h), 9000 + h, "save", None, None) for h in (0, 30)])
+    store.run([(100, hour(0), 8999, "delete", None, None)])
+    assert [r["event_id"] for r in late_events(spark, f"{store.base}/out").collect()] == [8999]
+    now = store.now()
+    assert now.pop(100)["date_saved"] == hour(0)
+    assert now == {u: replay(es) for u, es in events.items() if replay(es)}
+    # Three groups at most are asked for their state and answer, not one per listing.
+    groups = spark.read.format("statestore").option("stateVarName", "facts").load(f"{store.base}/progress").count()
+    assert groups <= 3

@@ -12,10 +12,11 @@ from stoopwise.catalog import profiles
 from stoopwise.catalog.feeds import VIOLATION_FIELDS
 from stoopwise.catalog.registry import Given, query
 from stoopwise.catalog.saved import STATE
-from stoopwise.catalog.violations import UNIQUE, raw_rows
-from stoopwise.session import dropped, new_path, written
+from stoopwise.catalog.violations import UNIQUE, as_raw
+from stoopwise.session import drop_path, dropped, new_path, shuffles_go, written
 from stoopwise.operators import profile
 from stoopwise.operators.counts import CountStore, distinct_from
+from stoopwise.operators.slices import slices
 from stoopwise.sources import writers
 from stoopwise.streaming.counts import PROFILES, count_stream
 from stoopwise.streaming.listings import DELAY, keep_listings, listings_now
@@ -33,14 +34,21 @@ def _land(t: Given, path: str) -> int:
     """Violations as files of a bounded number of rows, four at least; returns how many files.
 
     Rows of one id land in one file, so that which of them is first does not depend on the
-    order of the files.
+    order of the files. Text with so many repeats and empty fields lands compressed; a file
+    is read whole either way.
     """
     # The ranges are sampled from the written rows, not from their join once more.
-    rows = written(raw_rows(t), "raw-violations")
+    rows = written(t.v_violations, "violations", compression="zstd")
+    parts = slices(rows, ["violation_id"])
     files = max(4, -(-rows.count() // LANDED_ROWS))
-    writers.write_csv(rows.repartitionByRange(files, "ID"), path)
+    each = -(-files // len(parts))
+    for part in parts:
+        # Typed rows are shuffled, not their text.
+        dealt = part.repartitionByRange(each, "violation_id")
+        with shuffles_go(t.spark):
+            writers.write_csv(as_raw(dealt), path, mode="append", compression="gzip")
     dropped(rows)
-    return files
+    return each * len(parts)
 
 
 # Rows of one landed table file; three batches take them in.
@@ -75,10 +83,15 @@ STORED = "SELECT violation_id FROM {v_violations} WHERE inspection_category = 'P
 def violations_unseen(t: Given) -> DataFrame:
     base = new_path(t.spark, "violations-unseen")
     files = _land(t, f"{base}/in")
-    for begun in ingest_unseen(
+    begun = ingest_unseen(
         t.spark, f"{base}/in", t.sql(STORED), f"{base}/out", f"{base}/dead", f"{base}/progress", max_files=-(-files // 2)
-    ):
-        begun.awaitTermination()
+    )
+    # The first query alone reads the landed files.
+    next(begun).awaitTermination()
+    drop_path(t.spark, f"{base}/in")
+    for rest in begun:
+        rest.awaitTermination()
+    drop_path(t.spark, f"{base}/progress")
     return t.spark.read.parquet(f"{base}/out").select(VIOLATION_FIELDS)
 
 

@@ -27,7 +27,11 @@ HEAD = "trim(split_part(upper(address), ',', 1))"
 
 def raw_rows(t: Given) -> DataFrame:
     """The violations as their file has them: its header, US dates, all text."""
-    rows = t.v_violations
+    return as_raw(t.v_violations)
+
+
+def as_raw(rows: DataFrame) -> DataFrame:
+    """Rows of ``v_violations`` as ``raw_rows`` has them."""
     columns = []
     for name, (field, kind) in schemas.VIOLATION_COLUMNS.items():
         if field == "violation_last_modified_date":

@@ -21,8 +21,8 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", **options: str) -> None:
+    df.write.mode(mode).options(header="true", escape='"', **options).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -70,6 +70,8 @@ def violations_stream(t: Given) -> DataFrame:
         t.spark, f"{base}/in", f"{base}/out", f"{base}/dead", f"{base}/progress",
         max_files=-(-files // 2), divisions=files,
     ).awaitTermination()
+    for done in ("in", "progress"):
+        drop_path(t.spark, f"{base}/{done}")
     return t.spark.read.parquet(f"{base}/out").select(VIOLATION_FIELDS)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stoopwise.operators.merge import insert_ignore, insert_new
-from stoopwise.session import dropped, written
+from stoopwise.operators.slices import slices
+from stoopwise.session import dropped, shuffles_go, written
 from stoopwise.sources.readers import VIOLATION_OPTIONS, VIOLATION_RECORD, typed_violations
 from stoopwise.sources.writers import split_dead_letters
 
@@ -27,7 +28,8 @@ def ingest_violations_stream(
     Unreadable rows go to ``dead`` and the rest carries on. A new id enters the target
     once. Each micro-batch writes its own folder, so a batch that runs again after a
     failure overwrites itself instead of adding its rows twice. The target is divided by
-    a hash of the id, and a batch looks for its ids in the divisions it touches.
+    a hash of the id, and a batch looks for its ids in the divisions it touches. A large
+    batch is taken in by slices of divisions, so that the shuffle files of one lie there.
     """
     raw = (
         spark.readStream.schema(VIOLATION_RECORD)
@@ -39,28 +41,31 @@ def ingest_violations_stream(
     division = F.pmod(F.xxhash64("violation_id"), F.lit(divisions)).cast("int")
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
-        # The landed files are parsed once, and the new ids found once.
-        typed = written(typed_violations(batch, strict=False), "typed-violations")
-        good, bad = split_dead_letters(typed)
-        candidates = written(insert_ignore(good, ["violation_id"]).withColumn("division", division), "new-violations")
-        stored, fresh = read_if_there(spark, target), candidates
-        if stored is not None:
-            # At most ``divisions`` numbers, so that the scan skips all other folders.
-            touched = [row["division"] for row in fresh.select("division").distinct().collect()]
-            known = stored.where((F.col("batch") != batch_id) & F.col("division").isin(touched))
-            fresh = fresh.join(known.select("violation_id"), "violation_id", "left_anti")
-        # One file per division.
-        fresh = fresh.repartition("division")
-        fresh.write.mode("overwrite").partitionBy("division").parquet(f"{target}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
-        dropped(typed, candidates)
+        # The landed files are parsed once.
+        parsed = typed_violations(batch, strict=False).withColumn("division", division)
+        typed = written(parsed, "typed-violations", compression="zstd")
+        split_dead_letters(typed)[1].drop("division").write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
+        stored = read_if_there(spark, target)
+        for k, part in enumerate(slices(typed, ["division"])):
+            fresh = insert_ignore(split_dead_letters(part)[0], ["violation_id"])
+            if stored is not None:
+                # At most ``divisions`` numbers, so that the scan skips all other folders.
+                touched = [row["division"] for row in part.select("division").distinct().collect()]
+                known = stored.where((F.col("batch") != batch_id) & F.col("division").isin(touched))
+                fresh = fresh.join(known.select("violation_id"), "violation_id", "left_anti")
+            # One file per division.
+            fresh = fresh.repartition("division").write.mode("append" if k else "overwrite").partitionBy("division")
+            with shuffles_go(batch.sparkSession):
+                fresh.parquet(f"{target}/batch={batch_id}")
+        dropped(typed)
 
-    return (
-        raw.writeStream.foreachBatch(take_in)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with shuffles_go(spark):
+        return (
+            raw.writeStream.foreachBatch(take_in)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:

@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from stoopwise import schemas
+from stoopwise.operators import slices as slicing
 from stoopwise.sources import readers, writers
 from stoopwise.streaming.refresh import latest_snapshot, refresh_groceries_stream
 from stoopwise.streaming.saved import current_state, saved_state_stream
+from stoopwise.streaming import violations
 from stoopwise.streaming.violations import ingest_violations_stream
 from stoopwise.plans.saved import saved_state
 
@@ -96,6 +98,30 @@ def test_violation_stream_carries_on(spark, tmp_path):
     assert errors == ["unreadable: violation_date", "unreadable: violation_id"]
 
 
+def test_a_large_batch_is_taken_in_by_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(slicing, "SLICE_ROWS", 50)
+    source = tmp_path / "in"
+    source.mkdir()
+    out, dead, progress = (str(tmp_path / n) for n in ("out", "dead", "progress"))
+
+    def run(name, ids, code):
+        rows = [violation(i, **{"VIOLATION CODE": c}) for i in ids for c in (code, "Z")]
+        (source / name).write_text("\n".join([HEADER, *rows, violation(name, day="soon")]) + "\n")
+        parts = []
+        monkeypatch.setattr(violations, "slices", lambda *a: parts.append(slicing.slices(*a)) or parts[-1])
+        ingest_violations_stream(spark, str(source), out, dead, progress, divisions=7).awaitTermination()
+        assert [len(p) for p in parts] == [4]
+        return {r["violation_id"]: r["violation_code"] for r in spark.read.parquet(out).collect()}
+
+    assert run("a", range(300), "A") == {str(i): "A" for i in range(300)}
+    found = run("b", range(200, 500), "B")
+    assert found == {str(i): "A" if i < 300 else "B" for i in range(500)}
+    stored = spark.read.parquet(out)
+    assert stored.count() == 500 and sorted(r["violation_id"] for r in spark.read.parquet(dead).collect()) == ["a", "b"]
+    # A division of a batch is one file.
+    assert stored.select(F.input_file_name()).distinct().count() == stored.select("batch", "division").distinct().count()
+
+
 def test_groceries_take_in_one_listing_after_the_other(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

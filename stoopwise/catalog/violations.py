@@ -10,10 +10,11 @@ from stoopwise.catalog.registry import Given, query
 from stoopwise.functions import text
 from stoopwise.operators import filters, merge
 from stoopwise.operators.prefix import prefix_join, prefix_merge
+from stoopwise.operators.slices import slices
 from stoopwise.params import NEIGHBOURHOOD, TRIVIAL_CODES
 from stoopwise.plans import reports, summaries
 from stoopwise.plans import violations as v
-from stoopwise.session import new_path, written
+from stoopwise.session import dropped, new_path, shuffles_go, written
 from stoopwise.sources import layout
 
 # The given data spans 1995 to 2001.
@@ -281,7 +282,15 @@ FROM occasions GROUP BY head)"""
 
 
 def _lines(t: Given) -> DataFrame:
-    return reports.report_lines(v.unique_violations(t.v_violations))
+    # The join is at rest before its rows are shuffled again, one slice after the other.
+    rows = written(t.v_violations, "violations", compression="zstd")
+    path = new_path(t.spark, "unique-violations")
+    for part in slices(rows, ["violation_id"]):
+        unique = v.unique_violations(part).select(reports.SHOWN)
+        with shuffles_go(t.spark):
+            unique.write.mode("append").parquet(path, compression="zstd")
+    dropped(rows)
+    return reports.report_lines(t.spark.read.schema(unique.schema).parquet(path), stored=True)
 
 
 @query("W7 O2 P6 X12 A15 per line", sql=f"WITH {LINES} SELECT * FROM texts")

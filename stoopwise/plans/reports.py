@@ -18,6 +18,12 @@ from stoopwise.session import written
 # Fixed value: the opening of every report.
 OPENING = "This building was cited on the following occasions: "
 
+# Columns of the violations that decide on a report.
+SHOWN = [
+    "violation_id", "violation_date", "violation_code", "inspection_number", "inspection_category",
+    "violation_inspector_comments", "violation_ordinance", "address",
+]
+
 # Lines of one task, which sorts them by head.
 LINES_PER_TASK = 1_000_000
 

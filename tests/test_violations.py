@@ -1,10 +1,13 @@
 import re
 import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from stoopwise.catalog import violations as queries
 from stoopwise.operators import filters, profile, quality
+from stoopwise.operators import slices as slicing
 from stoopwise.plans import reports
 from stoopwise.plans import violations as v
 
@@ -189,3 +192,17 @@ def test_changed_reports_read_the_stored_violations_where_they_lie(spark, rows,
     # A citation is looked for once per violation that is shown.
     plan = reports.report_lines(rows, stored=True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_") == 1
+
+
+def test_lines_are_made_from_unique_violations_at_rest(spark, rows, monkeypatch):
+    monkeypatch.setattr(slicing, "SLICE_ROWS", 4)
+    parts = []
+    monkeypatch.setattr(queries, "slices", lambda *a: parts.append(slicing.slices(*a)) or parts[-1])
+    # Ids that come twice, once with a later code, and an id that is null.
+    later = rows.withColumn("violation_code", F.lit("ZZ"))
+    more = rows.unionByName(later).unionByName(rows.limit(2).withColumn("violation_id", F.lit(None).cast("string")))
+    found = queries.report_lines(SimpleNamespace(spark=spark, v_violations=more))
+    assert len(parts[0]) > 1
+    assert sorted(map(str, found.collect())) == sorted(map(str, reports.report_lines(v.unique_violations(more)).collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_nth" not in plan and any("unique-violations" in f for f in found.inputFiles())
